@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the characters that count as white space (Unicode White_Space, and the four separators U+001C to U+001F).
 WHITE = (
-    "\t\n\u000b\f\r\u001c\u001d\u001e\u001f \u0085          "
-    "       　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
 
@@ -40,4 +40,4 @@ def path_text(c: Column) -> Column:
 
 def file_name(c: Column) -> Column:
     """The part of the path after its last ``/`` or ``\\``; null when that part is empty."""
-    return strip_or_null(F.substring_index(path_text(c), "/", -1))
+    return F.nullif(F.substring_index(path_text(c), "/", -1), F.lit(""))
