@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from sparkyard.plans import data_queries
+
+MODULES = [data_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
