@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkyard.functions import sql
 from sparkyard.llm import components
 from sparkyard.sources.tables import table
 
@@ -27,21 +28,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-WS = r"[\t\n\x0b\x0c\r\x1c-\x20\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-
-
-def sql_strip(c: str) -> str:
-    return f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
-
-
-def sql_file(c: str) -> str:
-    return f"nullif(regexp_extract({sql_strip(c)}, '[^/\\\\]*$'), '')"
-
-
 P1_SQL = f"""
 WITH RECURSIVE decided AS (
   SELECT least(x, y) AS a, greatest(x, y) AS b, arg_max(ok, (audited_at, ok)) AS ok
-  FROM (SELECT {sql_file("image_a")} AS x, {sql_file("image_b")} AS y, audited_at, coalesce(visual_review = '{components.LINKS}', false) AS ok FROM near_duplicate_pairs)
+  FROM (SELECT {sql.file_name("image_a")} AS x, {sql.file_name("image_b")} AS y, audited_at, coalesce(visual_review = '{components.LINKS}', false) AS ok FROM near_duplicate_pairs)
   WHERE x <> y GROUP BY 1, 2),
 e AS (SELECT a AS s, b AS t FROM decided WHERE ok UNION SELECT b, a FROM decided WHERE ok),
 r(s, t) AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON r.t = e.s),
