@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkyard.functions import sql
-from sparkyard.llm import components
+from sparkyard.llm import components, overlap
 from sparkyard.sources.tables import table
 
 
@@ -21,10 +21,20 @@ def p1_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return p1_found(spark, d).groupBy("group_id").agg(F.count(F.lit(1)).alias("images")).groupBy("images").agg(F.count(F.lit(1)).alias("n_groups"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlaps(spark, table(spark, d, "manifest"), table(spark, d, "fingerprints"))
+
+
+def p2_counts(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(spark, table(spark, d, "manifest"), table(spark, d, "fingerprints"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_group_sizes": p1_group_sizes,
+        "p2_found": p2_found,
+        "p2_counts": p2_counts,
     }
 
 
@@ -38,9 +48,21 @@ r(s, t) AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON r.t = e.s)
 g AS (SELECT s AS image, least(s, min(t)) AS group_id FROM r GROUP BY s)
 """
 
+P2_SQL = f"""
+WITH m AS (SELECT image_id, source, {sql.split_name("split")} AS split, {sql.folded("sha1")} AS sha1 FROM manifest
+  QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY recorded_at DESC NULLS LAST, loaded_at DESC NULLS LAST) = 1),
+f AS (SELECT image_id, phash, dhash FROM fingerprints QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY computed_at DESC NULLS LAST, phash DESC NULLS LAST, dhash DESC NULLS LAST) = 1),
+x AS (SELECT * FROM m LEFT JOIN f USING (image_id) WHERE split IN ('train', 'val', 'test')),
+p AS (SELECT t.image_id AS t, e.image_id AS e, coalesce(t.sha1 = e.sha1, false) AS exact, coalesce(bit_count(xor(t.phash, e.phash)) <= {overlap.P_BITS} AND bit_count(xor(t.dhash, e.dhash)) <= {overlap.D_BITS}, false) AS near
+  FROM x t, x e WHERE t.split = 'train' AND e.split <> 'train' AND (t.sha1 = e.sha1 OR (bit_count(xor(t.phash, e.phash)) <= {overlap.P_BITS} AND bit_count(xor(t.dhash, e.dhash)) <= {overlap.D_BITS}))),
+h AS (SELECT e AS image_id, bool_or(exact) AS exact, bool_or(near) AS near, count(*) AS n_pairs FROM p GROUP BY 1)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_SQL + "SELECT image, group_id FROM g",
         "p1_group_sizes": P1_SQL + "SELECT images, count(*) AS n_groups FROM (SELECT group_id, count(*) AS images FROM g GROUP BY 1) GROUP BY 1",
+        "p2_found": P2_SQL + "SELECT least(t, e) AS image_id_a, greatest(t, e) AS image_id_b FROM p",
+        "p2_counts": P2_SQL + "SELECT split, source, count(*) AS images, count(*) FILTER (exact) AS exact, count(*) FILTER (near) AS near, count(n_pairs) AS leaked, coalesce(sum(n_pairs), 0)::BIGINT AS pairs FROM x LEFT JOIN h USING (image_id) WHERE split <> 'train' GROUP BY ALL",
     }
