@@ -8,8 +8,8 @@ the number of unequal positions (``bit_count`` of the exclusive or).
 
 Segments of 64 / (k + 1) = 9 bits select little among billions of rows. Two refinements keep the join exact:
 of k + 2 segments at least two stay whole, so *pairs* of segments are the keys; and a key that too many rows of both
-sides share is refined by the segments of the second hash. Segments take every n-th bit, since neighbouring bits of
-perceptual hashes tend to agree over many images.
+sides share is refined by the segments of the second hash, one of which stays whole. Segments take every n-th bit, since neighbouring bits of
+perceptual hashes tend to agree over many images. Keys are hashed to 32 bits; a collision only adds a candidate.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from sparkyard.functions.text import folded, split_name
 from sparkyard.session import Scratch
 
 P_BITS, D_BITS = 6, 8
-#: A key is refined where the rows of both sides make more pairs than this.
-HOT_PAIRS = 20_000
+#: A key is refined if more rows of the right side share it; below that, a row of the left side meets at most so many candidates by a key.
+HOT_ROWS = 64
 #: Refined keys that are sent to all tasks at most; the number of keys is bounded by the key space, not by the rows.
 MAX_HOT = 200_000
 
@@ -38,19 +38,18 @@ def _segment(c: Column, n: int, i: int) -> Column:
 def _keys(c: Column, k: int) -> Column:
     """The keys of a hash for at most ``k`` flipped bits: one for each two of its k + 2 segments."""
     cut = [_segment(c, k + 2, i) for i in range(k + 2)]
-    return F.array(*(F.xxhash64(F.lit(n), cut[i].bitwiseOR(cut[j])) for n, (i, j) in enumerate(combinations(range(k + 2), 2))))
+    return F.array(*(F.hash(F.lit(n), cut[i].bitwiseOR(cut[j])) for n, (i, j) in enumerate(combinations(range(k + 2), 2))))
 
 
-def near_pairs(spark: SparkSession, left: DataFrame, right: DataFrame, p_bits: int = P_BITS, d_bits: int = D_BITS, hot_pairs: int = HOT_PAIRS) -> DataFrame:
-    """The pairs ``(a, b)`` of ids of ``left`` and ``right``, tables of ``(id, p, d)``, whose ``p`` differ in at most ``p_bits`` bits and ``d`` in at most ``d_bits``.
+def near_pairs(spark: SparkSession, left: DataFrame, right: DataFrame, p_bits: int = P_BITS, d_bits: int = D_BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The pairs ``(a, b)`` of ids of ``left`` and ``right`` (the smaller side), tables of ``(id, p, d)``, whose ``p`` differ in at most ``p_bits`` bits and ``d`` in at most ``d_bits``.
 
     Exact: no pair is lost and none is bounded away. Rows with a null hash are in no pair; repeated rows give a pair once.
     """
     key = lambda x: x.where("p IS NOT NULL AND d IS NOT NULL").select("id", "p", "d", F.explode(_keys(F.col("p"), p_bits)).alias("k"))
     near = (F.bit_count(F.col("l.p").bitwiseXOR(F.col("r.p"))) <= p_bits) & (F.bit_count(F.col("l.d").bitwiseXOR(F.col("r.d"))) <= d_bits)
     lk, rk = key(left), key(right)
-    count = lambda x, n: x.groupBy("k").agg(F.count(F.lit(1)).alias(n))
-    hot = count(lk, "n").join(count(rk, "m"), "k").where(F.col("n") * F.col("m") > hot_pairs).select("k")
+    hot = rk.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("k")
     scratch = Scratch(spark, "overlap")
     hot = scratch.save(hot, "hot")
     n_hot = hot.count()
@@ -60,7 +59,7 @@ def near_pairs(spark: SparkSession, left: DataFrame, right: DataFrame, p_bits: i
     if n_hot <= MAX_HOT:
         hot = F.broadcast(hot)
     cold = lambda x: x.join(hot, "k", "left_anti")
-    fine = lambda x: x.join(hot, "k", "left_semi").select("id", "p", "d", F.posexplode(F.array(*(F.xxhash64("k", F.lit(i), _segment(F.col("d"), d_bits + 1, i)) for i in range(d_bits + 1)))).alias("i", "k"))
+    fine = lambda x: x.join(hot, "k", "left_semi").select("id", "p", "d", F.posexplode(F.array(*(F.hash("k", F.lit(i), _segment(F.col("d"), d_bits + 1, i)) for i in range(d_bits + 1)))).alias("i", "k"))
     return pairs(cold(lk), cold(rk), "k").unionByName(pairs(fine(lk), fine(rk), "k")).distinct()
 
 
