@@ -106,8 +106,13 @@ def _dump(x) -> str:
 class _Writer:
     """Collects (repetition, definition, value) per leaf path."""
 
-    def __init__(self, tree: Node):
-        self.out: dict[str, tuple[list, list, list]] = {p: ([], [], []) for p, _ in leaves(tree)}
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+        self.below: dict[str, list[str]] = {}
+        self.start()
+
+    def start(self) -> None:
+        self.out: dict[str, tuple[list, list, list]] = {p: ([], [], []) for p in self.paths}
 
     def put(self, path: str, r: int, d: int, v: str | None) -> None:
         a, b, c = self.out[path]
@@ -115,28 +120,39 @@ class _Writer:
         b.append(d)
         c.append(v)
 
+    def wanted(self, node: Node, path: str) -> list[str]:
+        """The leaves below ``node`` that are asked for."""
+        if path not in self.below:
+            self.below[path] = [p for p, _ in leaves(node, path) if p in self.out]
+        return self.below[path]
+
     def absent(self, node: Node, path: str, r: int, d: int) -> None:
         """One entry in each leaf below ``node``, which isn't there; ``d`` is the level of the last thing that is."""
-        for p, _ in leaves(node, path):
+        for p in self.wanted(node, path):
             self.put(p, r, d, None)
 
     def walk(self, node: Node, x, path: str, r: int, d: int, rep: int) -> None:
+        if not self.wanted(node, path):
+            return
         if node.item is not None:
             if not isinstance(x, list) or not x:
                 self.absent(node, path, r, d + isinstance(x, list))
                 return
             p = f"{path}[]"
+            kind, raw = f"{p}/$kind" in self.out, f"{p}/$raw" in self.out
             for i, e in enumerate(x):
                 ri, di = (r if i == 0 else rep + 1), d + 2 + (e is not None)
-                self.put(f"{p}/$kind", ri, di, _kind(e))
-                self.put(f"{p}/$raw", ri, di, _text(e))
+                if kind:
+                    self.put(f"{p}/$kind", ri, di, _kind(e))
+                if raw:
+                    self.put(f"{p}/$raw", ri, di, _text(e))
                 if node.item is not SCALAR:
                     self.walk(node.item, e, p, ri, di - (e is not None), rep + 1)
         elif node.fields is not None:
             if not isinstance(x, dict):
                 self.absent(node, path, r, d)
                 return
-            if node.extra:
+            if node.extra and f"{path}/$extra".lstrip("/") in self.out:
                 rest = {k: v for k, v in x.items() if k not in node.fields}
                 self.put(f"{path}/$extra".lstrip("/"), r, d + 1, _text(rest) if rest else None)
             for k, n in node.fields.items():
@@ -149,25 +165,26 @@ _LEVELS = pa.list_(pa.int32())
 _VALUES = pa.list_(pa.string())
 
 
-def shred(df: DataFrame, payload: str, tree: Node, keep: list[str]) -> DataFrame:
+def shred(df: DataFrame, payload: str, tree: Node, keep: list[str], only: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` and, per leaf path, a struct ``(r, d, v)`` of equally long arrays; unreadable payloads give no row.
 
-    Runs within each partition; nothing is shuffled.
+    ``only`` names the leaf paths to shred, by default all. Runs within each partition; nothing is shuffled.
     """
-    paths = [p for p, _ in leaves(tree)]
+    paths = [p for p, _ in leaves(tree) if only is None or p in only]
     src = df.select(*keep, F.col(payload).alias("$payload"))
     kept = T.StructType([src.schema[k] for k in keep])
     levels = T.StructType([T.StructField("r", T.ArrayType(T.IntegerType())), T.StructField("d", T.ArrayType(T.IntegerType())), T.StructField("v", T.ArrayType(T.StringType()))])
     schema = T.StructType([*kept.fields, *(T.StructField(p, levels) for p in paths)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = _Writer(paths)
         for b in batches:
             rows, cols = [], {p: ([], [], []) for p in paths}
             for i, text in enumerate(b.column("$payload").to_pylist()):
                 x = read_json(text)
                 if x is None:
                     continue
-                w = _Writer(tree)
+                w.start()
                 w.walk(tree, x, "", 0, 0, 0)
                 rows.append(i)
                 for p in paths:
@@ -273,8 +290,8 @@ def valid_requests(raw: DataFrame) -> DataFrame:
     return raw.groupBy("record_id").agg(best).select("record_id", "row.camera_id", "row.payload", "row.received_at")
 
 
-def request_levels(raw: DataFrame) -> DataFrame:
-    return shred(valid_requests(raw), "payload", ENVELOPE, _KEEP)
+def request_levels(raw: DataFrame, only: list[str] | None = None) -> DataFrame:
+    return shred(valid_requests(raw), "payload", ENVELOPE, _KEEP, only)
 
 
 def records(levels: DataFrame) -> DataFrame:
@@ -312,6 +329,8 @@ def requirements(levels: DataFrame) -> DataFrame:
     return assemble(levels, MISSING + UNCERTAIN, columns, ["item_no"], ["record_id"], tag="child")
 
 
-def children(levels: DataFrame) -> DataFrame:
-    """``(record_id, child, obs_no, item_no)`` of every detection and missing requirement."""
-    return assemble(levels, DETECTIONS + MISSING, {}, ["obs_no", "item_no"], ["record_id"], tag="child").distinct()
+def children(raw: DataFrame) -> DataFrame:
+    """``(record_id, child, obs_no, item_no)`` of every detection and missing requirement; only the leaves that tell elements from nulls are shredded."""
+    parts = DETECTIONS + MISSING
+    levels = request_levels(raw, [f"{p.path}/$kind" for p in parts])
+    return assemble(levels, parts, {}, ["obs_no", "item_no"], ["record_id"], tag="child").distinct()

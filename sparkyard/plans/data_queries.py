@@ -15,7 +15,7 @@ def _levels(spark, d):
 
 def queries() -> dict:
     return {
-        "p3_found": lambda s, d: shred.children(_levels(s, d)),
+        "p3_found": lambda s, d: shred.children(table(s, d, "raw_requests")),
         "p3_records": lambda s, d: shred.records(_levels(s, d)).drop("received_at"),
         "p3_observations": lambda s, d: shred.observations(_levels(s, d)),
         "p3_detections": lambda s, d: shred.detections(_levels(s, d)),
