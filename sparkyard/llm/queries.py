@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkyard.functions import sql
-from sparkyard.llm import components, overlap
+from sparkyard.llm import canonical, components, overlap
 from sparkyard.sources.tables import table
 
 
@@ -29,12 +29,27 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(spark, table(spark, d, "manifest"), table(spark, d, "fingerprints"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_mapping(spark, d).select("audit_id", "class_id")
+
+
+def p5_mapping(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.mapped_classes(spark, table(spark, d, "raw_class_mapping_audit"), table(spark, d, "class_reference"))
+
+
+def p5_misses(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.misses(spark, table(spark, d, "raw_class_mapping_audit"), table(spark, d, "class_reference"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_group_sizes": p1_group_sizes,
         "p2_found": p2_found,
         "p2_counts": p2_counts,
+        "p5_found": p5_found,
+        "p5_mapping": p5_mapping,
+        "p5_misses": p5_misses,
     }
 
 
