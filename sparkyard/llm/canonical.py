@@ -61,9 +61,20 @@ def deletes(text: str, k: int) -> set[str]:
     return {"".join(text[i] for i in range(len(text)) if i not in gone) for n in range(min(k, len(text)) + 1) for gone in map(set, combinations(range(len(text)), n))}
 
 
-def distance(a: str, b: str) -> tuple[int, float]:
-    """Damerau-Levenshtein distance with edits allowed between swapped letters: plain, and with lighter swaps and doubled letters."""
-    return int(_damerau(a, b, 1.0, 1.0)), _damerau(a, b, 0.9, 0.7)
+def distance(a: str, b: str) -> int:
+    """Damerau-Levenshtein distance, edits between swapped letters allowed."""
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    a, b = a[n:], b[n:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    return int(_damerau(a, b, 1.0, 1.0)) if a and b else len(a) + len(b)
+
+
+def weighted(a: str, b: str) -> float:
+    """The same with lighter swaps and doubled letters, to rank what is equally far."""
+    return _damerau(a, b, 0.9, 0.7)
 
 
 def _damerau(a: str, b: str, swap: float, double: float) -> float:
@@ -97,6 +108,7 @@ class Forms:
 
     def __init__(self, entries: list[tuple[int, str, int]], edits: int = MAX_EDITS):
         self.edits, self.entries = edits, entries
+        self.known: dict[str, tuple[int | None, int, int]] = {}
         self.forms: dict[str, set[int]] = {}
         for n, (_, text, _) in enumerate(entries):
             words = fold(text)
@@ -116,20 +128,28 @@ class Forms:
         if value is None or not value.strip():
             return None, -1, -1
         key = "".join(fold(value))
+        if key not in self.known:
+            if len(self.known) >= MEMO:
+                self.known.clear()
+            self.known[key] = self._find(key)
+        return self.known[key]
+
+    def _find(self, key: str) -> tuple[int | None, int, int]:
         k = reach(len(key), self.edits)
-        found = {form for x in deletes(key, k) for form in self.index.get(x, ())}
-        ranked = []
-        for form in found:
-            plain, weighted = distance(key, form)
-            if plain <= min(k, reach(len(form), self.edits)):
-                ranked += [(plain, weighted, -self.entries[n][2], n) for n in self.forms[form]]
-        if not ranked:
-            return -1, -1, -1
-        best = min(r[0] for r in ranked)
-        if len({self.entries[r[3]][0] for r in ranked if r[0] == best}) > 1:
+        if key in self.forms:
+            near, best = [key], 0
+        else:
+            found = {form for x in deletes(key, k) for form in self.index.get(x, ())}
+            far = {form: d for form in found if (d := distance(key, form)) <= min(k, reach(len(form), self.edits))}
+            if not far:
+                return -1, -1, -1
+            best = min(far.values())
+            near = [form for form, d in far.items() if d == best]
+        classes = {self.entries[n][0] for form in near for n in self.forms[form]}
+        if len(classes) > 1:
             return -1, -1, best
-        top = min(r for r in ranked if r[0] == best)
-        return self.entries[top[3]][0], top[3], best
+        top = min((weighted(key, form), -self.entries[n][2], n) for form in near for n in self.forms[form])
+        return classes.pop(), top[2], best
 
 
 def reference_entries(reference: DataFrame, counts: dict[str, int] | None = None) -> list[tuple[int, str, int]]:
@@ -168,6 +188,8 @@ def map_values(spark: SparkSession, df: DataFrame, value: str, reference: DataFr
 def current_audit(audit: DataFrame) -> DataFrame:
     """One row per ``audit_id``: of its rows with something written the one with the latest ``recorded_at``, then the greatest value."""
     written = audit.where(F.col("audit_id").isNotNull() & strip_or_null(F.col("raw_class")).isNotNull())
+    # looking up is work for the CPU: a set number of partitions, which adaptive execution doesn't merge by their few bytes
+    written = written.repartition(int(audit.sparkSession.conf.get("spark.sql.shuffle.partitions")), "audit_id")
     row = F.max(F.struct("recorded_at", "raw_class", F.coalesce("bbox_count", F.lit(0)).alias("bbox_count"), "source")).alias("r")
     return written.groupBy("audit_id").agg(row).select("audit_id", "r.source", "r.raw_class", "r.bbox_count")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkyard.functions import sql
-from sparkyard.llm import canonical, components, overlap
+from sparkyard.llm import canonical, chunking, components, overlap, tokenizer
 from sparkyard.sources.tables import table
 
 
@@ -41,6 +41,25 @@ def p5_misses(spark: SparkSession, d: str) -> DataFrame:
     return canonical.misses(spark, table(spark, d, "raw_class_mapping_audit"), table(spark, d, "class_reference"))
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenizer.encode(spark, table(spark, d, "documents"), "text", ["doc_id"])
+
+
+def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Decoded again: the texts that encoding lost anything of; none."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    back = tokenizer.decode(spark, tokenizer.encode(spark, docs, "text", ["doc_id", "text"]), "ids", ["doc_id", "text"], out="decoded")
+    return back.select("doc_id", (F.col("decoded") == F.col("text")).alias("same"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.split_oversized(spark, table(spark, d, "documents"), with_text=False).where("piece_no = 0").select("doc_id")
+
+
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.split_oversized(spark, table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -50,6 +69,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p5_mapping": p5_mapping,
         "p5_misses": p5_misses,
+        "p7_ids": p7_ids,
+        "p7_round_trip": p7_round_trip,
+        "p9_found": p9_found,
+        "p9_pieces": p9_pieces,
     }
 
 
@@ -78,6 +101,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_SQL + "SELECT image, group_id FROM g",
         "p1_group_sizes": P1_SQL + "SELECT images, count(*) AS n_groups FROM (SELECT group_id, count(*) AS images FROM g GROUP BY 1) GROUP BY 1",
+        "p7_round_trip": "SELECT doc_id, true AS same FROM documents",
         "p2_found": P2_SQL + "SELECT least(t, e) AS image_id_a, greatest(t, e) AS image_id_b FROM p",
         "p2_counts": P2_SQL + "SELECT split, source, count(*) AS images, count(*) FILTER (exact) AS exact, count(*) FILTER (near) AS near, count(n_pairs) AS leaked, coalesce(sum(n_pairs), 0)::BIGINT AS pairs FROM x LEFT JOIN h USING (image_id) WHERE split <> 'train' GROUP BY ALL",
     }
