@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkyard.functions import sql
-from sparkyard.llm import canonical, chunking, components, overlap, tokenizer
+from sparkyard.llm import canonical, chunking, components, leakage, overlap, tokenizer
 from sparkyard.sources.tables import table
 
 
@@ -52,6 +52,19 @@ def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.select("doc_id", (F.col("decoded") == F.col("text")).alias("same"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(spark, table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """With up to two words of a run inserted, deleted or changed."""
+    return leakage.leaked_items(spark, table(spark, d, "documents"), table(spark, d, "eval_items"), edits=2)
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leak_report(p8_found(spark, d), table(spark, d, "eval_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_oversized(spark, table(spark, d, "documents"), with_text=False).where("piece_no = 0").select("doc_id")
 
@@ -71,6 +84,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_misses": p5_misses,
         "p7_ids": p7_ids,
         "p7_round_trip": p7_round_trip,
+        "p8_found": p8_found,
+        "p8_near": p8_near,
+        "p8_report": p8_report,
         "p9_found": p9_found,
         "p9_pieces": p9_pieces,
     }
@@ -96,6 +112,8 @@ p AS (SELECT t.image_id AS t, e.image_id AS e, coalesce(t.sha1 = e.sha1, false)
 h AS (SELECT e AS image_id, bool_or(exact) AS exact, bool_or(near) AS near, count(*) AS n_pairs FROM p GROUP BY 1)
 """
 
+_WORDS = "list_filter(string_split_regex(regexp_replace(lower(nfkc), '[\\p{Cf}]', '', 'g'), '[^\\p{L}\\p{N}]+'), x -> x <> '')"
+
 
 def oracle_sql() -> dict[str, str]:
     return {
