@@ -115,21 +115,21 @@ class Items:
             starts = inside[strange[inside + n] - strange[inside] <= self.allowed(n)]
             if not len(starts):
                 continue
-            pairs = np.unique(np.concatenate([self._collisions(ids, starts, n, rep) for rep in range(REPETITIONS[self.allowed(n)])]), axis=0)
-            if not len(pairs):
+            met = np.unique(np.concatenate([self._collisions(ids, starts, n, rep) for rep in range(REPETITIONS[self.allowed(n)])]))
+            if not len(met):
                 continue
-            have, want = ids[pairs[:, :1] + np.arange(n)], self.windows[n][pairs[:, 1]]
-            same = (have == want).all(1)
-            for (s, w), equal, a, b in zip(pairs.tolist(), same.tolist(), have, want):
-                d = 0 if equal else banded(a.tolist(), b.tolist(), self.allowed(n))
-                if d is not None:
+            pairs = np.stack(np.divmod(met, len(self.windows[n])), axis=1)
+            for part in np.array_split(pairs, -(-len(pairs) // 100_000)):
+                d = banded(ids[part[:, :1] + np.arange(n)], self.windows[n][part[:, 1]], self.allowed(n))
+                for (s, w), e in zip(part[d <= self.allowed(n)].tolist(), d[d <= self.allowed(n)].tolist()):
                     for item in self.owners[n][w]:
                         k = (int(owner[s]), item)
-                        best[k] = min(d, best.get(k, d))
+                        best[k] = min(e, best.get(k, e))
         for (t, item), d in best.items():
             yield t, item, d
 
     def _collisions(self, ids: np.ndarray, starts: np.ndarray, n: int, rep: int) -> np.ndarray:
+        """The start and the window, as one number, of all that share a key in this repetition."""
         keys, order = self.tables[n, rep]
         mine = self.keys(ids, starts, n, rep)
         low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
@@ -137,23 +137,31 @@ class Items:
         hit = np.flatnonzero(count)
         count = count[hit]
         nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return np.stack([np.repeat(starts[hit], count), order[np.repeat(low[hit], count) + nth]], axis=1)
-
-
-def banded(a: list[int], b: list[int], k: int) -> int | None:
-    """The edit distance of two lists if it is at most ``k``, else ``None``."""
-    if abs(len(a) - len(b)) > k:
-        return None
-    far = k + 1
-    row = [j if j <= k else far for j in range(len(b) + 1)]
-    for i in range(1, len(a) + 1):
-        new = [far] * (len(b) + 1)
-        if i <= k:
-            new[0] = i
-        for j in range(max(1, i - k), min(len(b), i + k) + 1):
-            new[j] = min(row[j - 1] + (a[i - 1] != b[j - 1]), row[j] + 1, new[j - 1] + 1, far)
+        return np.repeat(starts[hit], count) * len(order) + order[np.repeat(low[hit], count) + nth]
+
+
+def banded(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """The edit distance of each row of ``a`` to the same row of ``b``, windows of one length; k + 1 where it is more than ``k``.
+
+    The table of the dynamic program is only filled within k of its diagonal, for all rows at once.
+    """
+    n, far = a.shape[1], np.int8(k + 1)
+    row = [np.full(len(a), j if j >= 0 else far, np.int8) for j in range(-k, k + 1)]
+    for i in range(1, n + 1):
+        new = []
+        for o in range(-k, k + 1):
+            j = i + o
+            if not 0 <= j <= n:
+                new.append(np.full(len(a), far, np.int8))
+                continue
+            best = row[o + k] + (a[:, i - 1] != b[:, j - 1]) if j else np.full(len(a), min(i, k + 1), np.int8)
+            if o < k:
+                best = np.minimum(best, row[o + k + 1] + np.int8(1))
+            if o > -k:
+                best = np.minimum(best, new[-1] + np.int8(1))
+            new.append(np.minimum(best, far).astype(np.int8))
         row = new
-    return row[-1] if row[-1] <= k else None
+    return row[k]
 
 
 def leaked_items(spark: SparkSession, docs: DataFrame, items: DataFrame, run: int = RUN, edits: int = 0, max_windows: int = MAX_WINDOWS) -> DataFrame:
