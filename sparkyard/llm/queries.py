@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkyard.functions import sql
-from sparkyard.llm import canonical, chunking, components, leakage, overlap, tokenizer
+from sparkyard.llm import canonical, chunking, components, group_splits, leakage, overlap, tokenizer
 from sparkyard.sources.tables import table
 
 
@@ -41,6 +41,22 @@ def p5_misses(spark: SparkSession, d: str) -> DataFrame:
     return canonical.misses(spark, table(spark, d, "raw_class_mapping_audit"), table(spark, d, "class_reference"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return group_splits.divided_units(spark, table(spark, d, "group_split_audit"))
+
+
+def p6_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return group_splits.assign_images(spark, table(spark, d, "manifest"), table(spark, d, "group_split_audit"))
+
+
+def p6_balance(spark: SparkSession, d: str) -> DataFrame:
+    return group_splits.balance(p6_assignment(spark, d))
+
+
+def p6_in_two_steps(spark: SparkSession, d: str) -> DataFrame:
+    return group_splits.balance(group_splits.assign_in_two_steps(spark, table(spark, d, "manifest"), table(spark, d, "group_split_audit")))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(spark, table(spark, d, "documents"), "text", ["doc_id"])
 
@@ -82,6 +98,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p5_mapping": p5_mapping,
         "p5_misses": p5_misses,
+        "p6_found": p6_found,
+        "p6_assignment": p6_assignment,
+        "p6_balance": p6_balance,
+        "p6_in_two_steps": p6_in_two_steps,
         "p7_ids": p7_ids,
         "p7_round_trip": p7_round_trip,
         "p8_found": p8_found,
@@ -112,13 +132,21 @@ p AS (SELECT t.image_id AS t, e.image_id AS e, coalesce(t.sha1 = e.sha1, false)
 h AS (SELECT e AS image_id, bool_or(exact) AS exact, bool_or(near) AS near, count(*) AS n_pairs FROM p GROUP BY 1)
 """
 
-_WORDS = "list_filter(string_split_regex(regexp_replace(lower(nfkc), '[\\p{Cf}]', '', 'g'), '[^\\p{L}\\p{N}]+'), x -> x <> '')"
+P6_SQL = f"""
+WITH RECURSIVE a AS (SELECT source, list_filter(list_transform(string_split(lower(group_id), '+'), lambda x: {sql.strip("x")}), lambda x: x <> '') AS m,
+    list_filter(list_transform(string_split_regex(coalesce(final_splits, ''), '[;,]'), lambda x: {sql.split_name("x")}), lambda x: x IS NOT NULL) AS splits FROM group_split_audit),
+rows AS (SELECT * FROM a WHERE len(m) > 0),
+e AS (SELECT m[1] AS s, unnest(m) AS t FROM rows UNION SELECT unnest(m), m[1] FROM rows),
+r(s, t) AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON r.t = e.s),
+u AS (SELECT s AS member, min(t) AS unit FROM r GROUP BY 1)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_SQL + "SELECT image, group_id FROM g",
         "p1_group_sizes": P1_SQL + "SELECT images, count(*) AS n_groups FROM (SELECT group_id, count(*) AS images FROM g GROUP BY 1) GROUP BY 1",
+        "p6_found": P6_SQL + "SELECT min(source) AS source, unit AS group_id FROM (SELECT source, unit, unnest(splits) AS split FROM rows JOIN u ON m[1] = member) GROUP BY unit HAVING count(DISTINCT split) > 1",
         "p7_round_trip": "SELECT doc_id, true AS same FROM documents",
         "p2_found": P2_SQL + "SELECT least(t, e) AS image_id_a, greatest(t, e) AS image_id_b FROM p",
         "p2_counts": P2_SQL + "SELECT split, source, count(*) AS images, count(*) FILTER (exact) AS exact, count(*) FILTER (near) AS near, count(n_pairs) AS leaked, coalesce(sum(n_pairs), 0)::BIGINT AS pairs FROM x LEFT JOIN h USING (image_id) WHERE split <> 'train' GROUP BY ALL",
