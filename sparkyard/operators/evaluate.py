@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkyard.session import Scratch
+
 IOU, SCORE = 0.5, 0.25
 # The protocol's IoU thresholds, recall steps and detections per image and class.
 AP_IOUS, RECALLS, MAX_DETECTIONS = [0.5 + 0.05 * i for i in range(10)], 101, 100
@@ -31,6 +33,8 @@ def _box() -> Column:
 
 def _per_image(gt: DataFrame, pred: DataFrame, top: int | None = None) -> DataFrame:
     """One row per model, image and class with its predictions, best score first, and its boxes; both are as many as one image has."""
+    n = int(gt.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # both sides alike: the join moves nothing, and matching gets all cores
+    pred, gt = (x.repartition(n, "image_id", "class_id") for x in (pred, gt))
     p = pred.where(~F.isnan("score")).groupBy("model", "image_id", "class_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pred_id", _box().alias("box")))).alias("preds"))
     if top:
         p = p.withColumn("preds", F.slice("preds", 1, top))
@@ -134,6 +138,7 @@ def average_precision(gt: DataFrame, pred: DataFrame) -> DataFrame:
     m = flags.select("model", "class_id", "image_id", "pred_id", "score", F.explode(F.arrays_zip(F.array(*(F.lit(round(t, 2)) for t in AP_IOUS)).alias("least"), F.col("hits").alias("tp"))).alias("h"))
     m = m.select("model", "class_id", "image_id", "pred_id", "score", F.col("h.least").alias("least"), F.col("h.tp").cast("bigint").alias("tp"))
     m = m.withColumn("step", -F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))) * STEPS).cast("int"))
+    m = Scratch(gt.sparkSession, "average-precision").save(m)  # read twice below
     keys = ["model", "class_id", "least"]
     sums = m.groupBy(*keys, "step").agg(F.sum("tp").alias("t"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)  # at most STEPS + 1 rows

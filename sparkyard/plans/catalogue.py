@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkyard.plans import data_queries, evaluate_queries, image_queries, label_queries, pair_queries, rebalance_queries
+from sparkyard.plans import data_queries, detection_queries, evaluate_queries, image_queries, label_queries, pair_queries, rebalance_queries, validate_queries
 
-MODULES = [data_queries, label_queries, image_queries, pair_queries, rebalance_queries, evaluate_queries]
+MODULES = [data_queries, label_queries, image_queries, pair_queries, rebalance_queries, evaluate_queries, detection_queries, validate_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
