@@ -75,7 +75,7 @@ def _vector_pairs(s, d):
     w = Window.partitionBy("label").orderBy("vec_id")
     y = x.withColumn("nxt", F.lead(F.struct("vec_id", "v", "bits", "rise")).over(w)).where("nxt IS NOT NULL")
     a, b = F.col("v"), F.col("nxt.v")
-    r = lambda c: F.round(c, 4)
+    r = lambda c: F.round(c, 4) + F.lit(0.0)  # no negative zero
     return y.select("label", F.col("vec_id").alias("a"), F.col("nxt.vec_id").alias("b"), vx.hamming(F.col("bits"), F.col("nxt.bits")).alias("sign_distance"), vx.hamming(F.col("rise"), F.col("nxt.rise")).alias("rise_distance"), r(vx.cosine(a, b)).alias("cosine"), r(vx.ncc(a, b)).alias("ncc"), r(vx.mae(a, b)).alias("mae"))
 
 
@@ -125,5 +125,5 @@ def oracle_sql() -> dict:
         "pair_summary": SQL + f"SELECT source, count(*) AS pairs, count(*) FILTER (final = '{pairs.HIGH}') AS high, count(*) FILTER (final = '{pairs.POSSIBLE}') AS possible, count(*) FILTER (final = '{pairs.NOT}') AS not_leakage, any_value(coalesce(n, 0)) AS images_in_high FROM reviewed LEFT JOIN (SELECT source, count(DISTINCT i) AS n FROM (SELECT source, unnest([a, b]) AS i FROM reviewed WHERE final = '{pairs.HIGH}') GROUP BY 1) USING (source) GROUP BY source",
         "components": SQL + "SELECT source, node AS image, component, dense_rank() OVER (PARTITION BY source ORDER BY component)::INT AS number FROM members",
         "component_profile": SQL + ", g AS (SELECT source, component, count(*) AS n_images, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val, count(*) FILTER (split = 'test') AS n_test, min(frame) AS min_frame, max(frame) AS max_frame, count(DISTINCT split) AS k FROM members GROUP BY ALL), c AS (SELECT component, count(*) FILTER (confirmed) AS confirmed_edges FROM edges JOIN comp ON a = node GROUP BY 1) SELECT g.* EXCLUDE (k), confirmed_edges, CASE WHEN confirmed_edges > 0 THEN 'high_confidence_cross_split' ELSE 'possible_cross_split' END AS status FROM g LEFT JOIN c USING (component) WHERE k > 1",
-        "vector_pairs": f"WITH x AS (SELECT vec_id, label, {f} AS v FROM embeddings), y AS (SELECT label, vec_id AS a, lead(vec_id) OVER w AS b, v, lead(v) OVER w AS u FROM x WINDOW w AS (PARTITION BY label ORDER BY vec_id)) SELECT label, a, b, len(list_filter(list_zip(v, u), lambda z: (z[1] > 0) <> (z[2] > 0)))::INT AS sign_distance, len(list_filter(range(1, len(v)), lambda i: (v[i + 1] > v[i]) <> (u[i + 1] > u[i])))::INT AS rise_distance, round(list_cosine_similarity(v, u), 4) AS cosine, round(list_cosine_similarity({centre.format('v')}, {centre.format('u')}), 4) AS ncc, round(list_avg(list_transform(list_zip(v, u), lambda z: abs(z[1] - z[2]))), 4) AS mae FROM y WHERE b IS NOT NULL",
+        "vector_pairs": f"WITH x AS (SELECT vec_id, label, {f} AS v FROM embeddings), y AS (SELECT label, vec_id AS a, lead(vec_id) OVER w AS b, v, lead(v) OVER w AS u FROM x WINDOW w AS (PARTITION BY label ORDER BY vec_id)) SELECT label, a, b, len(list_filter(list_zip(v, u), lambda z: (z[1] > 0) <> (z[2] > 0)))::INT AS sign_distance, len(list_filter(range(1, len(v)), lambda i: (v[i + 1] > v[i]) <> (u[i + 1] > u[i])))::INT AS rise_distance, round(list_cosine_similarity(v, u), 4) + 0.0 AS cosine, round(list_cosine_similarity({centre.format('v')}, {centre.format('u')}), 4) + 0.0 AS ncc, round(list_avg(list_transform(list_zip(v, u), lambda z: abs(z[1] - z[2]))), 4) AS mae FROM y WHERE b IS NOT NULL",
     }

@@ -16,9 +16,9 @@ from sparkyard.session import delete_path
 def write_csv(df: DataFrame, path: str) -> None:
     """One CSV file with header and BOM, columns in their order; an empty table gives the header alone. For reports."""
     first, *rest = df.columns
-    df.withColumnRenamed(first, "﻿" + first).coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").option("escape", '"').csv(path)
+    df.withColumnRenamed(first, "\ufeff" + first).coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").option("escape", '"').csv(path)
     if not any(f.endswith(".csv") for f in _list(df.sparkSession, path)) or not df.limit(1).count():
-        _write_text(df.sparkSession, os.path.join(path, "part-00000.csv"), "﻿" + ",".join([first, *rest]) + "\n", only=True)
+        _write_text(df.sparkSession, os.path.join(path, "part-00000.csv"), "\ufeff" + ",".join([first, *rest]) + "\n", only=True)
 
 
 def _fs(spark: SparkSession, path: str):
