@@ -12,26 +12,44 @@ MAX_ROUNDS = 60
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """``(node, component)`` of every node of the edges ``(a, b)``; a component is named by its smallest node.
+    """``(node, component)`` of every node of the edges ``(a, b)``; a component is named by its smallest node. Edges with a null end are none.
 
-    Each round every node takes the smallest label of its neighbours and then the label that label's node has, so
-    labels travel in jumps. Labels are written after each round; only the number of changes reaches the driver.
+    Contraction: every root hooks onto its smallest neighbour, pointers jump to the ends of their chains, and the edges are drawn
+    again between the roots that are left, which at least halves the roots in each round. Rounds work on 64-bit numbers of the
+    nodes; should two nodes share one, other numbers are taken. Only emptiness checks reach the driver.
     """
     scratch = Scratch(spark, "graph")
-    both = edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("t")), F.struct(F.col("b").alias("s"), F.col("a").alias("t")))).alias("e")).select("e.*").distinct()
-    both = scratch.save(both, "edges")
-    labels, path = scratch.write(both.groupBy(F.col("s").alias("node")).agg(F.min("t").alias("t")).select("node", F.least("node", "t").alias("component")), "labels")
+    edges = edges.where("a IS NOT NULL AND b IS NOT NULL")
+    for seed in range(5):
+        number = lambda c: F.xxhash64(F.lit(seed), c)  # noqa: B023, E731
+        names = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy(number(F.col("node")).alias("id")).agg(F.min("node").alias("node"), F.max("node").alias("other"))
+        names = scratch.save(names, "names")
+        if names.where("node <> other").isEmpty():
+            break
+    else:
+        raise RuntimeError("nodes share numbers under every seed")
+    left = edges.select(number(F.col("a")).alias("a"), number(F.col("b")).alias("b")).where("a <> b").distinct()
+    left, left_path = scratch.write(left, "edges")
+    roots, path = names.select("id", F.col("id").alias("root")), None
     for _ in range(MAX_ROUNDS):
-        near = both.join(labels.withColumnRenamed("node", "t"), "t").groupBy("s").agg(F.min("component").alias("m"))
-        step = labels.join(near.withColumnRenamed("s", "node"), "node").select("node", "component", F.least("component", "m").alias("m"))
-        jump = labels.select(F.col("node").alias("m"), F.col("component").alias("j"))
-        step = step.join(jump, "m", "left").select("node", F.least("m", F.coalesce("j", "m")).alias("new"), "component")
-        new, new_path = scratch.write(step.select("node", F.col("new").alias("component"), (F.col("new") != F.col("component")).alias("moved")), "labels")
-        scratch.drop(path)
-        labels, path = new.select("node", "component"), new_path
-        if new.where("moved").isEmpty():
-            return labels
-    raise RuntimeError(f"labels still change after {MAX_ROUNDS} rounds")
+        hooks, hook_path = scratch.write(left.groupBy(F.greatest("a", "b").alias("x")).agg(F.min(F.least("a", "b")).alias("y")), "hooks")
+        if hooks.isEmpty():
+            small = roots.join(names, "id").groupBy("root").agg(F.min("node").alias("component"))
+            return roots.join(names, "id").join(small, "root").select("node", "component")
+        for _ in range(MAX_ROUNDS):
+            q = hooks.select(F.col("x").alias("y"), F.col("y").alias("z"))
+            jumped, jumped_path = scratch.write(hooks.join(q, "y", "left").select("x", F.coalesce("z", "y").alias("y"), F.col("z").isNotNull().alias("moved")), "hooks")
+            scratch.drop(hook_path)
+            hooks, hook_path = jumped.select("x", "y"), jumped_path
+            if jumped.where("moved").isEmpty():
+                break
+        at = lambda t, c: t.join(hooks.select(F.col("x").alias(c), F.col("y").alias("y")), c, "left").withColumn(c, F.coalesce("y", c)).drop("y")  # noqa: B023, E731
+        new_left, new_left_path = scratch.write(at(at(left, "a"), "b").where("a <> b").distinct(), "edges")
+        new_roots, new_path = scratch.write(at(roots, "root"), "roots")
+        for p in (left_path, path):
+            scratch.drop(p)
+        left, left_path, roots, path = new_left, new_left_path, new_roots, new_path
+    raise RuntimeError(f"edges are left after {MAX_ROUNDS} rounds")
 
 
 def numbered(members: DataFrame) -> DataFrame:
