@@ -44,9 +44,10 @@ _TO_CYRILLIC = str.maketrans(dict(zip(_LATIN, _CYRILLIC)) | _AS_CYRILLIC)
 def fold(text: str) -> list[str]:
     """The words of a value in the folded form."""
     t = unicodedata.normalize("NFKC", text).lower()
-    latin = sum("a" <= c <= "z" for c in t)
-    cyrillic = sum("а" <= c <= "я" or c == "ё" for c in t)
-    if latin + cyrillic:
+    # the letters that the other script has no look-alike of tell the script, else the greater part
+    latin, cyrillic = ([c for c in t if low <= c <= high or c == more] for low, high, more in (("a", "z", ""), ("а", "я", "ё")))
+    if latin or cyrillic:
+        latin, cyrillic = ((sum(c not in alike for c in x), len(x)) for x, alike in ((latin, _LATIN), (cyrillic, _CYRILLIC)))
         t = t.translate(_TO_LATIN if latin >= cyrillic else _TO_CYRILLIC)
     return re.findall(r"[^\W_]+", t)
 
