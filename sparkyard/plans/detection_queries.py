@@ -96,7 +96,9 @@ def queries() -> dict:
 _NUM = "try_cast({0} AS DOUBLE)"
 SQL = (
     data_queries.P3
-    + f""", zones AS (SELECT record_id, obs_no::INT AS obs_no, {sql.strip_or_null("o->>'$.context.zone_id'")} AS target FROM obs WHERE json_type(o) = 'OBJECT'
+    + f""", observed AS (SELECT record_id, obs_no::INT AS obs_no, o->>'$.context.planned_work' AS work, {sql.strip_or_null("o->>'$.context.zone_id'")} AS zone, try_cast(o->>'$.context.timestamp' AS TIMESTAMPTZ) AS ts FROM obs WHERE json_type(o) = 'OBJECT'
+  UNION ALL SELECT record_id, 0, j->>'$.request.context.planned_work', {sql.strip_or_null("j->>'$.request.context.zone_id'")}, try_cast(j->>'$.request.context.timestamp' AS TIMESTAMPTZ) FROM j WHERE coalesce(j->>'$.mode', '') <> 'temporal'),
+zones AS (SELECT record_id, obs_no::INT AS obs_no, {sql.strip_or_null("o->>'$.context.zone_id'")} AS target FROM obs WHERE json_type(o) = 'OBJECT'
   UNION ALL SELECT record_id, 0, {sql.strip_or_null("j->>'$.request.context.zone_id'")} FROM j WHERE coalesce(j->>'$.mode', '') <> 'temporal'),
 nd AS (SELECT d.record_id, d.obs_no, item_no, target, CASE WHEN json_type(e) = 'VARCHAR' THEN e->>'$' ELSE coalesce(o->>'$.class', o->>'$.class_name') END AS class, json_type(e) AS kind,
   CASE WHEN json_type(e) = 'VARCHAR' OR o->>'$.confidence' IS NULL THEN 1.0 ELSE try_cast(o->>'$.confidence' AS DOUBLE) END AS conf0, CASE WHEN json_type(o, '$.bbox') = 'ARRAY' THEN list_transform(from_json(o->'$.bbox', '["VARCHAR"]'), lambda x: try_cast(x AS DOUBLE)) END AS b,
@@ -109,7 +111,10 @@ routed AS (SELECT *, CASE WHEN invalid_reason IS NOT NULL THEN 'invalid' WHEN cl
 
 
 def oracle_sql() -> dict:
+    mixed = "count(DISTINCT {0}) + max(({0} IS NULL)::INT) > 1"
     return {
+        "series_problems": SQL + f"SELECT record_id, count(*) AS n, count(ts) < count(*) AS no_timestamp, count(DISTINCT ts) < count(ts) AS duplicate_timestamps, {mixed.format('work')} AS mixed_planned_work, {mixed.format('zone')} AS mixed_target_zone FROM observed GROUP BY 1",
+        "temporal_window": SQL + "SELECT record_id, obs_no FROM (SELECT record_id, obs_no, epoch_us(max(ts) OVER (PARTITION BY record_id)) - epoch_us(ts) AS age, try_cast(j->>'$.request.temporal_config.window_seconds' AS DOUBLE) AS secs FROM observed JOIN j USING (record_id) WHERE ts IS NOT NULL AND j->>'$.mode' = 'temporal') WHERE secs IS NULL OR age <= secs * 1e6",
         "detection_buckets": SQL + "SELECT bucket, invalid_reason, zone_verified, count(*) AS n FROM routed GROUP BY ALL",
         "detection_rows": SQL + "SELECT record_id, obs_no, item_no, class, bucket, invalid_reason FROM routed",
     }

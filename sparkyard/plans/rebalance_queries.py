@@ -94,6 +94,9 @@ def _sql_before_after(keys: str, before: str, after: str) -> str:
 
 
 def oracle_sql() -> dict:
+    from sparkyard.plans import label_queries
+
+    boxes = label_queries.SQL.replace("WITH ", "WITH RECURSIVE ", 1) + SQL[SQL.index(", mp AS") :]
     agg = lambda c: f"coalesce(string_agg(DISTINCT {c}, ';' ORDER BY {c}), '') AS {c}s"
     return {
         "group_audit": SQL + f"SELECT source, group_id, count(*) AS image_count, {agg('original_split')}, {agg('split')} FROM images WHERE group_id IS NOT NULL GROUP BY ALL",
@@ -103,5 +106,6 @@ def oracle_sql() -> dict:
         "apply_moves": SQL + "SELECT image_id, split, output_image FROM after",
         "move_directions": SQL + "SELECT snapshot_date, source, from_split || '->' || to_split AS direction, count(*) AS moves, count(DISTINCT image) AS images FROM moves GROUP BY ALL",
         "move_deltas": SQL + "SELECT snapshot_date, source, split, sum(d)::BIGINT AS delta FROM (SELECT snapshot_date, source, from_split AS split, -1 AS d FROM moves UNION ALL SELECT snapshot_date, source, to_split, 1 FROM moves) GROUP BY ALL",
+        "class_balance": boxes + ", c AS (" + _sql_before_after("source, split, class", "(SELECT source, split, class FROM boxes JOIN images USING (image_id))", "(SELECT source, split, class FROM boxes JOIN after USING (image_id))") + ") SELECT source, max(abs(delta)) AS max_delta, sum(abs(delta))::BIGINT AS sum_delta, sum(before)::BIGINT AS total FROM c GROUP BY 1",
         "split_balance": SQL + _sql_before_after("source, split", "(FROM images WHERE split IS NOT NULL)", "(SELECT a.* FROM after a JOIN images i USING (image_id) WHERE i.split IS NOT NULL)"),
     }
