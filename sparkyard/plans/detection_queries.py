@@ -110,11 +110,41 @@ routed AS (SELECT *, CASE WHEN invalid_reason IS NOT NULL THEN 'invalid' WHEN cl
 )
 
 
+def _lit(v) -> str:
+    if isinstance(v, list):
+        return "[" + ", ".join(map(_lit, v)) + "]::VARCHAR[]"
+    return "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+
+
+_HELD = "CASE WHEN target IS NOT NULL AND len({0}) > 0 AND NOT list_has_any({0}, ver) THEN 'uncertain' ELSE 'satisfied' END"
+_WHOLE = "len(und) > 0 AND coalesce(relation = 'alternative', false) AND len(found) < len(det)"
+RESULTS = f"""{SQL}, rq(profile_id, ord, kind, name, det, und, condition, mode, relation) AS (VALUES {", ".join("(" + ", ".join(map(_lit, r)) + ")" for r in PROFILES)}),
+acc AS (SELECT record_id, obs_no, list(DISTINCT class) AS acc, coalesce(list(DISTINCT class) FILTER (zone_verified), []) AS ver FROM routed WHERE bucket = 'accepted' GROUP BY ALL),
+fr AS (SELECT o.record_id, o.obs_no, zone AS target, ts, {IDS}[(o.record_id % {len(IDS)} + 1)::INT] AS profile_id, o.record_id % 2 = 0 AS active, coalesce(acc, []::VARCHAR[]) AS acc, coalesce(ver, []::VARCHAR[]) AS ver FROM observed o LEFT JOIN acc a ON a.record_id = o.record_id AND a.obs_no = o.obs_no),
+x AS (SELECT *, list_filter(det, lambda d: list_contains(acc, d)) AS found, kind = 'conditional' AS cond FROM fr JOIN rq USING (profile_id)),
+res AS (
+  SELECT record_id, obs_no, ts, CASE WHEN cond AND NOT active THEN replace(name, 'conditional', 'conditional_support') ELSE name END AS id, CASE WHEN len(found) > 0 AND ({_WHOLE}) IS NOT TRUE OR NOT cond THEN found ELSE [] END AS found,
+    CASE WHEN cond AND NOT active THEN CASE WHEN len(found) > 0 THEN 'supporting' END
+      WHEN cond AND mode = 'all' THEN CASE WHEN {_WHOLE} THEN 'uncertain' END
+      WHEN kind = 'undetectable' THEN 'uncertain' WHEN len(found) > 0 THEN {_HELD.format('found')}
+      WHEN kind = 'required' THEN 'missing' WHEN kind = 'alternative' THEN CASE WHEN len(und) > 0 THEN 'uncertain' ELSE 'missing' END
+      WHEN len(und) > 0 AND relation = 'alternative' THEN 'uncertain' WHEN len(det) > 0 THEN 'missing' END AS bucket FROM x
+  UNION ALL SELECT record_id, obs_no, ts, name || ':' || d, CASE WHEN list_contains(acc, d) THEN [d] ELSE [] END, CASE WHEN list_contains(acc, d) THEN {_HELD.format('[d]')} ELSE 'missing' END FROM x, unnest(det) t(d) WHERE cond AND active AND mode = 'all' AND NOT ({_WHOLE})
+  UNION ALL SELECT record_id, obs_no, ts, replace(name, 'conditional', 'conditional_undetectable') || ':' || (j - 1), [], 'uncertain' FROM x, LATERAL (SELECT unnest(range(1, len(und) + 1)) AS j) WHERE cond AND active AND relation = 'additional'),
+results AS (SELECT * FROM res WHERE bucket IS NOT NULL),
+win AS (SELECT record_id, obs_no FROM (SELECT record_id, obs_no, epoch_us(max(ts) OVER (PARTITION BY record_id)) - epoch_us(ts) AS age, try_cast(j->>'$.request.temporal_config.window_seconds' AS DOUBLE) AS secs FROM observed JOIN j USING (record_id) WHERE ts IS NOT NULL AND j->>'$.mode' = 'temporal') WHERE secs IS NULL OR age <= secs * 1e6),
+n AS (SELECT record_id, count(*) AS n FROM win GROUP BY 1)
+"""
+
+
 def oracle_sql() -> dict:
     mixed = "count(DISTINCT {0}) + max(({0} IS NULL)::INT) > 1"
     return {
         "series_problems": SQL + f"SELECT record_id, count(*) AS n, count(ts) < count(*) AS no_timestamp, count(DISTINCT ts) < count(ts) AS duplicate_timestamps, {mixed.format('work')} AS mixed_planned_work, {mixed.format('zone')} AS mixed_target_zone FROM observed GROUP BY 1",
-        "temporal_window": SQL + "SELECT record_id, obs_no FROM (SELECT record_id, obs_no, epoch_us(max(ts) OVER (PARTITION BY record_id)) - epoch_us(ts) AS age, try_cast(j->>'$.request.temporal_config.window_seconds' AS DOUBLE) AS secs FROM observed JOIN j USING (record_id) WHERE ts IS NOT NULL AND j->>'$.mode' = 'temporal') WHERE secs IS NULL OR age <= secs * 1e6",
+        "temporal_window": RESULTS + "SELECT record_id, obs_no FROM win",
+        "requirement_results": RESULTS + "SELECT record_id, obs_no, id, bucket, array_to_string(list_sort(found), ';') AS found FROM results",
+        "frame_summary": RESULTS + "SELECT record_id, obs_no, s AS satisfied, m AS missing, u AS uncertain, p AS supporting, CASE WHEN s + m > 0 THEN round_even(s / (s + m), 3) END AS score, CASE WHEN s + m + u > 0 THEN round_even((s + m) / (s + m + u), 3) ELSE 0.0 END AS coverage FROM (SELECT f.record_id, f.obs_no, count(*) FILTER (bucket = 'satisfied') AS s, count(*) FILTER (bucket = 'missing') AS m, count(*) FILTER (bucket = 'uncertain') AS u, count(*) FILTER (bucket = 'supporting') AS p FROM fr f LEFT JOIN results r ON r.record_id = f.record_id AND r.obs_no = f.obs_no GROUP BY ALL)",
+        "temporal_persistence": RESULTS + f"SELECT record_id, id, n, m AS missing_n, u AS uncertain_n, last_bucket, round_even(m / n, 3) AS missing_ratio, round_even((m + u) / n, 3) AS unresolved_ratio, CASE WHEN n < {dt.MIN_OBSERVATIONS} THEN 'insufficient_data' WHEN m / n >= {dt.PERSISTENCE} THEN 'persistent_missing' WHEN u > 0 AND (m + u) / n >= {dt.PERSISTENCE} THEN 'persistent_uncertain' ELSE 'transient' END AS state FROM (SELECT r.record_id, id, count(*) FILTER (bucket = 'missing') AS m, count(*) FILTER (bucket = 'uncertain') AS u, arg_max(bucket, ts) AS last_bucket FROM results r JOIN win w ON w.record_id = r.record_id AND w.obs_no = r.obs_no GROUP BY ALL) JOIN n USING (record_id) WHERE m + u > 0",
         "detection_buckets": SQL + "SELECT bucket, invalid_reason, zone_verified, count(*) AS n FROM routed GROUP BY ALL",
         "detection_rows": SQL + "SELECT record_id, obs_no, item_no, class, bucket, invalid_reason FROM routed",
     }
