@@ -141,6 +141,7 @@ def oracle_sql() -> dict:
     mixed = "count(DISTINCT {0}) + max(({0} IS NULL)::INT) > 1"
     return {
         "series_problems": SQL + f"SELECT record_id, count(*) AS n, count(ts) < count(*) AS no_timestamp, count(DISTINCT ts) < count(ts) AS duplicate_timestamps, {mixed.format('work')} AS mixed_planned_work, {mixed.format('zone')} AS mixed_target_zone FROM observed GROUP BY 1",
+        "observability": RESULTS + "SELECT profile_id, round_even(p / t, 3) AS observability, CASE WHEN p = 0 THEN 'NONE' WHEN round_even(p / t, 3) < 0.4 THEN 'LOW' WHEN round_even(p / t, 3) < 0.75 THEN 'MEDIUM' ELSE 'HIGH' END AS level FROM (SELECT profile_id, sum(CASE WHEN kind <> 'conditional' OR swap THEN 1 ELSE nd + len(und) END)::DOUBLE AS t, sum(CASE WHEN kind = 'required' THEN 1 WHEN kind = 'alternative' OR swap THEN half WHEN kind = 'undetectable' THEN 0 ELSE nd END)::DOUBLE AS p FROM (SELECT *, coalesce(relation = 'alternative', false) AND len(und) > 0 AS swap, CASE WHEN mode = 'all' THEN len(det) ELSE (len(det) > 0)::INT END AS nd, CASE WHEN len(und) = 0 THEN 1.0 WHEN len(det) > 0 THEN 0.5 ELSE 0.0 END AS half FROM rq) GROUP BY 1)",
         "temporal_window": RESULTS + "SELECT record_id, obs_no FROM win",
         "requirement_results": RESULTS + "SELECT record_id, obs_no, id, bucket, array_to_string(list_sort(found), ';') AS found FROM results",
         "frame_summary": RESULTS + "SELECT record_id, obs_no, s AS satisfied, m AS missing, u AS uncertain, p AS supporting, CASE WHEN s + m > 0 THEN round_even(s / (s + m), 3) END AS score, CASE WHEN s + m + u > 0 THEN round_even((s + m) / (s + m + u), 3) ELSE 0.0 END AS coverage FROM (SELECT f.record_id, f.obs_no, count(*) FILTER (bucket = 'satisfied') AS s, count(*) FILTER (bucket = 'missing') AS m, count(*) FILTER (bucket = 'uncertain') AS u, count(*) FILTER (bucket = 'supporting') AS p FROM fr f LEFT JOIN results r ON r.record_id = f.record_id AND r.obs_no = f.obs_no GROUP BY ALL)",

@@ -41,7 +41,7 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     own = getattr(shared_folder, "_own", None)
     if own is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = shared_folder._own = tempfile.mkdtemp(prefix="sparkyard-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
