@@ -294,39 +294,52 @@ def request_levels(raw: DataFrame, only: list[str] | None = None) -> DataFrame:
     return shred(valid_requests(raw), "payload", ENVELOPE, _KEEP, only)
 
 
-def records(levels: DataFrame) -> DataFrame:
-    """One row per readable payload, with the leaves that no array repeats."""
-    one = {
-        "fixture_id": "fixture_id", "mode": "mode", "planned_work": "request/context/planned_work", "observed_at": "request/context/timestamp", "zone_id": "request/context/zone_id",
-        "active_conditions": "request/context/active_conditions", "window_seconds": "request/temporal_config/window_seconds", "min_observations": "request/temporal_config/min_observations",
-        "persistence_ratio": "request/temporal_config/persistence_ratio", "status": "expected/status", "observability": "expected/observability/score", "score": "expected/match/score", "coverage": "expected/match/coverage", "extra": "$extra",
-    }
-    return levels.select(*_KEEP, *(F.col(f"`{p}`")["v"][0].alias(n) for n, p in one.items()))
-
-
+# Leaves of the flat tables, by column.
+RECORD_LEAVES = {
+    "fixture_id": "fixture_id", "mode": "mode", "planned_work": "request/context/planned_work", "observed_at": "request/context/timestamp", "zone_id": "request/context/zone_id",
+    "active_conditions": "request/context/active_conditions", "window_seconds": "request/temporal_config/window_seconds", "min_observations": "request/temporal_config/min_observations",
+    "persistence_ratio": "request/temporal_config/persistence_ratio", "status": "expected/status", "observability": "expected/observability/score", "score": "expected/match/score", "coverage": "expected/match/coverage", "extra": "$extra",
+}
+OBSERVATION_LEAVES = {"kind": "$kind", "planned_work": "context/planned_work", "observed_at": "context/timestamp", "zone_id": "context/zone_id", "active_conditions": "context/active_conditions"}
+DETECTION_LEAVES = {"kind": "$kind", "raw": "$raw", "class": "class", "class_name": "class_name", "confidence": "confidence", "zone_id": "zone_id", "bbox": "bbox[]/$raw", "extra": "$extra"}
+REQUIREMENT_LEAVES = {"kind": "$kind", "raw": "$raw", "id": "id", "condition": "condition", "reason": "reason", "extra": "$extra"}
+OBSERVATIONS = [Part("request/observations[]", 4)]
 DETECTIONS = [Part("request/detections[]", 4, "detection"), Part("request/observations[]/detections[]", 7, "detection")]
 MISSING = [Part("expected/match/missing[]", 5, "missing"), Part("expected/temporal/persistent_missing[]", 5, "persistent_missing")]
 UNCERTAIN = [Part("expected/temporal/persistent_uncertain[]", 5, "persistent_uncertain")]
 
 
+TABLES = {"records": [], "observations": OBSERVATIONS, "detections": DETECTIONS, "requirements": MISSING + UNCERTAIN}
+_LEAVES = {"observations": OBSERVATION_LEAVES, "detections": DETECTION_LEAVES, "requirements": REQUIREMENT_LEAVES}
+
+
+def levels_for(raw: DataFrame, *tables: str) -> DataFrame:
+    """The levels of valid requests, of the leaves that the named flat tables take, by default all four."""
+    names = tables or tuple(TABLES)
+    only = [f"{p.path}/{leaf}" for t in names for p in TABLES[t] for leaf in ["$kind", *_LEAVES[t].values()]]
+    return request_levels(raw, only + [x for t in names if t in ("records", "observations") for x in RECORD_LEAVES.values()])
+
+
+def records(levels: DataFrame) -> DataFrame:
+    """One row per readable payload, with the leaves that no array repeats."""
+    return levels.select(*_KEEP, *(F.col(f"`{p}`")["v"][0].alias(n) for n, p in RECORD_LEAVES.items()))
+
+
 def observations(levels: DataFrame) -> DataFrame:
     """One row per observation that isn't null: ``(record_id, obs_no)`` is its key. A request that isn't temporal is its own observation 0."""
-    columns = {"kind": "$kind", "planned_work": "context/planned_work", "observed_at": "context/timestamp", "zone_id": "context/zone_id", "active_conditions": "context/active_conditions"}
-    many = assemble(levels, [Part("request/observations[]", 4)], columns, ["obs_no"], ["record_id"])
+    many = assemble(levels, OBSERVATIONS, OBSERVATION_LEAVES, ["obs_no"], ["record_id"])
     one = records(levels).where("mode IS NULL OR mode <> 'temporal'").select("record_id", F.lit(0).alias("obs_no"), F.lit("object").alias("kind"), "planned_work", "observed_at", "zone_id", "active_conditions")
     return many.unionByName(one)
 
 
 def detections(levels: DataFrame) -> DataFrame:
     """One row per detection that isn't null, whatever its kind: ``(record_id, obs_no, item_no)``; its parent is ``(record_id, obs_no)``."""
-    columns = {"kind": "$kind", "raw": "$raw", "class": "class", "class_name": "class_name", "confidence": "confidence", "zone_id": "zone_id", "bbox": "bbox[]/$raw", "extra": "$extra"}
-    return assemble(levels, DETECTIONS, columns, ["obs_no", "item_no"], ["record_id"])
+    return assemble(levels, DETECTIONS, DETECTION_LEAVES, ["obs_no", "item_no"], ["record_id"])
 
 
 def requirements(levels: DataFrame) -> DataFrame:
     """One row per listed requirement that isn't null: ``(record_id, child, item_no)``."""
-    columns = {"kind": "$kind", "raw": "$raw", "id": "id", "condition": "condition", "reason": "reason", "extra": "$extra"}
-    return assemble(levels, MISSING + UNCERTAIN, columns, ["item_no"], ["record_id"], tag="child")
+    return assemble(levels, MISSING + UNCERTAIN, REQUIREMENT_LEAVES, ["item_no"], ["record_id"], tag="child")
 
 
 def children(raw: DataFrame) -> DataFrame:

@@ -16,17 +16,17 @@ _DETECTION = ["record_id", "obs_no", "item_no", "kind", "class", "class_name", "
 _REQUIREMENT = ["record_id", "child", "item_no", "kind", "id", "condition", "reason"]
 
 
-def _levels(spark, d):
-    return shred.request_levels(table(spark, d, "raw_requests"))
+def _levels(spark, d, *tables):
+    return shred.levels_for(table(spark, d, "raw_requests"), *tables)
 
 
 def queries() -> dict:
     return {
         "p3_found": lambda s, d: shred.children(table(s, d, "raw_requests")),
-        "p3_records": lambda s, d: shred.records(_levels(s, d)).select(*_RECORD),
-        "p3_observations": lambda s, d: shred.observations(_levels(s, d)).select(*_OBSERVATION),
-        "p3_detections": lambda s, d: shred.detections(_levels(s, d)).select(*_DETECTION, F.array_join("bbox", ";", "null").alias("bbox")),
-        "p3_requirements": lambda s, d: shred.requirements(_levels(s, d)).select(*_REQUIREMENT),
+        "p3_records": lambda s, d: shred.records(_levels(s, d, "records")).select(*_RECORD),
+        "p3_observations": lambda s, d: shred.observations(_levels(s, d, "observations")).select(*_OBSERVATION),
+        "p3_detections": lambda s, d: shred.detections(_levels(s, d, "detections")).select(*_DETECTION, F.array_join("bbox", ";", "null").alias("bbox")),
+        "p3_requirements": lambda s, d: shred.requirements(_levels(s, d, "requirements")).select(*_REQUIREMENT),
         "p4_found": lambda s, d: snapshot_diff.planned_move_changes(table(s, d, "move_plan_snapshots")),
         "p4_change_counts": lambda s, d: snapshot_diff.change_counts(table(s, d, "move_plan_snapshots")),
     }

@@ -30,19 +30,19 @@ def requirements(s):
     return s.createDataFrame(PROFILES, dt.REQUIREMENTS)
 
 
-def _levels(s, d):
-    return shred.request_levels(table(s, d, "raw_requests"))
+def _levels(s, d, *tables):
+    return shred.levels_for(table(s, d, "raw_requests"), *tables)
 
 
 def observed(s, d):
     """Observations with their profile (by record, as no work catalogue is at hand) and instant."""
-    x = shred.observations(_levels(s, d)).where("kind = 'object'").withColumn("zone", strip_or_null(F.col("zone_id")))
+    x = shred.observations(_levels(s, d, "observations")).where("kind = 'object'").withColumn("zone", strip_or_null(F.col("zone_id")))
     profile = F.element_at(F.array(*map(F.lit, IDS)), (F.col("record_id") % len(IDS) + 1).cast("int"))
     return x.select("record_id", "obs_no", profile.alias("profile_id"), F.col("zone").alias("target_zone"), "planned_work", F.try_to_timestamp("observed_at").alias("ts"), (F.col("record_id") % 2 == 0).alias("all_active"))
 
 
 def routed(s, d):
-    d0 = shred.detections(_levels(s, d))
+    d0 = shred.detections(_levels(s, d, "detections"))
     zones = observed(s, d).select("record_id", "obs_no", "target_zone")
     return dt.routed(dt.normalized(d0.join(zones, ["record_id", "obs_no"], "left").withColumn("frame_zone", F.col("target_zone"))))
 
@@ -68,7 +68,7 @@ def _summary(s, d):
 
 
 def _window(s, d):
-    conf = shred.records(_levels(s, d)).where("mode = 'temporal'").select("record_id", dt.number(F.col("window_seconds")).alias("seconds"))
+    conf = shred.records(_levels(s, d, "records")).where("mode = 'temporal'").select("record_id", dt.number(F.col("window_seconds")).alias("seconds"))
     x = observed(s, d).where("ts IS NOT NULL").join(conf, "record_id")
     return dt.trailing_window(x, ["record_id"], "ts", F.col("seconds")).select("record_id", "obs_no")
 

@@ -24,7 +24,7 @@ def _lookup(s, d):
 
 
 def _issues(s, d):
-    levels = shred.request_levels(table(s, d, "raw_requests"))
+    levels = shred.levels_for(table(s, d, "raw_requests"), "records", "observations", "detections")
     return validate.request_issues(shred.records(levels), shred.observations(levels), shred.detections(levels)).groupBy("path", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
