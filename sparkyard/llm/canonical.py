@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations, permutations
 
 import pandas as pd
@@ -153,6 +154,12 @@ class Forms:
         return classes.pop(), top[2], best
 
 
+@lru_cache(maxsize=2)
+def forms_of(entries: tuple) -> Forms:
+    """The dictionary of a reference list, made once in a Python worker."""
+    return Forms(list(entries))
+
+
 def reference_entries(reference: DataFrame, counts: dict[str, int] | None = None) -> list[tuple[int, str, int]]:
     """The written forms of the reference table ``(class_id, class_name, alias)``, each once per class, with how often each is written exactly."""
     rows = reference.where("class_id IS NOT NULL").select("class_id", "class_name", "alias").distinct().limit(MAX_FORMS + 1).collect()
@@ -167,11 +174,12 @@ def map_values(spark: SparkSession, df: DataFrame, value: str, reference: DataFr
     entries = reference_entries(reference)
     exact = df.where(F.col(value).isin([t for _, t, _ in entries])).groupBy(value).count().collect()  # at most as many rows as the reference has forms
     counts = {r[0]: r[1] for r in exact}
-    forms = spark.sparkContext.broadcast([(c, t, counts.get(t, 0)) for c, t, _ in entries])
+    forms = spark.sparkContext.broadcast(tuple((c, t, counts.get(t, 0)) for c, t, _ in entries))
 
     @F.pandas_udf("class_id int, matched string, edits int")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        f, memo = Forms(forms.value), {}
+        f, memo = forms_of(forms.value), {}
+        f.known = {}  # the dictionary is kept, what values gave is not
         for s in batches:
             out = []
             for v in s:

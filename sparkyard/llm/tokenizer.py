@@ -9,7 +9,7 @@ so ``aaa`` becomes ``aa a``. Each state has one way in, so a word's tokens are t
 Decoding emits the bytes of the labels.
 
 Whole texts are encoded; null and empty texts have an empty list; strings that look like special tokens are ordinary
-text. Words worked out once are kept in a table for the following batches of the task.
+text. Words worked out once are kept in a table for what the same Python worker encodes next.
 """
 
 from __future__ import annotations
