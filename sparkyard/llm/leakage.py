@@ -6,8 +6,9 @@ distance then agree in most places, so keys made of a few sampled places collide
 repetitions, each with its own walk and places, reach the target recall. Equal windows always collide, with one
 repetition. What collides is verified exactly: word by word, or by banded dynamic programming where edits are allowed.
 
-Windows are as long as an item's run that counts: ``RUN`` words, or all words of a shorter item. A window with more
-words that no item has than edits are allowed cannot match and isn't embedded. The items are the small side by
+Items' windows are as long as the run that counts: ``RUN`` words, or all words of a shorter item. Windows of documents
+are up to the allowed edits shorter or longer. One with more words that no item has than edits are allowed, besides those
+that it is short of, cannot match and isn't embedded. The items are the small side by
 contract; they go to all tasks, in blocks of at most ``MAX_WINDOWS`` windows, each a pass over the corpus. Documents
 never leave their partition: only (document, item) pairs do.
 """
@@ -31,7 +32,7 @@ RUN = 13
 MAX_WINDOWS = 1_000_000
 SEED = 20260101
 #: Repetitions and sampled places by the number of allowed edits; recall of planted edits is measured in the tests.
-REPETITIONS, PLACES = {0: 1, 1: 8, 2: 16}, {0: 8, 1: 6, 2: 5}
+REPETITIONS, PLACES = {0: 1, 1: 12, 2: 16}, {0: 8, 1: 6, 2: 5}
 
 _FORMAT = re.compile("[" + "".join(f"\\U{c:08x}" for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf") + "]+")
 _WORD = re.compile(r"[^\W_]+")
@@ -78,25 +79,30 @@ class Items:
                 mix = rng.integers(1, 1 << 63, len(places), np.int64).astype(np.uint64) | np.uint64(1)
                 self.walks[n, rep] = (moves, places, mix)
                 w = self.windows[n]
-                keys = self.keys(w.reshape(-1), np.arange(len(w)) * n, n, rep)
+                keys = self.keys(w.reshape(-1), np.arange(len(w)) * n, n, rep, [n])[0]
                 order = np.argsort(keys, kind="stable")
                 self.tables[n, rep] = (keys[order], order)
 
     def allowed(self, n: int) -> int:
         return min(self.edits, n // 5)
 
-    def keys(self, ids: np.ndarray, starts: np.ndarray, n: int, rep: int) -> np.ndarray:
-        """The sampled key of the embedding of each window of ``n`` words of ``ids``."""
+    def keys(self, ids: np.ndarray, starts: np.ndarray, n: int, rep: int, lengths: list[int]) -> list[np.ndarray]:
+        """Per length the sampled key of the embedding of each window of so many words of ``ids``, for items' windows of ``n``.
+
+        One walk serves all lengths: past the end of a window it only reads the end, wherever it stands.
+        """
         moves, places, mix = self.walks[n, rep]
-        at, key, sampled = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.uint64), dict(zip(places.tolist(), mix))
+        at, sampled = np.zeros(len(starts), np.int32), dict(zip(places.tolist(), mix))
+        keys = [np.zeros(len(starts), np.uint64) for _ in lengths]
         end = len(self.vocabulary) + 1
         for step in range(int(places[-1]) + 1):
-            word = np.where(at < n, ids[starts + np.minimum(at, n - 1)], end)
+            word = ids[np.minimum(starts + at, len(ids) - 1)]
             if step in sampled:
-                key = (key ^ (word.astype(np.uint64) + np.uint64(1))) * sampled[step]
-                key ^= key >> np.uint64(29)
+                for i, m in enumerate(lengths):
+                    key = (keys[i] ^ (np.where(at < m, word, end).astype(np.uint64) + np.uint64(1))) * sampled[step]
+                    keys[i] = key ^ key >> np.uint64(29)
             at += moves[step][word]
-        return key
+        return keys
 
     def find(self, texts: list[str | None]) -> Iterator[tuple[int, int, int]]:
         """``(text number, item, edits)`` of each text and item that share a window, once, with the fewest edits."""
@@ -109,59 +115,65 @@ class Items:
         strange = np.concatenate([[0], np.cumsum(ids == 0)])
         best: dict[tuple[int, int], int] = {}
         for n in self.sizes:
-            if len(ids) < n:
-                continue
-            inside = np.flatnonzero(room >= n)
-            starts = inside[strange[inside + n] - strange[inside] <= self.allowed(n)]
+            k = self.allowed(n)
+            lengths, fits = [m for m in range(n - k, n + k + 1) if m <= len(ids)], []
+            for m in lengths:
+                inside = np.flatnonzero(room >= m)
+                fits.append(inside[strange[inside + m] - strange[inside] <= k - max(0, n - m)])
+            starts = np.unique(np.concatenate(fits)) if fits else np.zeros(0, np.int64)
             if not len(starts):
                 continue
-            met = np.unique(np.concatenate([self._collisions(ids, starts, n, rep) for rep in range(REPETITIONS[self.allowed(n)])]))
+            rows = [np.searchsorted(starts, x) for x in fits]
+            met = np.unique(np.concatenate([self._collisions(ids, starts, rows, n, rep, lengths) for rep in range(REPETITIONS[k])]))
             if not len(met):
                 continue
             pairs = np.stack(np.divmod(met, len(self.windows[n])), axis=1)
             for part in np.array_split(pairs, -(-len(pairs) // 100_000)):
-                d = banded(ids[part[:, :1] + np.arange(n)], self.windows[n][part[:, 1]], self.allowed(n))
-                for (s, w), e in zip(part[d <= self.allowed(n)].tolist(), d[d <= self.allowed(n)].tolist()):
+                at = part[:, :1] + np.arange(-2 * k, n + 2 * k)
+                near = np.clip(at, 0, len(ids) - 1)
+                text = np.where((near == at) & (owner[near] == owner[part[:, :1]]), ids[near], -1)
+                d = banded(text, self.windows[n][part[:, 1]], k, free=True)
+                for (s, w), e in zip(part[d <= k].tolist(), d[d <= k].tolist()):
                     for item in self.owners[n][w]:
-                        k = (int(owner[s]), item)
-                        best[k] = min(e, best.get(k, e))
+                        pair = (int(owner[s]), item)
+                        best[pair] = min(e, best.get(pair, e))
         for (t, item), d in best.items():
             yield t, item, d
 
-    def _collisions(self, ids: np.ndarray, starts: np.ndarray, n: int, rep: int) -> np.ndarray:
-        """The start and the window, as one number, of all that share a key in this repetition."""
+    def _collisions(self, ids: np.ndarray, starts: np.ndarray, rows: list[np.ndarray], n: int, rep: int, lengths: list[int]) -> np.ndarray:
+        """The start and the window, as one number, of all that share a key in this repetition; ``rows``: the starts that each length has."""
         keys, order = self.tables[n, rep]
-        mine = self.keys(ids, starts, n, rep)
-        low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-        count = high - low
-        hit = np.flatnonzero(count)
-        count = count[hit]
-        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return np.repeat(starts[hit], count) * len(order) + order[np.repeat(low[hit], count) + nth]
-
-
-def banded(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+        found = []
+        for mine, own in zip(self.keys(ids, starts, n, rep, lengths), rows):
+            low, high = np.searchsorted(keys, mine[own], "left"), np.searchsorted(keys, mine[own], "right")
+            count = high - low
+            hit = np.flatnonzero(count)
+            count = count[hit]
+            nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            found.append(np.repeat(starts[own[hit]], count) * len(order) + order[np.repeat(low[hit], count) + nth])
+        return np.unique(np.concatenate(found))
+
+
+def banded(a: np.ndarray, b: np.ndarray, k: int, free: bool = False) -> np.ndarray:
     """The edit distance of each row of ``a`` to the same row of ``b``, windows of one length; k + 1 where it is more than ``k``.
 
-    The table of the dynamic program is only filled within k of its diagonal, for all rows at once.
+    With ``free`` a row of ``a`` has 2 k words more on either side, and the least distance of a run of any length in it counts.
+    The table of the dynamic program is only filled within k of its diagonal, or 2 k with ``free``, for all rows at once.
     """
-    n, far = a.shape[1], np.int8(k + 1)
-    row = [np.full(len(a), j if j >= 0 else far, np.int8) for j in range(-k, k + 1)]
-    for i in range(1, n + 1):
+    n, far, wide = b.shape[1], np.int8(k + 1), 2 * k if free else k
+    text = a if free else np.pad(a, ((0, 0), (k, k)), constant_values=-1)
+    row = [np.full(len(a), 0 if free else o if o >= 0 else far, np.int8) for o in range(-wide, wide + 1)]
+    for i in range(n):
         new = []
-        for o in range(-k, k + 1):
-            j = i + o
-            if not 0 <= j <= n:
-                new.append(np.full(len(a), far, np.int8))
-                continue
-            best = row[o + k] + (a[:, i - 1] != b[:, j - 1]) if j else np.full(len(a), min(i, k + 1), np.int8)
-            if o < k:
-                best = np.minimum(best, row[o + k + 1] + np.int8(1))
-            if o > -k:
+        for o in range(2 * wide + 1):
+            best = row[o] + (text[:, i + o] != b[:, i])
+            if o < 2 * wide:
+                best = np.minimum(best, row[o + 1] + np.int8(1))
+            if o:
                 best = np.minimum(best, new[-1] + np.int8(1))
             new.append(np.minimum(best, far).astype(np.int8))
         row = new
-    return row[k]
+    return np.minimum.reduce(row) if free else row[k]
 
 
 def leaked_items(spark: SparkSession, docs: DataFrame, items: DataFrame, run: int = RUN, edits: int = 0, max_windows: int = MAX_WINDOWS) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
@@ -91,6 +92,38 @@ def test_recall_of_planted_edits(edits):
     assert found.edits == 2 * edits
 
 
+def _least(text, window):
+    """The least edit distance of any run of ``text`` to ``window``."""
+    row = [0] * (len(text) + 1)
+    for i, q in enumerate(window, 1):
+        new = [i]
+        for j, p in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (p != q)))
+        row = new
+    return min(row)
+
+
+@pytest.mark.parametrize("size, edits", [(5, 1), (7, 1), (9, 1), (13, 1), (10, 2), (13, 2)])
+@pytest.mark.parametrize("around", [0, 5])
+def test_recall_of_all_planted_edits(size, edits, around):
+    """Of every combination of kinds nine in ten are found, also where the text ends with the run, and with the right edits."""
+    rng = random.Random(4)
+    kinds = ["".join(x) for x in itertools.combinations_with_replacement("ids", edits)]
+    items = [(i, " ".join(rng.choice(W) for _ in range(size))) for i in range(200 * len(kinds))]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        for kind in kinds[i % len(kinds)]:
+            at, other = rng.randrange(1, len(w) - 1), rng.choice([*W, *["other"] * 400])
+            w[at : at + (kind != "i")] = [] if kind == "d" else [other]
+        docs.append(" ".join(["before"] * around + w + ["after"] * around))
+    got = {(t, i): d for t, i, d in lk.Items(items, edits=edits).find(docs)}
+    for k, kind in enumerate(kinds):
+        mine = range(k, len(items), len(kinds))
+        assert sum((i, i) in got for i in mine) >= 0.9 * len(mine), kind
+    assert all(d == _least(docs[t].split(), items[i][1].split()) <= edits for (t, i), d in got.items())
+
+
 def test_banded_against_full_table():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 3, (300, 6)), rng.integers(0, 3, (300, 6))
