@@ -215,6 +215,11 @@ class Part:
     tag: str = ""
 
 
+def _below(path: str, leaf: str) -> str:
+    """The path of a leaf below an ancestor; a leaf of an array in an array begins with ``[]``."""
+    return f"{path}{'' if leaf.startswith('[]') else '/'}{leaf}"
+
+
 def assemble(levels: DataFrame, parts: list[Part], columns: dict[str, str], positions: list[str], keep: list[str], tag: str | None = None) -> DataFrame:
     """The flat table of the repeated ancestors ``parts``, one row per slot of theirs that isn't null.
 
@@ -223,14 +228,14 @@ def assemble(levels: DataFrame, parts: list[Part], columns: dict[str, str], posi
     arrays has 0 in the outer ones. All leaves of an ancestor have the same slots in the same order, so their sequences
     are laid side by side: no join and no shuffle.
     """
-    need = list(dict.fromkeys(f"{x.path}/{p}" for x in parts for p in ["$kind", *columns.values()]))
+    need = list(dict.fromkeys(_below(x.path, p) for x in parts for p in ["$kind", *columns.values()]))
     deep = {n: p.count("[]") > 0 for n, p in columns.items()}
     src = levels.select(*keep, *need)
     head = [T.StructField(tag, T.StringType(), False)] if tag else []
     schema = T.StructType([*(src.schema[k] for k in keep), *head, *(T.StructField(p, T.IntegerType()) for p in positions), *(T.StructField(n, T.ArrayType(T.StringType()) if deep[n] else T.StringType()) for n in columns)])
 
     def rebuild(b: pa.RecordBatch, part: Part) -> pa.RecordBatch:
-        leaf = lambda p, k: b.column(f"{part.path}/{p}").field(k)
+        leaf = lambda p, k: b.column(_below(part.path, p)).field(k)
         ints = lambda p, k: leaf(p, k).flatten().to_numpy(zero_copy_only=False)
         rep, (r, d) = part.path.count("[]"), (ints("$kind", k) for k in "rd")
         mine = np.flatnonzero(d > part.slot)
@@ -247,8 +252,9 @@ def assemble(levels: DataFrame, parts: list[Part], columns: dict[str, str], posi
             rr, dd, text = ints(p, "r"), ints(p, "d"), v.to_pylist()
             first = np.flatnonzero(rr <= rep)  # the first entry of each slot of the ancestor
             ends = np.append(first, len(rr))[1:]
-            # one level above the slot of the ancestor: no array; two: an empty one; three: its slots
-            out.append(pa.array([text[first[i] : ends[i]] if dd[first[i]] > part.slot + 2 else [] if dd[first[i]] == part.slot + 2 else None for i in mine], _VALUES))
+            # one level above the slot of the ancestor: no array; two: an empty one; three: its slots; each one less where the slot is the array
+            empty = part.slot + (1 if p.startswith("[]") else 2)
+            out.append(pa.array([text[first[i] : ends[i]] if dd[first[i]] > empty else [] if dd[first[i]] == empty else None for i in mine], _VALUES))
         return pa.RecordBatch.from_arrays(out, schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,8 +265,8 @@ def assemble(levels: DataFrame, parts: list[Part], columns: dict[str, str], posi
     return src.mapInArrow(run, schema)
 
 
-_CONTEXT = obj(planned_work=SCALAR, timestamp=SCALAR, camera_id=SCALAR, zone_id=SCALAR, active_conditions=SCALAR)
-_DETECTION = obj(**{"class": SCALAR, "class_name": SCALAR, "confidence": SCALAR, "zone_id": SCALAR}, bbox=arr(SCALAR), track=SCALAR, extra=True)
+_CONTEXT = obj(planned_work=SCALAR, timestamp=SCALAR, camera_id=SCALAR, zone_id=SCALAR, active_conditions=SCALAR, extra=True)
+_DETECTION = obj(**{"class": SCALAR, "class_name": SCALAR, "confidence": SCALAR, "zone_id": SCALAR}, bbox=arr(SCALAR), track=obj(id=SCALAR, trail=arr(arr(SCALAR)), extra=True), extra=True)
 _NEED = obj(id=SCALAR, condition=SCALAR, reason=SCALAR, extra=True)
 
 #: The declared tree of a request envelope.
@@ -271,13 +277,15 @@ ENVELOPE = obj(
         context=_CONTEXT,
         detections=arr(_DETECTION),
         observations=arr(obj(context=_CONTEXT, detections=arr(_DETECTION), extra=True)),
-        temporal_config=obj(window_seconds=SCALAR, min_observations=SCALAR, persistence_ratio=SCALAR),
+        temporal_config=obj(window_seconds=SCALAR, min_observations=SCALAR, persistence_ratio=SCALAR, extra=True),
+        extra=True,
     ),
     expected=obj(
         status=SCALAR,
-        observability=obj(score=SCALAR, level=SCALAR),
-        match=obj(score=SCALAR, coverage=SCALAR, missing=arr(_NEED)),
-        temporal=obj(persistent_missing=arr(_NEED), persistent_uncertain=arr(_NEED)),
+        observability=obj(score=SCALAR, level=SCALAR, extra=True),
+        match=obj(score=SCALAR, coverage=SCALAR, missing=arr(_NEED), extra=True),
+        temporal=obj(persistent_missing=arr(_NEED), persistent_uncertain=arr(_NEED), extra=True),
+        extra=True,
     ),
     extra=True,
 )
@@ -299,24 +307,28 @@ RECORD_LEAVES = {
     "fixture_id": "fixture_id", "mode": "mode", "planned_work": "request/context/planned_work", "observed_at": "request/context/timestamp", "zone_id": "request/context/zone_id",
     "active_conditions": "request/context/active_conditions", "window_seconds": "request/temporal_config/window_seconds", "min_observations": "request/temporal_config/min_observations",
     "persistence_ratio": "request/temporal_config/persistence_ratio", "status": "expected/status", "observability": "expected/observability/score", "score": "expected/match/score", "coverage": "expected/match/coverage", "extra": "$extra",
+    "context_camera_id": "request/context/camera_id", "level": "expected/observability/level", "request_extra": "request/$extra", "context_extra": "request/context/$extra", "temporal_config_extra": "request/temporal_config/$extra",
+    "expected_extra": "expected/$extra", "observability_extra": "expected/observability/$extra", "match_extra": "expected/match/$extra", "temporal_extra": "expected/temporal/$extra",
 }
-OBSERVATION_LEAVES = {"kind": "$kind", "planned_work": "context/planned_work", "observed_at": "context/timestamp", "zone_id": "context/zone_id", "active_conditions": "context/active_conditions"}
-DETECTION_LEAVES = {"kind": "$kind", "raw": "$raw", "class": "class", "class_name": "class_name", "confidence": "confidence", "zone_id": "zone_id", "bbox": "bbox[]/$raw", "extra": "$extra"}
+OBSERVATION_LEAVES = {"kind": "$kind", "planned_work": "context/planned_work", "observed_at": "context/timestamp", "zone_id": "context/zone_id", "active_conditions": "context/active_conditions", "context_camera_id": "context/camera_id", "context_extra": "context/$extra", "raw": "$raw", "extra": "$extra"}
+DETECTION_LEAVES = {"kind": "$kind", "raw": "$raw", "class": "class", "class_name": "class_name", "confidence": "confidence", "zone_id": "zone_id", "bbox": "bbox[]/$raw", "extra": "$extra", "track_id": "track/id", "track_extra": "track/$extra"}
+TRAIL_LEAVES = {"kind": "$kind", "raw": "$raw", "at": "[]/$raw"}
 REQUIREMENT_LEAVES = {"kind": "$kind", "raw": "$raw", "id": "id", "condition": "condition", "reason": "reason", "extra": "$extra"}
 OBSERVATIONS = [Part("request/observations[]", 4)]
 DETECTIONS = [Part("request/detections[]", 4, "detection"), Part("request/observations[]/detections[]", 7, "detection")]
+TRAILS = [Part("request/detections[]/track/trail[]", 8), Part("request/observations[]/detections[]/track/trail[]", 11)]
 MISSING = [Part("expected/match/missing[]", 5, "missing"), Part("expected/temporal/persistent_missing[]", 5, "persistent_missing")]
 UNCERTAIN = [Part("expected/temporal/persistent_uncertain[]", 5, "persistent_uncertain")]
 
 
-TABLES = {"records": [], "observations": OBSERVATIONS, "detections": DETECTIONS, "requirements": MISSING + UNCERTAIN}
-_LEAVES = {"observations": OBSERVATION_LEAVES, "detections": DETECTION_LEAVES, "requirements": REQUIREMENT_LEAVES}
+TABLES = {"records": [], "observations": OBSERVATIONS, "detections": DETECTIONS, "requirements": MISSING + UNCERTAIN, "trails": TRAILS}
+_LEAVES = {"observations": OBSERVATION_LEAVES, "detections": DETECTION_LEAVES, "requirements": REQUIREMENT_LEAVES, "trails": TRAIL_LEAVES}
 
 
 def levels_for(raw: DataFrame, *tables: str) -> DataFrame:
-    """The levels of valid requests, of the leaves that the named flat tables take, by default all four."""
+    """The levels of valid requests, of the leaves that the named flat tables take, by default all five."""
     names = tables or tuple(TABLES)
-    only = [f"{p.path}/{leaf}" for t in names for p in TABLES[t] for leaf in ["$kind", *_LEAVES[t].values()]]
+    only = [_below(p.path, leaf) for t in names for p in TABLES[t] for leaf in ["$kind", *_LEAVES[t].values()]]
     return request_levels(raw, only + [x for t in names if t in ("records", "observations") for x in RECORD_LEAVES.values()])
 
 
@@ -328,7 +340,7 @@ def records(levels: DataFrame) -> DataFrame:
 def observations(levels: DataFrame) -> DataFrame:
     """One row per observation that isn't null: ``(record_id, obs_no)`` is its key. A request that isn't temporal is its own observation 0."""
     many = assemble(levels, OBSERVATIONS, OBSERVATION_LEAVES, ["obs_no"], ["record_id"])
-    one = records(levels).where("mode IS NULL OR mode <> 'temporal'").select("record_id", F.lit(0).alias("obs_no"), F.lit("object").alias("kind"), "planned_work", "observed_at", "zone_id", "active_conditions")
+    one = records(levels).where("mode IS NULL OR mode <> 'temporal'").select("record_id", F.lit(0).alias("obs_no"), F.lit("object").alias("kind"), "planned_work", "observed_at", "zone_id", "active_conditions", "context_camera_id", "context_extra", *(F.lit(None).cast("string").alias(c) for c in ("raw", "extra")))
     return many.unionByName(one)
 
 
@@ -337,6 +349,11 @@ def detections(levels: DataFrame) -> DataFrame:
     return assemble(levels, DETECTIONS, DETECTION_LEAVES, ["obs_no", "item_no"], ["record_id"])
 
 
+def trails(levels: DataFrame) -> DataFrame:
+    """One row per point of a detection's track that isn't null: ``(record_id, obs_no, item_no, point_no)``; ``at`` is null where it is no array."""
+    return assemble(levels, TRAILS, TRAIL_LEAVES, ["obs_no", "item_no", "point_no"], ["record_id"])
+
+
 def requirements(levels: DataFrame) -> DataFrame:
     """One row per listed requirement that isn't null: ``(record_id, child, item_no)``."""
     return assemble(levels, MISSING + UNCERTAIN, REQUIREMENT_LEAVES, ["item_no"], ["record_id"], tag="child")

@@ -27,6 +27,8 @@ def queries() -> dict:
         "p3_observations": lambda s, d: shred.observations(_levels(s, d, "observations")).select(*_OBSERVATION),
         "p3_detections": lambda s, d: shred.detections(_levels(s, d, "detections")).select(*_DETECTION, F.array_join("bbox", ";", "null").alias("bbox")),
         "p3_requirements": lambda s, d: shred.requirements(_levels(s, d, "requirements")).select(*_REQUIREMENT),
+        # every column of the flat tables; no SQL
+        **{f"p3_{t}_whole": lambda s, d, t=t: getattr(shred, t)(_levels(s, d, t)) for t in shred.TABLES},
         "p4_found": lambda s, d: snapshot_diff.planned_move_changes(table(s, d, "move_plan_snapshots")),
         "p4_change_counts": lambda s, d: snapshot_diff.change_counts(table(s, d, "move_plan_snapshots")),
     }
