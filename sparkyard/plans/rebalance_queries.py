@@ -66,7 +66,7 @@ def queries() -> dict:
         "historical_leakage": _closure_report,
         "closure_ids": lambda s, d: rebalance.closure_id(s, _closure(s, d)),
         "group_split_assign": lambda s, d: rebalance.greedy_assignment(s, images(s, d), _boxes(s, d)),
-        "rebalance_plan": lambda s, d: rebalance.move_plan(images(s, d), rebalance.rebalance(s, images(s, d), _boxes(s, d), restarts=8)),
+        "rebalance_plan": lambda s, d: rebalance.move_plan(images(s, d), rebalance.rebalance(s, images(s, d), _boxes(s, d))),
         "least_moves": lambda s, d: rebalance.least_moves(images(s, d)),
         "apply_moves": lambda s, d: rebalance.apply_moves(images(s, d), _last(s, d).select("image", "to_split", "new_image")).select("image_id", "split", "output_image"),
         "move_directions": lambda s, d: rebalance.direction_report(_moves(s, d)),
