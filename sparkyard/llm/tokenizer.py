@@ -1,12 +1,16 @@
 """Problem 7: encoding of a corpus with a public byte-level BPE tokenizer.
 
-Method: tokenization automaton. The words that the split pattern makes of a batch of texts are a finite language; its
-deterministic byte automaton (a prefix tree) is turned, by one merge gadget after the other in the order of the
-merges, into a deterministic automaton over tokens: where state q goes to p by ``a`` and p to r by ``b``, the gadget of
-the merge (a, b) lets q go to r by ``ab`` and takes the arc from p to r away. As only arcs that are there can be
-merged, a heap gives the gadgets that apply, lowest rank first and, within one rank, those nearer to the start first,
-so ``aaa`` becomes ``aa a``. Each state has one way in, so a word's tokens are the arc labels on the way to its state.
-Decoding emits the bytes of the labels.
+Method: tokenization automaton. At first one state reads every byte and comes back to itself. The merges are compiled
+into it one after the other, in their order: where an arc ``a`` leads to a state that an arc ``b`` leaves, the gadget
+of the merge (a, b) splits the state that ``a`` leads to, so that only ``a`` enters it, takes the arc ``b`` away from
+it, and lets ``ab`` go past it, from wherever ``a`` went out to where ``b`` went. All arcs of one label lead to one
+state, so a state is the token read last. Its arcs are those of the state it was split from, as far as they were there
+then; hence only what each gadget takes away is stored, with its time (:meth:`Automaton._gadget`), and a place in the
+table of transitions is worked out once, when it is first asked for (:meth:`Automaton.arc`).
+
+The automaton is deterministic and takes every byte string in just one way. A word of the split pattern is read byte by
+byte through a prefix tree of the tokens: from each place the arcs of its state lead on, each further place is
+reached by one arc, and the labels on the way to the end are the tokens. Decoding emits the bytes of the labels.
 
 Whole texts are encoded; null and empty texts have an empty list; strings that look like special tokens are ordinary
 text. Words worked out once are kept in a table for what the same Python worker encodes next.
@@ -15,7 +19,6 @@ text. Words worked out once are kept in a table for what the same Python worker
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import os
 from collections.abc import Iterable, Iterator
@@ -35,8 +38,9 @@ NAME = "byte_bpe_50k"
 #: Fixed value: the public split pattern of this vocabulary, with white space spelled as the Unicode property.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
-#: Characters worked on at once, words kept in the table, and the length up to which a word is kept.
-BATCH_CHARS, TABLE_WORDS, TABLE_CHARS = 400_000, 400_000, 64
+#: Characters worked on at once, words kept in the table, the length up to which a word is kept, and transitions kept.
+BATCH_CHARS, TABLE_WORDS, TABLE_CHARS, TABLE_ARCS = 400_000, 400_000, 64, 2_000_000
+_SHIFT, _NEVER = 24, float("inf")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -47,7 +51,7 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Automaton:
-    """A byte-level BPE tokenizer as an automaton that grows by the words it meets."""
+    """The automaton of a byte-level BPE tokenizer, compiled from its merges."""
 
     def __init__(self, spec: bytes):
         """``spec`` is the content of a tokenizer file in JSON with ``model.vocab`` and ``model.merges``."""
@@ -55,59 +59,95 @@ class Automaton:
         letters = _byte_letters()
         vocab: dict[str, int] = model["vocab"]
         self.bytes_of = {i: bytes(letters[c] for c in t) for t, i in vocab.items() if all(c in letters for c in t)}
-        self.byte_token = [0] * 256
-        for c, b in letters.items():
-            self.byte_token[b] = vocab[c]
-        self.merges: dict[int, tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
+        #: the two tokens that made a token, and when; bytes have none and are there from the start
+        self.left: dict[int, int] = {}
+        self.right: dict[int, int] = {}
+        self.born: dict[int, int] = {}
+        #: when the gadget of a merge took the arc of the second token from the state of the first
+        self.taken: dict[int, int] = {}
+        #: the table of transitions, as far as it was asked for
+        self.arcs: dict[int, bool] = {}
+        reached = {vocab[c] for c in letters}
+        for time, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault(vocab[a] << 24 | vocab[b], (rank, vocab[a + b]))
+            if self._gadget(vocab[a], vocab[b], vocab[a + b], time, reached):
+                reached.add(vocab[a + b])
+        #: the prefix tree of the tokens that some arc has: node and byte to node, node to token
+        self.step: dict[int, int] = {}
+        self.ends = [-1]
+        self.whole: dict[bytes, int] = {}
+        for token in reached:
+            node = 0
+            for x in self.bytes_of[token]:
+                key = node << 8 | x
+                node = self.step.setdefault(key, len(self.ends))
+                if node == len(self.ends):
+                    self.ends.append(-1)
+            self.ends[node] = token
+            self.whole[self.bytes_of[token]] = token
         self.split = regex.compile(PATTERN)
         self.table: dict[str, tuple[int, ...]] = {}
         self.once: list[str] = []
 
-    def compile(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """The tokens of each word, by the automaton of all of them."""
-        parent, label, kids = [0], [-1], [[]]
-        step: dict[int, int] = {}
-        ends = []
-        byte_token = self.byte_token
-        for w in words:
-            s = 0
-            for b in w.encode():
-                t = step.get(s << 8 | b)
-                if t is None:
-                    t = step[s << 8 | b] = len(parent)
-                    parent.append(s)
-                    label.append(byte_token[b])
-                    kids.append([])
-                    kids[s].append(t)
-                s = t
-            ends.append((w, s))
-        merges = self.merges
-        heap = [(m[0], s) for s in range(1, len(parent)) if parent[s] and (m := merges.get(label[parent[s]] << 24 | label[s]))]
-        heapq.heapify(heap)
-        while heap:
-            rank, r = heapq.heappop(heap)
-            p = parent[r]
-            if not p or (m := merges.get(label[p] << 24 | label[r])) is None or m[0] != rank:
-                continue  # one of the two arcs has gone since
-            q = parent[r] = parent[p]
-            new = label[r] = m[1]
-            kids[q].append(r)
-            if q and (m := merges.get(label[q] << 24 | new)):
-                heapq.heappush(heap, (m[0], r))
-            for c in kids[r]:
-                if parent[c] == r and (m := merges.get(new << 24 | label[c])):
-                    heapq.heappush(heap, (m[0], c))
-        out = {}
-        for w, s in ends:
-            path = []
-            while s:
-                path.append(label[s])
-                s = parent[s]
-            out[w] = tuple(reversed(path))
-        return out
+    def _gadget(self, a: int, b: int, new: int, time: int, reached: set[int]) -> bool:
+        """Compile one merge; false if no path has ``a`` before ``b`` any more, so that nothing changes."""
+        if a not in reached or b not in reached or not self._has(a, b):
+            return False
+        self.left[new], self.right[new], self.born[new] = a, b, time
+        self.taken[a << _SHIFT | b] = time
+        return True
+
+    def _gone(self, state: int, token: int) -> float:
+        """When the state lost the arc ``token``: by a gadget of its own, or by one of the state that it was split from, before it was."""
+        first = until = _NEVER
+        while True:
+            time = self.taken.get(state << _SHIFT | token, _NEVER)
+            if time < until:
+                first = min(first, time)
+            if state not in self.right:
+                return first
+            until, state = self.born[state], self.right[state]
+
+    def _has(self, state: int, token: int) -> bool:
+        """Whether the arc ``token`` leaves the state by now: it has not been taken, and the arc of its first half was there when it was made."""
+        if self._gone(state, token) < _NEVER:
+            return False
+        while token in self.left:
+            made, token = self.born[token], self.left[token]
+            if self._gone(state, token) <= made:
+                return False
+        return True
+
+    def arc(self, state: int, token: int) -> bool:
+        """The table of transitions: whether ``token`` may follow the token ``state``."""
+        key = state << _SHIFT | token
+        there = self.arcs.get(key)
+        if there is None:
+            if len(self.arcs) >= TABLE_ARCS:
+                self.arcs.clear()
+            there = self.arcs[key] = self._has(state, token)
+        return there
+
+    def read(self, word: bytes) -> tuple[int, ...]:
+        """The labels of the one way on which the automaton takes the word."""
+        if word in self.whole:
+            return (self.whole[word],)
+        step, ends, arc, size = self.step, self.ends, self.arc, len(word)
+        label, start = [-1] * (size + 1), [0] * (size + 1)
+        for j in range(size):
+            state, node = label[j], 0
+            for i in range(j, size):
+                node = step.get(node << 8 | word[i])
+                if node is None:
+                    break
+                token = ends[node]
+                if token >= 0 and label[i + 1] < 0 and (not j or arc(state, token)):
+                    label[i + 1], start[i + 1] = token, j
+        path = []
+        while size:
+            path.append(label[size])
+            size = start[size]
+        return tuple(reversed(path))
 
     def tokens(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """A table that has the tokens of all these words until the next call."""
@@ -118,7 +158,8 @@ class Automaton:
         if len(table) + len(new) > TABLE_WORDS:
             table.clear()
             new = set(words)
-        table.update(self.compile(new))
+        read = self.read
+        table.update((w, read(w.encode())) for w in new)
         self.once = [w for w in new if len(w) > TABLE_CHARS]  # such words hardly come again
         return table
 
