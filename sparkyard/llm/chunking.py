@@ -4,13 +4,15 @@ Method: balanced targets. The least number of pieces is computed from the tokens
 equal length are placed, each end is moved to the strongest boundary near its target (paragraph, line, sentence, word,
 then any place between two words of the tokenizer, then between two characters), each start to the boundary that comes
 nearest to the asked overlap; where a piece still breaks the limit, the whole text is cut again into one piece more.
-The tokens of every piece are counted by encoding its own text.
+Every text is encoded once, many together, and a piece's tokens are those of its words. Only what a cut may change is encoded again:
+the white space at the end of a piece, which the tokenizer parts by what follows, and a piece cut inside a word.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, chain, islice
 
 import pyarrow as pa
 import regex
@@ -30,31 +32,32 @@ _SENTENCE_END = regex.compile(r"[.!?…。！？][\"'»”’)\]]*$")
 class Cuts:
     """The places where a text may be cut: character positions, tokens before each, and how natural a boundary each is."""
 
-    def __init__(self, text: str, automaton: tokenizer.Automaton):
+    def __init__(self, text: str, words: list[str], sizes: list[int], automaton: tokenizer.Automaton, limit: int, overlap: int):
         self.text, self.automaton = text, automaton
-        self.at, self.tokens, self.strength = [0], [0], [PARAGRAPH]
-        total, spans = 0, [m.span() for m in automaton.split.finditer(text)]
-        table = automaton.tokens([text[a:b] for a, b in spans])
-        for a, b in spans:
-            ids = table[text[a:b]]
-            if len(ids) > OVERLAP // 4:  # a long run without a boundary: its own token ends, where they end a character
-                size, have = 0, text[a:b].encode()
-                for n, i in enumerate(ids[:-1], 1):
+        self.at = list(accumulate(map(len, words), initial=0))
+        self.tokens = list(accumulate(sizes, initial=0))
+        self.total = self.tokens[-1]
+        self.strength: dict[int, int] = {0: PARAGRAPH}
+        # a long run without a boundary, or one that may leave no room beside an overlap: its own token ends, where they end a character
+        most = max(1, min(overlap // 4 or limit, (limit - overlap) // 4))
+        long = [k for k, n in enumerate(sizes) if n > most]
+        if long:
+            at, tokens, done = [], [], 0
+            for k in long:
+                at += self.at[done : k + 1]
+                tokens += self.tokens[done : k + 1]
+                done, size, have = k + 1, 0, words[k].encode()
+                for n, i in enumerate(automaton.tokens([words[k]])[words[k]][:-1], 1):
                     size += len(automaton.bytes_of[i])
                     if have[size] & 0xC0 != 0x80:
-                        self._add(a + len(have[:size].decode()), total + n, INSIDE)
-            total += len(ids)
-            self._add(b, total, None)
-        self.total = total
-
-    def _add(self, at: int, tokens: int, strength: int | None) -> None:
-        self.at.append(at)
-        self.tokens.append(tokens)
-        self.strength.append(strength)
+                        self.strength[len(at)] = INSIDE
+                        at.append(self.at[k] + len(have[:size].decode()))
+                        tokens.append(self.tokens[k] + n)
+            self.at, self.tokens = at + self.at[done:], tokens + self.tokens[done:]
 
     def kind(self, k: int) -> int:
         """How natural the boundary of cut ``k`` is; found out when asked, as most cuts never are."""
-        if self.strength[k] is None:
+        if k not in self.strength:
             self.strength[k] = self._natural(self.at[k])
         return self.strength[k]
 
@@ -103,7 +106,14 @@ class Cuts:
         return min(near or [e], key=lambda k: (self.below_word(k), abs(self.tokens[k] - want), -self.kind(k), k))
 
     def count(self, s: int, e: int) -> int:
-        return len(self.automaton.encode(self.text[self.at[s] : self.at[e]]))
+        """The tokens of the piece's own text."""
+        if INSIDE in (self.kind(s), self.kind(e)):
+            return len(self.automaton.encode(self.text[self.at[s] : self.at[e]]))
+        k = e
+        while k > s and self.text[self.at[k - 1] : self.at[k]].isspace():
+            k -= 1
+        end = len(self.automaton.encode(self.text[self.at[k] : self.at[e]])) if k < e and self.at[e] < len(self.text) else self.tokens[e] - self.tokens[k]
+        return self.tokens[k] - self.tokens[s] + end
 
 
 def pieces(text: str | None, automaton: tokenizer.Automaton, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
@@ -111,21 +121,42 @@ def pieces(text: str | None, automaton: tokenizer.Automaton, limit: int = LIMIT,
 
     A null text has none, a text within the limit is one piece. The pieces cover the text without a gap.
     """
-    if not text:
-        return []
-    total = len(automaton.encode(text))
-    if total <= limit:
-        return [(0, len(text), total, 0)]
-    cuts = Cuts(text, automaton)
-    last = len(cuts.at) - 1
-    n = -(-(cuts.total - overlap) // (limit - overlap))
-    while True:
-        found = _cut(cuts, n, last, limit, overlap)
-        if found:
-            return found
-        n += 1
-        if n > cuts.total + 1:
-            raise ValueError("a single character has more tokens than the limit")
+    return next(all_pieces([text], automaton, limit, overlap))[1]
+
+
+def all_pieces(texts: list[str | None], automaton: tokenizer.Automaton, limit: int = LIMIT, overlap: int = OVERLAP) -> Iterator[tuple[int, list[tuple[int, int, int, int]]]]:
+    """The tokens and the :func:`pieces` of each text, in order."""
+    if not 0 <= overlap < limit:
+        raise ValueError("the overlap must be less than the limit")
+    for text, words, sizes in _words(texts, automaton):
+        total = sum(sizes)
+        if total <= limit:
+            yield total, [(0, len(text), total, 0)] if text else []
+            continue
+        cuts = Cuts(text, words, sizes, automaton, limit, overlap)
+        last = len(cuts.at) - 1
+        n = -(-(total - overlap) // (limit - overlap))
+        while not (found := _cut(cuts, n, last, limit, overlap)):
+            n += 1
+            if n > total + 1:
+                raise ValueError("a single character has more tokens than the limit")
+        yield total, found
+
+
+def _words(texts: list[str | None], automaton: tokenizer.Automaton) -> Iterator[tuple[str, list[str], list[int]]]:
+    """Each text with its words and the tokens of each; short texts are worked on together, a long one in runs of words."""
+    for group in tokenizer.batched_by_size(texts):
+        split = [automaton.words(t) if t else [] for t in group]
+        if len(group) == 1:
+            found, sizes = iter(split[0]), []
+            while part := list(islice(found, tokenizer.BATCH_CHARS // 4)):
+                table = automaton.tokens(part)
+                sizes += [len(table[w]) for w in part]
+            yield group[0] or "", split[0], sizes
+            continue
+        table = automaton.tokens(list(chain.from_iterable(split)))
+        sized = [[len(table[w]) for w in words] for words in split]
+        yield from zip((t or "" for t in group), split, sized)
 
 
 def _cut(cuts: Cuts, n: int, last: int, limit: int, overlap: int) -> list[tuple[int, int, int, int]] | None:
@@ -168,11 +199,10 @@ def split_oversized(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
         for b in batches:
             for part in tokenizer.slices(b, "$text"):
                 owner, rows, texts = [], [], []
-                for i, t in enumerate(part.column("$text").to_pylist()):
-                    found = pieces(t, automaton, limit, overlap)
+                held = part.column("$text").to_pylist()
+                for i, (t, (total, found)) in enumerate(zip(held, all_pieces(held, automaton, limit, overlap))):
                     if len(found) < 2:
                         continue
-                    total = len(automaton.encode(t))
                     for no, (a, z, size, shared) in enumerate(found):
                         owner.append(i)
                         rows.append((total, len(found), no, a, z, size, shared))

@@ -23,7 +23,7 @@ def _texts():
     ]
 
 
-@pytest.mark.parametrize(("limit", "overlap"), [(512, 64), (100, 10), (64, 0)])
+@pytest.mark.parametrize(("limit", "overlap"), [(512, 64), (100, 10), (64, 0), (64, 40)])
 def test_pieces(auto, limit, overlap):
     for text in _texts():
         total = len(auto.encode(text))
@@ -46,6 +46,25 @@ def test_cuts_are_natural(auto):
     assert all(abs(o - 64) <= 4 for *_, o in c.pieces(spaced, auto)[1:])
 
 
+def test_one_word_over_the_limit(auto):
+    word = "qzjx" * 6
+    for limit, overlap in ((8, 0), (8, 2), (9, 5)):
+        p = c.pieces(word, auto, limit, overlap)
+        assert len(auto.encode(word)) > limit and len(p) > 1 and p[0][0] == 0 and p[-1][1] == len(word)
+        assert all(size == len(auto.encode(word[a:z])) <= limit for a, z, size, _ in p)
+        assert all(a < b <= z < y for (a, z, *_), (b, y, *_) in zip(p, p[1:]))
+    with pytest.raises(ValueError):
+        c.pieces(word, auto, 8, 8)
+
+
+def test_white_space_at_the_end_of_a_piece(auto):
+    rng = random.Random(8)
+    for _ in range(40):
+        text = "".join(rng.choice(["a", "bc", "don't", "'s", ".", "7"]) + rng.choice([" ", "  ", "\n", "\n\n", "\n\n\n", " \n ", "\t\t", ""]) for _ in range(200))
+        p = c.pieces(text, auto, 40, 8)
+        assert all(size == len(auto.encode(text[a:z])) <= 40 for a, z, size, _ in p)
+
+
 def test_small_texts(auto):
     assert c.pieces(None, auto) == [] == c.pieces("", auto)
     assert c.pieces("a few words", auto) == [(0, 11, 3, 0)]
