@@ -1,9 +1,12 @@
 """Problem 5: freely typed values mapped to the closest entry of a reference list.
 
-Method: symmetric delete. Every written form of a reference entry is entered in a dictionary under all texts that
-up to k deletions make of it; a value looks up all texts that up to k deletions make of itself, so any form within
-edit distance k shares one of them. What is looked up is ranked by weighted Damerau-Levenshtein distance, then by
-reference frequency; values without a form in reach, or as near to several classes, are reported as misses (-1).
+Method: symmetric delete. Every reference entry is entered in a dictionary under all that up to k deletions make of its
+letters; a value looks up all that up to k deletions make of its own, so any form within edit distance k shares one of
+them. The letters are put in order first: words come in any order and run together, which changes nothing then, nor do
+swapped letters; so one entry stands for all its word orders, however many words it has. What is looked up is verified
+and ranked by weighted Damerau-Levenshtein distance to the form, in the word order that fits best, of classes that are
+as near by the reference frequency only within one class: a value as near to several classes, and one without a form in
+reach, is reported as a miss (-1).
 
 Values and forms are compared folded: NFKC, lower case, look-alike letters and digits brought into the script of the
 rest, only letters and digits, without the spaces between words. The reference list is small by contract (checked)
@@ -16,17 +19,18 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations, permutations
+from itertools import combinations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkyard.functions.text import strip_or_null
 
 MAX_EDITS = 2
-#: Reference forms that are sent to all tasks at most; a longer list is refused.
-MAX_FORMS = 200_000
+#: Reference entries that are sent to all tasks at most; a dictionary takes about 100 KB an entry. A longer list is refused.
+MAX_FORMS = 5_000
 #: Distinct values a task remembers.
 MEMO = 200_000
 
@@ -60,7 +64,38 @@ def reach(n: int, edits: int = MAX_EDITS) -> int:
 
 def deletes(text: str, k: int) -> set[str]:
     """All that up to ``k`` deletions make of the text, itself included."""
-    return {"".join(text[i] for i in range(len(text)) if i not in gone) for n in range(min(k, len(text)) + 1) for gone in map(set, combinations(range(len(text)), n))}
+    out = {text}
+    for n in range(1, min(k, len(text)) + 1):
+        for gone in combinations(range(len(text)), n):
+            ends = (-1, *gone, len(text))
+            out.add("".join([text[i + 1 : j] for i, j in zip(ends, ends[1:])]))
+    return out
+
+
+def orders(words: list[str], key: str, k: int) -> Iterator[str]:
+    """The words run together in every order that may lie within ``k`` edits of ``key``, each once.
+
+    A beginning is given up when it is more than 2 ``k`` insertions, deletions and changes (a swap counts 2) from every beginning of the key.
+    """
+
+    def further(done: str, row: list[int], rest: list[str]) -> Iterator[str]:
+        if not rest:
+            yield done
+        for n, word in enumerate(rest):
+            if word in rest[:n]:
+                continue
+            new = row
+            for x in word:
+                last, new = new, [new[0] + 1]
+                for j, y in enumerate(key):
+                    new.append(min(last[j] + (x != y), last[j + 1] + 1, new[j] + 1))
+            if min(new) <= 2 * k:
+                yield from further(done + word, new, rest[:n] + rest[n + 1 :])
+
+    if len(words) == 1:
+        yield words[0]
+    else:
+        yield from further("", list(range(len(key) + 1)), words)
 
 
 def distance(a: str, b: str) -> int:
@@ -111,19 +146,14 @@ class Forms:
     def __init__(self, entries: list[tuple[int, str, int]], edits: int = MAX_EDITS):
         self.edits, self.entries = edits, entries
         self.known: dict[str, tuple[int | None, int, int]] = {}
-        self.forms: dict[str, set[int]] = {}
-        for n, (_, text, _) in enumerate(entries):
-            words = fold(text)
-            for order in permutations(words) if len(words) <= 4 else [words]:  # words also come in another order
-                whole = "".join(order)
-                for form in {whole, *(whole + p for p in _PLURALS)} if whole else ():
-                    self.forms.setdefault(form, set()).add(n)
-        if len(self.forms) > MAX_FORMS:
-            raise ValueError(f"more than {MAX_FORMS} reference forms")
-        self.index: dict[str, list[str]] = {}
-        for form in self.forms:
-            for x in deletes(form, reach(len(form), edits)):
-                self.index.setdefault(x, []).append(form)
+        self.words = [fold(text) for _, text, _ in entries]
+        #: the letters of an entry and of its plurals, in order and with deletions, to (entry, ending)
+        self.index: dict[str, list[tuple[int, str]]] = {}
+        for n, words in enumerate(self.words):
+            whole = "".join(words)
+            for ending in ("", *_PLURALS) if whole else ():
+                for x in deletes("".join(sorted(whole + ending)), reach(len(whole + ending), edits)):
+                    self.index.setdefault(x, []).append((n, ending))
 
     def find(self, value: str | None) -> tuple[int | None, int, int]:
         """``(class_id, entry, edits)``: null for a null or blank value, -1 and entry -1 where none, or several classes alike, are in reach."""
@@ -136,22 +166,32 @@ class Forms:
             self.known[key] = self._find(key)
         return self.known[key]
 
+    def near(self, key: str) -> dict[tuple[int, str], int]:
+        """The forms in reach, as (entry, letters), with their edits."""
+        k, out = reach(len(key), self.edits), {}
+        found: dict[int, set[str]] = {}
+        for x in deletes("".join(sorted(key)), k):
+            for n, ending in self.index.get(x, ()):
+                found.setdefault(n, set()).add(ending)
+        for n, endings in found.items():
+            for order in orders(self.words[n], key, k):
+                for ending in endings:
+                    form = order + ending
+                    most = min(k, reach(len(form), self.edits))
+                    if abs(len(form) - len(key)) <= most and (d := distance(key, form)) <= most:
+                        out[n, form] = d
+        return out
+
     def _find(self, key: str) -> tuple[int | None, int, int]:
-        k = reach(len(key), self.edits)
-        if key in self.forms:
-            near, best = [key], 0
-        else:
-            found = {form for x in deletes(key, k) for form in self.index.get(x, ())}
-            far = {form: d for form in found if (d := distance(key, form)) <= min(k, reach(len(form), self.edits))}
-            if not far:
-                return -1, -1, -1
-            best = min(far.values())
-            near = [form for form, d in far.items() if d == best]
-        classes = {self.entries[n][0] for form in near for n in self.forms[form]}
-        if len(classes) > 1:
+        far = self.near(key)
+        if not far:
+            return -1, -1, -1
+        best = min(far.values())
+        rank = [(weighted(key, form), -self.entries[n][2], n) for (n, form), d in far.items() if d == best]
+        top = min(rank)
+        if len({self.entries[n][0] for w, _, n in rank if w == top[0]}) > 1:
             return -1, -1, best
-        top = min((weighted(key, form), -self.entries[n][2], n) for form in near for n in self.forms[form])
-        return classes.pop(), top[2], best
+        return self.entries[top[2]][0], top[2], best
 
 
 @lru_cache(maxsize=2)
@@ -160,38 +200,41 @@ def forms_of(entries: tuple) -> Forms:
     return Forms(list(entries))
 
 
-def reference_entries(reference: DataFrame, counts: dict[str, int] | None = None) -> list[tuple[int, str, int]]:
-    """The written forms of the reference table ``(class_id, class_name, alias)``, each once per class, with how often each is written exactly."""
+def reference_entries(reference: DataFrame) -> list[tuple[int, str, int]]:
+    """The written forms of the reference table ``(class_id, class_name, alias)``, each once per class, all of frequency 0."""
     rows = reference.where("class_id IS NOT NULL").select("class_id", "class_name", "alias").distinct().limit(MAX_FORMS + 1).collect()
-    if len(rows) > MAX_FORMS:
-        raise ValueError(f"more than {MAX_FORMS} reference entries")
     entries = sorted({(r[0], t) for r in rows for t in (r[1], r[2]) if t and t.strip()})
-    return [(c, t, (counts or {}).get(t, 0)) for c, t in entries]
-
-
-def map_values(spark: SparkSession, df: DataFrame, value: str, reference: DataFrame) -> DataFrame:
-    """``df`` with ``class_id`` (-1: a miss, null: nothing written), ``matched`` (the reference form) and ``edits``."""
-    entries = reference_entries(reference)
-    exact = df.where(F.col(value).isin([t for _, t, _ in entries])).groupBy(value).count().collect()  # at most as many rows as the reference has forms
-    counts = {r[0]: r[1] for r in exact}
-    forms = spark.sparkContext.broadcast(tuple((c, t, counts.get(t, 0)) for c, t, _ in entries))
-
-    @F.pandas_udf("class_id int, matched string, edits int")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        f, memo = forms_of(forms.value), {}
-        f.known = {}  # the dictionary is kept, what values gave is not
-        for s in batches:
-            out = []
-            for v in s:
-                if v not in memo:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    c, n, edits = f.find(v)
-                    memo[v] = (c, f.entries[n][1] if n >= 0 else None, edits if n >= 0 else None)
-                out.append(memo[v])
-            yield pd.DataFrame(out, columns=["class_id", "matched", "edits"]).astype({"class_id": "Int32", "edits": "Int32"})
-
-    return df.withColumn("$m", find(F.col(value))).select("*", "$m.*").drop("$m")
+    if max(len(rows), len(entries)) > MAX_FORMS:
+        raise ValueError(f"more than {MAX_FORMS} reference entries")
+    return [(c, t, 0) for c, t in entries]
+
+
+def with_frequency(spark: SparkSession, df: DataFrame, value: str, entries: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """The entries with how often each is written exactly; one aggregation, and at most as many rows as there are entries come back."""
+    forms = spark.createDataFrame([(t,) for t in {t for _, t, _ in entries}], "form string")
+    n = dict(df.join(F.broadcast(forms), F.col(value) == F.col("form")).groupBy("form").count().collect()) if entries else {}
+    return [(c, t, n.get(t, 0)) for c, t, _ in entries]
+
+
+def map_values(spark: SparkSession, df: DataFrame, value: str, entries: list[tuple[int, str, int]]) -> DataFrame:
+    """``df`` with ``class_id`` (-1: a miss, null: nothing written), ``matched`` (the reference form) and ``edits``; columns of these names are replaced."""
+    df = df.drop("class_id", "matched", "edits")
+    forms = spark.sparkContext.broadcast(tuple(entries))
+
+    src = df.withColumn("$value", F.col(value))
+    schema = T.StructType([*df.schema.fields, T.StructField("class_id", T.IntegerType()), T.StructField("matched", T.StringType()), T.StructField("edits", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = forms_of(forms.value)
+        f.known.clear()  # the dictionary is kept, what values gave is not
+        for b in batches:
+            values = b.column("$value").dictionary_encode()
+            found = [f.find(v) for v in values.dictionary.to_pylist()]
+            rows = [(c, f.entries[n][1] if n >= 0 else None, e if n >= 0 else None) for c, n, e in found]
+            columns = [pa.array(x, t).take(values.indices) for x, t in zip(zip(*rows) if rows else ((), (), ()), (pa.int32(), pa.string(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), *columns], schema.names)
+
+    return src.mapInArrow(run, schema)
 
 
 def current_audit(audit: DataFrame) -> DataFrame:
@@ -203,12 +246,16 @@ def current_audit(audit: DataFrame) -> DataFrame:
     return written.groupBy("audit_id").agg(row).select("audit_id", "r.source", "r.raw_class", "r.bbox_count")
 
 
-def mapped_classes(spark: SparkSession, audit: DataFrame, reference: DataFrame) -> DataFrame:
-    """``(audit_id, source, raw_class, bbox_count, class_id, matched, edits)``."""
-    return map_values(spark, current_audit(audit), "raw_class", reference)
+def mapped_classes(spark: SparkSession, audit: DataFrame, reference: DataFrame, ranked: bool = True) -> DataFrame:
+    """``(audit_id, source, raw_class, bbox_count, class_id, matched, edits)``.
+
+    If not ``ranked``, ``matched`` may be any of the forms of the class that are as near: frequencies decide nothing else, and aren't counted.
+    """
+    rows, entries = current_audit(audit), reference_entries(reference)
+    return map_values(spark, rows, "raw_class", with_frequency(spark, rows, "raw_class", entries) if ranked else entries)
 
 
 def misses(spark: SparkSession, audit: DataFrame, reference: DataFrame) -> DataFrame:
     """The unmatched spellings with how many rows and boxes each has."""
-    m = mapped_classes(spark, audit, reference).where("class_id = -1")
+    m = mapped_classes(spark, audit, reference, ranked=False).where("class_id = -1")
     return m.groupBy("raw_class").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("bbox_count").alias("boxes"))

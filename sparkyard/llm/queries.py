@@ -30,7 +30,7 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_mapping(spark, d).select("audit_id", "class_id")
+    return canonical.mapped_classes(spark, table(spark, d, "raw_class_mapping_audit"), table(spark, d, "class_reference"), ranked=False).select("audit_id", "class_id")
 
 
 def p5_mapping(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from itertools import permutations
 
 from sparkyard.llm import canonical as c
 
@@ -19,6 +20,21 @@ def test_fold_and_find():
     assert g.find("abcdef")[0] == 1 and g.find("abcdeh")[0] == -1  # as near to two classes
 
 
+def test_word_orders_of_any_length():
+    f = c.Forms([(1, "pavement milling unit of the north yard", 0), (2, "one two three four five", 0), (3, "five four six", 0)])
+    assert {f.find(v)[0] for v in ("yard north the of unit milling pavement", "milling pavement unit norht of the yard", "NorthYard-theUnit of pavment milling", "pavementmillingunitofthenorthyards")} == {1}
+    assert f.find("five one two three four")[0] == 2 == f.find("fourfivethreetwoone")[0]
+    assert f.find("four five six") == (3, 2, 0) and f.find("one two three four")[0] == -1
+
+
+def test_weights_and_frequency():
+    f = c.Forms([(1, "abcdef", 0), (2, "abcdxe", 0)])
+    assert f.find("abcdfe") == (1, 0, 1)  # a swap is less than a change
+    f = c.Forms([(1, "abcdef", 1), (1, "abcdeg", 5), (2, "zzzzzz", 9)])
+    assert f.find("abcdeh") == (1, 1, 1)  # of one class, the more frequent
+    assert sorted(c.orders(["ab", "ab", "c"], "abcab", 2)) == ["ababc", "abcab", "cabab"]
+
+
 def _osa_unrestricted(a, b, seen={}):  # noqa: B006
     """Edits by breadth-first search over all single edits, swaps included."""
     if a == b:
@@ -71,9 +87,12 @@ def test_every_form_in_reach_is_found():
             elif i + 1 < len(w):
                 w[i], w[i + 1] = w[i + 1], w[i]
         v = "".join(c.fold("".join(w)))
-        near = {x: c.distance(v, x) for x in f.forms if c.distance(v, x) <= min(c.reach(len(v)), c.reach(len(x)))}
-        best = min(near.values(), default=None)
-        classes = {ENTRIES[n][0] for x, d in near.items() if d == best for n in f.forms[x]}
+        forms = {(n, "".join(o) + p) for n, (_, t, _) in enumerate(ENTRIES) for o in permutations(c.fold(t)) for p in ("", "s", "es", "ы", "и")}
+        near = {(n, x): c.distance(v, x) for n, x in forms if c.distance(v, x) <= min(c.reach(len(v)), c.reach(len(x)))}
+        assert f.near(v) == near
+        rank = [(d, c.weighted(v, x), ENTRIES[n][0]) for (n, x), d in near.items()]
+        best = min((r[:2] for r in rank), default=None)
+        classes = {k for *r, k in rank if tuple(r) == best}
         assert f.find("".join(w))[0] == (classes.pop() if len(classes) == 1 else -1)
 
 
