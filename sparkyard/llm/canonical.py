@@ -10,13 +10,14 @@ reach, is reported as a miss (-1).
 
 Values and forms are compared folded: NFKC, lower case, look-alike letters and digits brought into the script of the
 rest, only letters and digits, without the spaces between words. The reference list is small by contract (checked)
-and goes to all tasks; the values never leave their partition, each distinct one is worked out once per task.
+and goes to all tasks; the values never leave their partition, each distinct one is worked out once in a Python worker and query.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -31,7 +32,7 @@ from sparkyard.functions.text import strip_or_null
 MAX_EDITS = 2
 #: Reference entries that are sent to all tasks at most; a dictionary takes about 100 KB an entry. A longer list is refused.
 MAX_FORMS = 5_000
-#: Distinct values a task remembers.
+#: Distinct values a Python worker remembers over the tasks of a query.
 MEMO = 200_000
 
 # Letters that look alike in the two scripts, position by position, and digits and signs that stand for letters.
@@ -146,6 +147,7 @@ class Forms:
     def __init__(self, entries: list[tuple[int, str, int]], edits: int = MAX_EDITS):
         self.edits, self.entries = edits, entries
         self.known: dict[str, tuple[int | None, int, int]] = {}
+        self.query = ""
         self.words = [fold(text) for _, text, _ in entries]
         #: the letters of an entry and of its plurals, in order and with deletions, to (entry, ending)
         self.index: dict[str, list[tuple[int, str]]] = {}
@@ -219,14 +221,16 @@ def with_frequency(spark: SparkSession, df: DataFrame, value: str, entries: list
 def map_values(spark: SparkSession, df: DataFrame, value: str, entries: list[tuple[int, str, int]]) -> DataFrame:
     """``df`` with ``class_id`` (-1: a miss, null: nothing written), ``matched`` (the reference form) and ``edits``; columns of these names are replaced."""
     df = df.drop("class_id", "matched", "edits")
-    forms = spark.sparkContext.broadcast(tuple(entries))
+    forms, query = spark.sparkContext.broadcast(tuple(entries)), uuid.uuid4().hex
 
     src = df.withColumn("$value", F.col(value))
     schema = T.StructType([*df.schema.fields, T.StructField("class_id", T.IntegerType()), T.StructField("matched", T.StringType()), T.StructField("edits", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = forms_of(forms.value)
-        f.known.clear()  # the dictionary is kept, what values gave is not
+        if f.query != query:
+            f.known.clear()  # tasks of one query share what values gave, queries don't
+            f.query = query
         for b in batches:
             values = b.column("$value").dictionary_encode()
             found = [f.find(v) for v in values.dictionary.to_pylist()]
