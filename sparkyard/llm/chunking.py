@@ -10,6 +10,7 @@ the white space at the end of a piece, which the tokenizer parts by what follows
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate, chain, islice
@@ -189,13 +190,13 @@ def split_oversized(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
     Columns: the key, ``total_tokens``, ``n_pieces``, ``piece_no`` from 0, ``start_char``, ``end_char``, ``n_tokens``, ``overlap_tokens``
     and, if asked for, ``piece``. Runs within each partition; nothing is shuffled. Repeated keys are worked on row by row.
     """
-    spec = spark.sparkContext.broadcast(tokenizer.read_spec(name, folder))
+    spec, query = spark.sparkContext.broadcast(tokenizer.read_spec(name, folder)), uuid.uuid4().hex
     src = df.select(key, F.col(text).alias("$text")).where(F.octet_length("$text") > limit)  # a token has at least one byte
     ints = ["total_tokens", "n_pieces", "piece_no", "start_char", "end_char", "n_tokens", "overlap_tokens"]
     schema = T.StructType([src.schema[key], *(T.StructField(c, T.IntegerType(), False) for c in ints), *([T.StructField("piece", T.StringType(), False)] if with_text else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = tokenizer.load(spec.value)
+        automaton = tokenizer.load(spec.value, query)
         for b in batches:
             for part in tokenizer.slices(b, "$text"):
                 owner, rows, texts = [], [], []

@@ -13,7 +13,7 @@ byte through a prefix tree of the tokens: from each place the arcs of its state
 reached by one arc, and the labels on the way to the end are the tokens. Decoding emits the bytes of the labels.
 
 Whole texts are encoded; null and empty texts have an empty list; strings that look like special tokens are ordinary
-text. Words worked out once are kept in a table for what the same Python worker encodes next.
+text. Words worked out once are kept in a table for what the same Python worker encodes next for the same query.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import uuid
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
@@ -88,6 +89,7 @@ class Automaton:
         self.split = regex.compile(PATTERN)
         self.table: dict[str, tuple[int, ...]] = {}
         self.once: list[str] = []
+        self.query = ""
 
     def _gadget(self, a: int, b: int, new: int, time: int, reached: set[int]) -> bool:
         """Compile one merge; false if no path has ``a`` before ``b`` any more, so that nothing changes."""
@@ -205,13 +207,18 @@ def batched_by_size(texts: Iterable[str | None], chars: int = BATCH_CHARS) -> It
 _LOADED: dict[str, Automaton] = {}
 
 
-def load(spec: bytes) -> Automaton:
-    """The automaton of a tokenizer file; one for each Python worker."""
+def load(spec: bytes, query: str = "") -> Automaton:
+    """The automaton of a tokenizer file; one for each Python worker. Tasks of one ``query`` share the words met so far, queries don't."""
     key = hashlib.sha1(spec).hexdigest()
     if key not in _LOADED:
         _LOADED.clear()
         _LOADED[key] = Automaton(spec)
-    return _LOADED[key]
+    found = _LOADED[key]
+    if found.query != query:
+        found.query, found.once = query, []
+        found.table.clear()
+        found.arcs.clear()
+    return found
 
 
 def read_spec(name: str = NAME, folder: str = FOLDER) -> bytes:
@@ -222,12 +229,12 @@ def read_spec(name: str = NAME, folder: str = FOLDER) -> bytes:
 
 def encode(spark: SparkSession, df: DataFrame, text: str, keep: list[str], out: str = "ids", name: str = NAME, folder: str = FOLDER) -> DataFrame:
     """The columns ``keep`` and the list of token ids of each row's ``text``. Runs within each partition; nothing is shuffled."""
-    spec = spark.sparkContext.broadcast(read_spec(name, folder))
+    spec, query = spark.sparkContext.broadcast(read_spec(name, folder)), uuid.uuid4().hex
     src = df.select(*keep, F.col(text).alias("$text"))
     schema = T.StructType([*(src.schema[k] for k in keep), T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = load(spec.value)
+        automaton = load(spec.value, query)
         for b in batches:
             for part in slices(b, "$text"):
                 offsets, ids = [0], []
@@ -254,12 +261,12 @@ def slices(batch: pa.RecordBatch, text: str, size: int = 8_000_000) -> Iterator[
 
 def decode(spark: SparkSession, df: DataFrame, ids: str, keep: list[str], out: str = "text", name: str = NAME, folder: str = FOLDER) -> DataFrame:
     """The columns ``keep`` and the text of each row's ids; a null list gives null, an empty one the empty text."""
-    spec = spark.sparkContext.broadcast(read_spec(name, folder))
+    spec, query = spark.sparkContext.broadcast(read_spec(name, folder)), uuid.uuid4().hex
     src = df.select(*keep, F.col(ids).alias("$ids"))
     schema = T.StructType([*(src.schema[k] for k in keep), T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = load(spec.value)
+        automaton = load(spec.value, query)
         for b in batches:
             texts = [None if x is None else automaton.decode(x) for x in b.column("$ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(texts, pa.string())], schema.names)
