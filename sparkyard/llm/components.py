@@ -3,7 +3,8 @@
 Method: hash-to-min. Every vertex holds a cluster (at first itself and its neighbours); in each round
 it sends the cluster to its smallest member and that member to all others, until nothing changes.
 A cluster is kept as rows ``(v, u)``, never as one array, so that a hub with a third of all pairs is
-spread over tasks: its minimum is a partial aggregate, and adaptive execution splits its join partition.
+spread over tasks: its minimum is a partial aggregate, and adaptive execution splits its join partition. For that
+both sides of a join must be shuffled for this join only; so minima are written before they are joined.
 """
 
 from __future__ import annotations
@@ -46,10 +47,10 @@ def hash_to_min(spark: SparkSession, links: DataFrame, scratch: Scratch, max_rou
     state, path = scratch.write(first.select("e.v", "e.u").distinct(), "clusters")
     seen = _fingerprint(state)
     for _ in range(max_rounds):
-        low = state.groupBy("v").agg(F.min("u").alias("m"))
-        sent = state.join(low, "v").select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e"))
-        new, new_path = scratch.write(sent.select("e.v", "e.u").distinct(), "clusters")
+        low, low_path = scratch.write(state.groupBy("v").agg(F.min("u").alias("m")), "low")
+        new, new_path = scratch.write(_sent(state, low), "clusters")
         scratch.drop(path)
+        scratch.drop(low_path)
         state, path, now = new, new_path, _fingerprint(new)
         if now == seen:
             return state.groupBy("v").agg(F.min("u").alias("root"))
@@ -57,6 +58,12 @@ def hash_to_min(spark: SparkSession, links: DataFrame, scratch: Scratch, max_rou
     raise RuntimeError(f"no stable state after {max_rounds} rounds")
 
 
+def _sent(state: DataFrame, low: DataFrame) -> DataFrame:
+    """What the vertices send in a round: the cluster to its minimum, the minimum to the cluster."""
+    sent = state.join(low, "v").select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e"))
+    return sent.select("e.v", "e.u").distinct()
+
+
 def _fingerprint(state: DataFrame) -> tuple:
     """Number and order-free digest of the rows; a changed state differs in it."""
     h = F.xxhash64("v", "u")
@@ -81,7 +88,7 @@ def name_groups(spark: SparkSession, links: DataFrame) -> DataFrame:
         raise RuntimeError("names share hashes under every seed")
     roots = hash_to_min(spark, links.select(key(F.col("a")).alias("a"), key(F.col("b")).alias("b")), scratch)
     members = scratch.save(roots.join(names.drop("other"), "v").select("root", "name"), "members")
-    smallest = members.groupBy("root").agg(F.min("name").alias("group_id"))
+    smallest = scratch.save(members.groupBy("root").agg(F.min("name").alias("group_id")), "smallest")
     return members.join(smallest, "root").select("name", "group_id")
 
 

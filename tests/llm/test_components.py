@@ -3,7 +3,11 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from sparkyard.llm import components
+from sparkyard.session import Scratch
 
 PAIR = "image_a string, image_b string, audited_at timestamp, visual_review string, pair_id string, a string, name string"
 
@@ -32,6 +36,28 @@ def test_random_graphs(spark):
     assert components.name_groups(spark, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("giant", [False, True])
+def test_hot_vertex_is_split(spark, giant):
+    """A hub, and the root of a giant component with all its members, aren't one task's: adaptive execution splits their partition."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "60KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        scratch = Scratch(spark, "t")
+        n = spark.range(40_000)
+        hot = n.selectExpr("0L AS v", "id AS u") if giant else n.selectExpr("0L AS v", "id AS u").unionByName(n.selectExpr("id AS v", "0L AS u"))
+        state = scratch.save(hot.unionByName(n.selectExpr("id AS v", "id AS u")).repartition(16))
+        low = scratch.save(state.groupBy("v").agg(F.min("u").alias("m")))
+        sent = components._sent(state, low)
+        assert sent.where("v = 0").count() == 40_000
+        rows = sent.collect()
+        assert len(rows) > 40_000 and "skew=true" in sent._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def test_dirty_pairs(spark):
     ok, no = components.LINKS, "visually_not_leakage"
     t = lambda h: dt.datetime(2031, 1, 1, h)
