@@ -1,8 +1,9 @@
 """Problem 6: splits of given shares that keep related records together.
 
 Method: a persisted table of components. ``Components`` says to which unit each group id belongs and which split each
-unit has; it is written to a folder and carried on by later batches. A batch brings new ids and ties: roots hook onto
-their smallest neighbour and pointers jump until every id points at its root. A unit that stems from units of one
+unit has; it is kept in a folder, as versions of which readers see the last that is whole, and carried on by later
+batches. A batch brings new ids and ties. Only units that ties join change: these hook onto their smallest neighbour and
+pointers jump until every one points at its root (:func:`sparkyard.operators.graph.components`). A unit that stems from units of one
 split keeps it, one of new ids only fills the deficits of the splits, one that joins units of different splits is
 quarantined: it has no split until someone decides.
 
@@ -20,11 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkyard.functions.text import WHITE, split_name
+from sparkyard.operators import graph
 from sparkyard.session import Scratch
+from sparkyard.sources.sinks import VersionedTable
 
 SHARES = {"train": 0.7, "val": 0.2, "test": 0.1}
 LARGE, BUCKETS = 2000, 4096
-MAX_ROUNDS = 100
 
 
 def members(c: Column) -> Column:
@@ -45,25 +47,13 @@ def merge(spark: SparkSession, units: DataFrame, ties: DataFrame, scratch: Scrat
     """
     ties = scratch.save(ties.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), "ties")
     new = ties.select(F.explode(F.array("a", "b")).alias("member")).distinct().join(units, "member", "left_anti")
-    state, path = scratch.write(units.select("member", "unit").unionByName(new.withColumn("unit", F.col("member"))), "units")
-    for _ in range(MAX_ROUNDS):
-        at = lambda t, c: t.join(state.select(F.col("member").alias(c), F.col("unit").alias(f"u{c}")), c)  # noqa: B023, E731
-        cross = at(at(ties, "a"), "b").where("ua <> ub").select(F.greatest("ua", "ub").alias("x"), F.least("ua", "ub").alias("y"))
-        hooks, hook_path = scratch.write(cross.groupBy("x").agg(F.min("y").alias("y")), "hooks")
-        if hooks.isEmpty():
-            return state
-        for _ in range(MAX_ROUNDS):  # pointer jumping: every hooked root comes to point at one that isn't hooked
-            q = hooks.select(F.col("x").alias("y"), F.col("y").alias("z"))
-            jumped, jumped_path = scratch.write(hooks.join(q, "y", "left").select("x", F.coalesce("z", "y").alias("y"), F.col("z").isNotNull().alias("moved")), "jumps")
-            scratch.drop(hook_path)
-            moved = not jumped.where("moved").isEmpty()
-            hooks, hook_path = jumped.select("x", "y"), jumped_path
-            if not moved:
-                break
-        merged, merged_path = scratch.write(state.join(hooks.withColumnRenamed("x", "unit"), "unit", "left").select("member", F.coalesce("y", "unit").alias("unit")), "units")
-        scratch.drop(path)
-        state, path = merged, merged_path
-    raise RuntimeError(f"units still change after {MAX_ROUNDS} rounds")
+    state = scratch.save(units.select("member", "unit").unionByName(new.withColumn("unit", F.col("member"))), "units")
+    at = lambda t, c: t.join(state.select(F.col("member").alias(c), F.col("unit").alias(f"u{c}")), c)
+    cross = scratch.save(at(at(ties, "a"), "b").where("ua <> ub").select(F.col("ua").alias("a"), F.col("ub").alias("b")), "cross")
+    if cross.isEmpty():
+        return state
+    roots = scratch.save(graph.components(spark, cross), "roots")
+    return scratch.save(state.join(roots, F.col("unit") == F.col("node"), "left").select("member", F.coalesce("component", "unit").alias("unit")), "units")
 
 
 def ties_of(ids: DataFrame, id_members: str) -> DataFrame:
@@ -81,11 +71,16 @@ def all_units(spark: SparkSession, ids: DataFrame, id_members: str, scratch: Scr
     return merge(spark, units.select("member", "unit").unionByName(own), ties, scratch)
 
 
-def divided_units(spark: SparkSession, audit: DataFrame) -> DataFrame:
-    """``(source, group_id)`` of the units whose audit rows name more than one split; ``source`` is the smallest of a unit's rows. Rows without an id belong to none."""
+def divided_units(spark: SparkSession, audit: DataFrame, folder: str | None = None) -> DataFrame:
+    """``(source, group_id)`` of the units whose audit rows name more than one split; ``source`` is the smallest of a unit's rows. Rows without an id belong to none.
+
+    With a ``folder``, the units are those of its persisted table and the audit's ties on top of them, and are kept there; without one, the table is this call's own.
+    """
     scratch = Scratch(spark, "group-splits")
-    rows = audit.select(members(F.col("group_id")).alias("m"), split_names(F.col("final_splits")).alias("splits"), "source").where("m IS NOT NULL")
-    units = all_units(spark, rows, "m", scratch)
+    folder = folder or f"{scratch.root}/state"
+    rows = scratch.save(audit.select(members(F.col("group_id")).alias("m"), split_names(F.col("final_splits")).alias("splits"), "source").where("m IS NOT NULL"), "rows")
+    before = Components.load(spark, folder)
+    units = Components(all_units(spark, rows, "m", scratch, before.units), before.splits).save(folder).units
     named = rows.select(F.col("m")[0].alias("member"), "source", F.explode_outer("splits").alias("split"))
     named = named.groupBy("member", "split").agg(F.min("source").alias("source")).join(units, "member")
     return named.groupBy(F.col("unit").alias("group_id")).agg(F.min("source").alias("source"), F.countDistinct("split").alias("n")).where("n > 1").select("source", "group_id")
@@ -99,13 +94,20 @@ class Components:
     splits: DataFrame
 
     def save(self, folder: str) -> Components:
-        self.units.write.mode("overwrite").parquet(f"{folder}/units")
-        self.splits.write.mode("overwrite").parquet(f"{folder}/splits")
+        """Kept as the next version of the folder's table, both parts in one; a run that is lost on the way leaves the version before."""
+        both = self.units.withColumn("part", F.lit("units")).unionByName(self.splits.withColumn("part", F.lit("splits")), allowMissingColumns=True)
+        VersionedTable(self.units.sparkSession, folder).commit(both, ("part",))
         return Components.load(self.units.sparkSession, folder)
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Components:
-        return cls(spark.read.parquet(f"{folder}/units"), spark.read.parquet(f"{folder}/splits"))
+        """The last version; an empty state where there is none."""
+        table = VersionedTable(spark, folder)
+        if table.current() is None:
+            return cls.empty(spark)
+        path = f"{folder.rstrip('/')}/{table.current()}"
+        both = spark.read.schema("member string, unit string, split string, images bigint, status string, part string").parquet(path)
+        return cls(both.where("part = 'units'").select("member", "unit"), both.where("part = 'splits'").select("unit", "split", "images", "status"))
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Components:
@@ -193,10 +195,14 @@ def _with_units(images: DataFrame, state: Components) -> DataFrame:
 
 
 def assign_images(spark: SparkSession, manifest: DataFrame, audit: DataFrame, folder: str | None = None) -> DataFrame:
-    """``(image_id, group_id, split, status)``: one split for each unit of images, from an empty state, or from and to the one in ``folder``."""
+    """``(image_id, group_id, split, status)``: one split for each unit of images, from an empty state, or from and to the one in ``folder``.
+
+    A state that is carried on keeps its units' splits; the manifest is the whole one each time, so its images are counted anew.
+    """
     images = Scratch(spark, "group-splits").save(manifest_images(manifest), "images")
     tied = audit.select(members(F.col("group_id")).alias("m")).where("m IS NOT NULL").unionByName(images.where("size(m) > 1").select("m"))
-    state = advance(spark, Components.empty(spark), tied, _counts(images))
+    before = Components.load(spark, folder) if folder else Components.empty(spark)
+    state = advance(spark, Components(before.units, before.splits.withColumn("images", F.lit(0).cast("bigint"))), tied, _counts(images))
     return _with_units(images, state.save(folder) if folder else state)
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import random
 
 from pyspark.sql import functions as F
@@ -72,6 +73,33 @@ def test_batches_keep_fill_and_quarantine(spark, tmp_path):
     assert again["a"] == ("train", "kept") and again["c"] == (None, "quarantined") and again["f"] == ("val", "kept") and again["h"][0] in ("train", "test")  # both lack as much
 
 
+def _manifest(spark, rows):
+    return spark.createDataFrame([(i, g, dt.datetime(2031, 1, 1), dt.datetime(2031, 1, 1)) for i, g in rows], "image_id long, group_id string, recorded_at timestamp, loaded_at timestamp")
+
+
+def test_two_calls_on_one_folder(spark, tmp_path):
+    folder = str(tmp_path / "state")
+    audit = lambda *ids: spark.createDataFrame([(x,) for x in ids], "group_id string")
+    rows = [(i, "a") for i in range(70)] + [(100 + i, "b") for i in range(20)] + [(200 + i, "c") for i in range(10)]
+    at = lambda df: {(r["group_id"], r["split"], r["status"]) for r in df.collect()}
+    assert at(g.assign_images(spark, _manifest(spark, rows), audit(), folder)) == {("a", "train", "new"), ("b", "val", "new"), ("c", "test", "new")}
+    rows += [(300 + i, "d") for i in range(5)]
+    assert at(g.assign_images(spark, _manifest(spark, rows), audit("A + d"), folder)) == {("a", "train", "kept"), ("b", "val", "kept"), ("c", "test", "kept")}
+    assert {(r["unit"], r["images"]) for r in g.Components.load(spark, folder).splits.collect()} == {("a", 75), ("b", 20), ("c", 10)}
+    assert at(g.assign_images(spark, _manifest(spark, rows), audit("b+c"), folder)) == {("a", "train", "kept"), ("b", None, "quarantined")}
+    assert at(g.assign_images(spark, _manifest(spark, rows[:3]), audit(), folder)) == {("a", "train", "kept")}
+    assert len(g.VersionedTable(spark, folder).versions()) == 4
+
+
+def test_divided_units_over_a_persisted_table(spark, tmp_path):
+    df = lambda *rows: spark.createDataFrame([("d1", *r) for r in rows], "source string, group_id string, final_splits string")
+    folder = str(tmp_path / "state")
+    assert g.divided_units(spark, df(("a+b", "train"), ("c", "val")), folder).count() == 0
+    got = g.divided_units(spark, df(("b", "train"), ("d", "val"), ("a + d", None)), folder)
+    assert [tuple(r) for r in got.collect()] == [("d1", "a")]
+    assert {(r["member"], r["unit"]) for r in g.Components.load(spark, folder).units.collect()} == {("a", "a"), ("b", "a"), ("d", "a"), ("c", "c")}
+
+
 def test_images_of_a_unit_share_a_split(spark, data):
     d = f"{data}/sf0.001"
     m, a = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("manifest", "group_split_audit"))
