@@ -33,6 +33,37 @@ def test_near_pairs_against_brute_force(spark, hot_rows):
     assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want) > 80
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 3])
+def test_edit_pairs_against_brute_force(spark, k):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abя") for _ in range(n))
+    left = [(i, word(rng.randint(0, 14))) for i in range(90)]
+    right = []
+    for i in range(90):
+        s = list(left[i][1])
+        for _ in range(rng.randint(0, 4)):
+            at, kind = rng.randrange(len(s) + 1), rng.choice("ids")
+            if kind == "i":
+                s.insert(at, rng.choice("abя"))
+            elif at < len(s):
+                s[at : at + 1] = [] if kind == "d" else [rng.choice("abя")]
+        right.append((100 + i, "".join(s)))
+    want = {(a, b, e) for a, s in left for b, t in right if (e := _edits(s, t)) <= k}
+    df = lambda rows: spark.createDataFrame([*rows, rows[0], (None, "ab"), (50, None)], "id long, s string")
+    got = overlap.edit_pairs(df(left), df(right), k).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 30
+    assert overlap.edit_pairs(df(left).limit(0), df(right), k).count() == 0
+
+
 def test_cross_split_rules(spark):
     t = lambda h: dt.datetime(2031, 1, 1, h)
     m = [
