@@ -45,11 +45,11 @@ def _keys(c: Column, k: int) -> Column:
 
 
 def _agreeing(x: Column, n: int) -> Column:
-    """The numbers, as bits, of the segments that have no bit in an exclusive or."""
-    out = F.lit(0)
-    for i in range(n):
-        out = out.bitwiseOR(F.when(_segment(x, n, i) == 0, 1 << i).otherwise(0))
-    return out
+    """The numbers, as bits, of the segments that have no bit in an exclusive or: shifted upon each other, its bits leave a segment's number free only then."""
+    step = n
+    while step < 64:
+        x, step = x.bitwiseOR(F.shiftrightunsigned(x, step)), 2 * step
+    return F.bitwise_not(x).bitwiseAND(F.lit((1 << n) - 1).cast("bigint"))
 
 
 def _lowest(bits: Column) -> Column:
