@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,8 @@ SEED = 20260101
 #: Repetitions and sampled places by the number of allowed edits; recall of planted edits is measured in the tests.
 REPETITIONS, PLACES = {0: 1, 1: 12, 2: 16}, {0: 8, 1: 6, 2: 5}
 
-_FORMAT = re.compile("[" + "".join(f"\\U{c:08x}" for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf") + "]+")
+_FORMAT = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cf")
+_NO_FORMAT = dict.fromkeys(map(ord, _FORMAT))
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -43,7 +45,7 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     t = unicodedata.normalize("NFKC", text).lower()
-    return _WORD.findall(t if t.isascii() else _FORMAT.sub("", t))
+    return _WORD.findall(t if t.isascii() or _FORMAT.isdisjoint(t) else t.translate(_NO_FORMAT))
 
 
 class _Vocabulary(dict):
@@ -124,7 +126,7 @@ class Items:
             if not len(starts):
                 continue
             rows = [np.searchsorted(starts, x) for x in fits]
-            met = np.unique(np.concatenate([self._collisions(ids, starts, rows, n, rep, lengths) for rep in range(REPETITIONS[k])]))
+            met = _distinct(np.concatenate([self._collisions(ids, starts, rows, n, rep, lengths) for rep in range(REPETITIONS[k])]))
             if not len(met):
                 continue
             pairs = np.stack(np.divmod(met, len(self.windows[n])), axis=1)
@@ -133,10 +135,11 @@ class Items:
                 near = np.clip(at, 0, len(ids) - 1)
                 text = np.where((near == at) & (owner[near] == owner[part[:, :1]]), ids[near], -1)
                 d = banded(text, self.windows[n][part[:, 1]], k, free=True)
-                for (s, w), e in zip(part[d <= k].tolist(), d[d <= k].tolist()):
+                near = d <= k
+                fewest = _distinct((owner[part[near, 0]] * len(self.windows[n]) + part[near, 1]) * (k + 1) + d[near])  # by text and window, then edits
+                for s, w, e in zip(*(x.tolist() for x in (*np.divmod(fewest // (k + 1), len(self.windows[n])), fewest % (k + 1)))):
                     for item in self.owners[n][w]:
-                        pair = (int(owner[s]), item)
-                        best[pair] = min(e, best.get(pair, e))
+                        best[s, item] = min(e, best.get((s, item), e))
         for (t, item), d in best.items():
             yield t, item, d
 
@@ -151,7 +154,13 @@ class Items:
             count = count[hit]
             nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             found.append(np.repeat(starts[own[hit]], count) * len(order) + order[np.repeat(low[hit], count) + nth])
-        return np.unique(np.concatenate(found))
+        return _distinct(np.concatenate(found))
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The values in order, each once; sorting is faster than hashing for millions of numbers."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def banded(a: np.ndarray, b: np.ndarray, k: int, free: bool = False) -> np.ndarray:
@@ -184,8 +193,8 @@ def leaked_items(spark: SparkSession, docs: DataFrame, items: DataFrame, run: in
     no row; null ids are left out; a repeated id counts as one document or item.
     """
     items = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    windows = items.agg(F.coalesce(F.sum(F.greatest(F.lit(1), F.size(F.split("text", r"\s+")))), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(windows) // max_windows))
+    counted = items.select("text").mapInArrow(_count_words, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks, query = max(1, -(-int(counted) // max_windows)), uuid.uuid4().hex
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType())])
     src = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text")
     out = None
@@ -193,8 +202,11 @@ def leaked_items(spark: SparkSession, docs: DataFrame, items: DataFrame, run: in
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else items
         sent = spark.sparkContext.broadcast([tuple(r) for r in mine.collect()])  # a block: at most max_windows words
 
-        def run_block(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            found = Items(sent.value, run, edits)
+        def run_block(batches: Iterator[pa.RecordBatch], sent=sent, block=block) -> Iterator[pa.RecordBatch]:
+            if (query, block) not in _READY:  # made once in a Python worker for the tasks of a query
+                _READY.clear()
+                _READY[query, block] = Items(sent.value, run, edits)
+            found = _READY[query, block]
             for b in batches:
                 for part in slices(b, "text", 4_000_000):
                     ids = part.column("doc_id").to_pylist()
@@ -206,6 +218,15 @@ def leaked_items(spark: SparkSession, docs: DataFrame, items: DataFrame, run: in
     return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
 
+_READY: dict[tuple[str, int], Items] = {}
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each batch of texts, as :func:`words` has them, so that they bound what is sent to all tasks."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(words(t)) for t in b.column(0).to_pylist())], pa.int64())], ["n"])
+
+
 _ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int32())])
 
 
