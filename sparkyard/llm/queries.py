@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkyard.functions import sql
 from sparkyard.llm import canonical, chunking, components, group_splits, leakage, overlap, tokenizer
@@ -49,6 +51,13 @@ def p6_assignment(spark: SparkSession, d: str) -> DataFrame:
     return group_splits.assign_images(spark, table(spark, d, "manifest"), table(spark, d, "group_split_audit"))
 
 
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The unit of each image, and whether it has just one split."""
+    x = p6_assignment(spark, d)
+    one = x.groupBy("group_id").agg((F.count_distinct("split") <= 1).alias("one_split"))
+    return x.join(one, "group_id").select("image_id", "group_id", "one_split")
+
+
 def p6_balance(spark: SparkSession, d: str) -> DataFrame:
     return group_splits.balance(p6_assignment(spark, d))
 
@@ -89,6 +98,27 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_oversized(spark, table(spark, d, "documents"))
 
 
+def p9_problems(spark: SparkSession, d: str) -> DataFrame:
+    """How many pieces break a rule, by rule; none do. Whole texts are put together again from their pieces."""
+    x = p9_pieces(spark, d)
+    after = Window.partitionBy("doc_id").orderBy("piece_no")
+    x = x.withColumn("before", F.lag("end_char").over(after)).withColumn("started", F.lag("start_char").over(after))
+    # what a piece adds to the text before it; positions are counted in code points, as length and substring do
+    x = x.withColumn("adds", F.substring("piece", F.coalesce(F.col("before") - F.col("start_char"), F.lit(0)) + 1, F.length("piece")))
+    rules = {
+        "over_limit": F.col("n_tokens") > chunking.LIMIT,
+        "gap": F.coalesce(F.col("start_char") > F.col("before"), F.col("start_char") > 0),
+        "no_progress": (F.col("start_char") <= F.col("started")) | (F.col("end_char") <= F.col("before")),
+        "length": F.length("piece") != F.col("end_char") - F.col("start_char"),
+    }
+    broken = x.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in rules.items()))
+    again = x.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "adds"))), lambda p: p["adds"]), "").alias("again"))  # one text each
+    other = again.join(table(spark, d, "documents"), "doc_id").agg(F.count_if(F.col("again") != F.col("text")).alias("not_the_text"))
+    rows = [(n, t) for t in (broken, other) for n in t.columns]
+    out = [t.select(F.lit(n).alias("rule"), F.col(n).alias("n")) for n, t in rows]
+    return reduce(DataFrame.unionByName, out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -100,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_misses": p5_misses,
         "p6_found": p6_found,
         "p6_assignment": p6_assignment,
+        "p6_groups": p6_groups,
         "p6_balance": p6_balance,
         "p6_in_two_steps": p6_in_two_steps,
         "p7_ids": p7_ids,
@@ -109,6 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_report": p8_report,
         "p9_found": p9_found,
         "p9_pieces": p9_pieces,
+        "p9_problems": p9_problems,
     }
 
 
@@ -142,11 +174,25 @@ u AS (SELECT s AS member, min(t) AS unit FROM r GROUP BY 1)
 """
 
 
+P6_ALL_SQL = f"""
+WITH RECURSIVE i AS (SELECT image_id, list_filter(list_transform(string_split(lower(group_id), '+'), lambda x: {sql.strip("x")}), lambda x: x <> '') AS m FROM manifest WHERE image_id IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY recorded_at DESC NULLS LAST, loaded_at DESC NULLS LAST) = 1),
+j AS (SELECT image_id, CASE WHEN len(m) > 0 THEN m ELSE ['image:' || image_id] END AS m FROM i),
+lists AS (SELECT m FROM j UNION ALL SELECT list_filter(list_transform(string_split(lower(group_id), '+'), lambda x: {sql.strip("x")}), lambda x: x <> '') FROM group_split_audit),
+e AS (SELECT m[1] AS s, unnest(m) AS t FROM lists WHERE len(m) > 0 UNION SELECT unnest(m), m[1] FROM lists WHERE len(m) > 0),
+r(s, t) AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON r.t = e.s),
+u AS (SELECT s AS member, min(t) AS unit FROM r GROUP BY 1)
+SELECT image_id, unit AS group_id, true AS one_split FROM j JOIN u ON m[1] = member
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_SQL + "SELECT image, group_id FROM g",
         "p1_group_sizes": P1_SQL + "SELECT images, count(*) AS n_groups FROM (SELECT group_id, count(*) AS images FROM g GROUP BY 1) GROUP BY 1",
         "p6_found": P6_SQL + "SELECT min(source) AS source, unit AS group_id FROM (SELECT source, unit, unnest(splits) AS split FROM rows JOIN u ON m[1] = member) GROUP BY unit HAVING count(DISTINCT split) > 1",
+        "p6_groups": P6_ALL_SQL,
+        "p9_problems": "SELECT unnest(['over_limit', 'gap', 'no_progress', 'length', 'not_the_text']) AS rule, 0 AS n",
         "p7_round_trip": "SELECT doc_id, true AS same FROM documents",
         "p2_found": P2_SQL + "SELECT least(t, e) AS image_id_a, greatest(t, e) AS image_id_b FROM p",
         "p2_counts": P2_SQL + "SELECT split, source, count(*) AS images, count(*) FILTER (exact) AS exact, count(*) FILTER (near) AS near, count(n_pairs) AS leaked, coalesce(sum(n_pairs), 0)::BIGINT AS pairs FROM x LEFT JOIN h USING (image_id) WHERE split <> 'train' GROUP BY ALL",
