@@ -220,13 +220,13 @@ def _below(path: str, leaf: str) -> str:
     return f"{path}{'' if leaf.startswith('[]') else '/'}{leaf}"
 
 
-def assemble(levels: DataFrame, parts: list[Part], columns: dict[str, str], positions: list[str], keep: list[str], tag: str | None = None) -> DataFrame:
+def assemble(levels: DataFrame, parts: list[Part], columns: dict[str, str], positions: list[str], keep: list[str], tag: str | None = None, unique: bool = False) -> DataFrame:
     """The flat table of the repeated ancestors ``parts``, one row per slot of theirs that isn't null.
 
     ``columns`` names the leaves to take, as result name to path below the ancestor; those of a deeper array come as an
     array of text (null: no array). ``positions`` names the position columns, outermost first; an ancestor with fewer
     arrays has 0 in the outer ones. All leaves of an ancestor have the same slots in the same order, so their sequences
-    are laid side by side: no join and no shuffle.
+    are laid side by side: no join and no shuffle. ``unique`` leaves out rows that another part of the same record already gave.
     """
     need = list(dict.fromkeys(_below(x.path, p) for x in parts for p in ["$kind", *columns.values()]))
     deep = {n: p.count("[]") > 0 for n, p in columns.items()}
@@ -259,8 +259,8 @@ def assemble(levels: DataFrame, parts: list[Part], columns: dict[str, str], posi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in parts:
-                yield rebuild(b, part)
+            rows = [rebuild(b, part) for part in parts]  # whole records, so equal rows of one are in the same batch
+            yield from pa.Table.from_batches(rows).group_by(schema.names).aggregate([]).to_batches() if unique else rows
 
     return src.mapInArrow(run, schema)
 
@@ -363,4 +363,4 @@ def children(raw: DataFrame) -> DataFrame:
     """``(record_id, child, obs_no, item_no)`` of every detection and missing requirement; only the leaves that tell elements from nulls are shredded."""
     parts = DETECTIONS + MISSING
     levels = request_levels(raw, [f"{p.path}/$kind" for p in parts])
-    return assemble(levels, parts, {}, ["obs_no", "item_no"], ["record_id"], tag="child").distinct()
+    return assemble(levels, parts, {}, ["obs_no", "item_no"], ["record_id"], tag="child", unique=True)
