@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,30 +70,51 @@ def greedy_match(gt: DataFrame, pred: DataFrame, least_iou: float = IOU, least_s
 
 
 def _match_at(images: DataFrame, least: list[float]) -> DataFrame:
-    """Every prediction with its hit or miss at each of several IoUs, in one pass over Arrow batches: the matchings of an image share its IoUs."""
+    """Every prediction with its hit or miss at each of several IoUs, in one pass over Arrow batches: the matchings of an image share its IoUs.
 
-    def overlap(a: dict, b: dict) -> float:
-        w = max(0.0, min(a["x2"], b["x2"]) - max(a["x1"], b["x1"]))
-        h = max(0.0, min(a["y2"], b["y2"]) - max(a["y1"], b["y1"]))
-        union = max(0.0, a["x2"] - a["x1"]) * max(0.0, a["y2"] - a["y1"]) + max(0.0, b["x2"] - b["x1"]) * max(0.0, b["y2"] - b["y1"]) - w * h
-        return w * h / union if union > 0 else 0.0
+    Works on the flat arrays of a batch: all pairs of a prediction and a box of one image and class, their IoUs at once. Pairs under the least
+    threshold can't match; an image whose pairs are all of different predictions and boxes is matched by comparing, others one by one.
+    """
+
+    def boxes(x: pa.ListArray) -> np.ndarray:
+        box = x.flatten().field("box")
+        return np.stack([box.field(c).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for r in b.to_pylist():
-                boxes = [g["box"] for g in r["gts"]]
-                over = [[overlap(p["box"], g) for g in boxes] for p in r["preds"]]
-                hits = [[False] * len(least) for _ in over]
-                for k, t in enumerate(least):
-                    free = set(range(len(boxes)))
-                    for i, row in enumerate(over):
-                        best = max(((row[j], j) for j in free if row[j] >= t), default=None)  # of equal ones the last
-                        if best:
-                            hits[i][k] = True
-                            free.discard(best[1])
-                out += [(r["model"], r["class_id"], r["image_id"], p["pred_id"], -p["s"], h) for p, h in zip(r["preds"], hits)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, _FLAGS.types)], _FLAGS.names)
+            preds, gts = b.column("preds"), b.column("gts")
+            n_p, n_g = (pa.compute.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (preds, gts))
+            owner = np.repeat(np.arange(b.num_rows), n_p)
+            # pairs: for each prediction all boxes of its image
+            many = n_g[owner]
+            p = np.repeat(np.arange(len(owner)), many)
+            nth = np.arange(len(p)) - np.repeat(np.cumsum(many) - many, many)
+            g = (np.cumsum(n_g) - n_g)[owner][p] + nth
+            pb, gb = boxes(preds)[:, p], boxes(gts)[:, g]
+            w = np.maximum(0.0, np.minimum(pb[2], gb[2]) - np.maximum(pb[0], gb[0]))
+            h = np.maximum(0.0, np.minimum(pb[3], gb[3]) - np.maximum(pb[1], gb[1]))
+            area = lambda x: np.maximum(0.0, x[2] - x[0]) * np.maximum(0.0, x[3] - x[1])
+            union = area(pb) + area(gb) - w * h
+            over = np.divide(w * h, union, out=np.zeros(len(p)), where=union > 0)
+            near = np.flatnonzero(over >= least[0])
+            p, g, over = p[near], g[near], over[near]
+            hits = np.zeros((len(owner), len(least)), bool)
+            alone = (np.bincount(p, minlength=len(owner))[p] == 1) & (np.bincount(g, minlength=int(n_g.sum()))[g] == 1)
+            hits[p[alone]] = over[alone, None] >= np.array(least)
+            crowd: dict[int, list[tuple[int, float]]] = {}
+            for i, j, o in zip(p[~alone].tolist(), g[~alone].tolist(), over[~alone].tolist()):
+                crowd.setdefault(i, []).append((j, o))
+            for k, t in enumerate(least):
+                used: set[int] = set()
+                for i, near_boxes in crowd.items():  # predictions in the order of their scores
+                    best = max(((o, j) for j, o in near_boxes if o >= t and j not in used), default=None)  # of equal ones the last
+                    if best:
+                        hits[i, k] = True
+                        used.add(best[1])
+            flat, rows = preds.flatten(), pa.array(owner)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(owner) + 1, dtype=np.int32) * len(least)), pa.array(hits.reshape(-1)))
+            columns = [b.column("model").take(rows), b.column("class_id").take(rows), b.column("image_id").take(rows), flat.field("pred_id"), pa.compute.negate(flat.field("s")), lists]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _FLAGS)], _FLAGS.names)
 
     return images.select("model", "class_id", "image_id", "preds", "gts").mapInArrow(run, "model string, class_id int, image_id bigint, pred_id bigint, score double, hits array<boolean>")
 
@@ -134,18 +157,22 @@ def average_precision(gt: DataFrame, pred: DataFrame) -> DataFrame:
     Per image and class the best 100 predictions are matched at each IoU; over all images precision and recall run along the scores,
     precision is made monotone and read at 101 recalls. Running counts are summed over steps of the score first, then within each step.
     """
-    flags = _match_at(_per_image(gt, pred, MAX_DETECTIONS), [round(t, 2) for t in AP_IOUS])
-    m = flags.select("model", "class_id", "image_id", "pred_id", "score", F.explode(F.arrays_zip(F.array(*(F.lit(round(t, 2)) for t in AP_IOUS)).alias("least"), F.col("hits").alias("tp"))).alias("h"))
-    m = m.select("model", "class_id", "image_id", "pred_id", "score", F.col("h.least").alias("least"), F.col("h.tp").cast("bigint").alias("tp"))
-    m = m.withColumn("step", -F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))) * STEPS).cast("int"))
+    ious = [round(t, 2) for t in AP_IOUS]
+    flags = _match_at(_per_image(gt, pred, MAX_DETECTIONS), ious)
+    # the order of the predictions is that of all IoUs: one sort, with a count for each
+    step = -F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))) * STEPS).cast("int")
+    m = flags.select("model", "class_id", "image_id", "pred_id", "score", step.alias("step"), *(F.col("hits")[i].cast("int").alias(f"h{i}") for i in range(len(ious))))
     m = Scratch(gt.sparkSession, "average-precision").save(m)  # read twice below
-    keys = ["model", "class_id", "least"]
-    sums = m.groupBy(*keys, "step").agg(F.sum("tp").alias("t"), F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)  # at most STEPS + 1 rows
-    sums = sums.select(*keys, "step", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
-    run = Window.partitionBy(*keys, "step").orderBy(F.desc("score"), "image_id", "pred_id").rowsBetween(Window.unboundedPreceding, 0)
+    keys, per = ["model", "class_id", "least"], ["model", "class_id"]
+    sums = m.groupBy(*per, "step").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"h{i}").alias(f"s{i}") for i in range(len(ious))))
+    before = Window.partitionBy(*per).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)  # at most STEPS + 1 rows
+    sums = sums.select(*per, "step", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_0") for c in ["n", *(f"s{i}" for i in range(len(ious)))]))
+    run = Window.partitionBy(*per, "step").orderBy(F.desc("score"), "image_id", "pred_id").rowsBetween(Window.unboundedPreceding, 0)
     total = gt.groupBy("class_id").agg(F.count(F.lit(1)).alias("boxes"))
-    pts = m.join(sums, [*keys, "step"]).join(F.broadcast(total), "class_id").withColumn("t", F.col("t0") + F.sum("tp").over(run)).withColumn("n", F.col("n0") + F.count(F.lit(1)).over(run))
+    count = m.select("*", F.count(F.lit(1)).over(run).alias("n"), *(F.sum(f"h{i}").over(run).alias(f"t{i}") for i in range(len(ious))))
+    pts = count.join(sums, [*per, "step"]).join(F.broadcast(total), "class_id")
+    at = F.array(*(F.struct(F.lit(t).alias("least"), (F.col(f"s{i}_0") + F.col(f"t{i}")).alias("t")) for i, t in enumerate(ious)))
+    pts = pts.select(*per, "boxes", (F.col("n_0") + F.col("n")).alias("n"), F.explode(at).alias("at")).select(*per, "boxes", "n", "at.*")
     # the highest of the 101 recalls that a point reaches, in whole numbers: t / boxes >= k / 100
     reach = pts.withColumn("k", F.floor(F.col("t") * (RECALLS - 1) / F.col("boxes") + 1e-9).cast("int")).groupBy(*keys, "k").agg(F.max(F.col("t") / F.col("n")).alias("p"))
     after = Window.partitionBy(*keys).orderBy("k").rowsBetween(0, Window.unboundedFollowing)  # at most 101 rows
@@ -153,7 +180,7 @@ def average_precision(gt: DataFrame, pred: DataFrame) -> DataFrame:
     ap = best.groupBy(*keys).agg((F.sum(F.col("p") * (F.col("k") - F.col("prev"))) / RECALLS).alias("ap"))
     models = pred.select("model").distinct()
     spark = gt.sparkSession
-    grid = total.select("class_id").join(F.broadcast(models), F.lit(True)).join(F.broadcast(spark.createDataFrame([(round(t, 2),) for t in AP_IOUS], "least double")), F.lit(True))
+    grid = total.select("class_id").join(F.broadcast(models), F.lit(True)).join(F.broadcast(spark.createDataFrame([(t,) for t in ious], "least double")), F.lit(True))
     return grid.join(ap, keys, "left").select("model", "class_id", F.col("least").alias("iou"), F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 

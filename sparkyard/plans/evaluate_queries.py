@@ -9,26 +9,25 @@ from sparkyard.operators import evaluate as ev
 from sparkyard.sources.tables import table
 
 
-def _lines(s, d, most=None):
-    """All lines as boxes, or those numbered up to ``most``."""
-    li = table(s, d, "lineitem")
-    li = (li if most is None else li.where(F.col("l_linenumber") <= most)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_extendedprice", "l_shipdate")
+def _lines(s, d):
+    """All lines as boxes."""
+    li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_extendedprice", "l_shipdate")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
     x = li.withColumn("n", F.row_number().over(w))
     a, b = (F.col("l_partkey") % 900), (F.col("l_suppkey") % 90) * 10
     return x.select(F.col("l_orderkey").alias("image_id"), (F.col("l_orderkey") * 100 + F.col("n")).alias("ann_id"), "n", (F.col("l_partkey") % 13).cast("int").alias("class_id"), a.cast("double").alias("x1"), b.cast("double").alias("y1"), (a + 10 + F.col("l_quantity")).alias("x2"), (b + 20 + F.col("n")).cast("double").alias("y2"))
 
 
-def truth(s, d, most=None):
-    return _lines(s, d, most).withColumn("relative_area", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) / 1e6)
+def truth(s, d):
+    return _lines(s, d).withColumn("relative_area", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) / 1e6)
 
 
-def predictions(s, d, most=None):
+def predictions(s, d):
     """Of two models: boxes shifted, some left out, some of another class."""
     out = None
     for model, px, gone in (("before", 2, 11), ("after", 1, 23)):
         shift = (F.col("image_id") % 7) * px
-        x = _lines(s, d, most).where(F.col("image_id") % gone != 0)
+        x = _lines(s, d).where(F.col("image_id") % gone != 0)
         cls = F.when((F.col("image_id") + F.col("n")) % 17 == 0, (F.col("class_id") + 1) % 13).otherwise(F.col("class_id"))
         x = x.select(F.lit(model).alias("model"), "image_id", cls.cast("int").alias("class_id"), F.col("ann_id").alias("pred_id"), (((F.col("image_id") * 31 + F.col("n")) % 1000) / 1000).alias("score"), *((F.col(c) + shift).alias(c) for c in ("x1", "y1", "x2", "y2")))
         out = x if out is None else out.unionByName(x)
@@ -39,36 +38,31 @@ def _r(df):
     return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def _iou(s, d, most):
-    g, p = truth(s, d, most), predictions(s, d, most).where("model = 'before'")
+def _iou(s, d):
+    g, p = truth(s, d), predictions(s, d)
     box = lambda: F.struct("x1", "y1", "x2", "y2")
-    x = g.select("image_id", "class_id", "ann_id", box().alias("g")).join(p.select("image_id", "class_id", "pred_id", box().alias("p")), ["image_id", "class_id"])
-    return _r(x.select("image_id", "ann_id", "pred_id", ev.iou(F.col("g"), F.col("p")).alias("iou")))
+    x = g.select("image_id", "class_id", "ann_id", box().alias("g")).join(p.select("model", "image_id", "class_id", "pred_id", box().alias("p")), ["image_id", "class_id"])
+    return _r(x.select("model", "image_id", "ann_id", "pred_id", ev.iou(F.col("g"), F.col("p")).alias("iou")))
 
 
-def _queries(most: int | None) -> dict:
-    t, p = (lambda s, d: truth(s, d, most)), (lambda s, d: predictions(s, d, most))
-    match = lambda s, d: ev.greedy_match(t(s, d), p(s, d))
+def queries() -> dict:
+    match = lambda s, d: ev.greedy_match(truth(s, d), predictions(s, d))
+    ap = lambda s, d: ev.average_precision(truth(s, d), predictions(s, d))
     return {
-        "iou_pairs": lambda s, d: _iou(s, d, most),
+        "iou_pairs": _iou,
         "greedy_match": lambda s, d: _r(match(s, d)),
-        "prf_by_model": lambda s, d: _r(ev.with_delta(ev.precision_recall(t(s, d), match(s, d), []), "before", "after")),
-        "prf_by_class": lambda s, d: _r(ev.precision_recall(t(s, d), match(s, d), ["class_id"])),
-        "size_recall": lambda s, d: _r(ev.size_recall(t(s, d), match(s, d))),
-        "coco_ap": lambda s, d: _r(ev.average_precision(t(s, d), p(s, d))),
-        "coco_map": lambda s, d: _r(ev.mean_ap(ev.average_precision(t(s, d), p(s, d)))),
-        "class_comparison": lambda s, d: _r(ev.class_comparison(ev.average_precision(t(s, d), p(s, d)), "before", "after")),
+        "prf_by_model": lambda s, d: _r(ev.with_delta(ev.precision_recall(truth(s, d), match(s, d), []), "before", "after")),
+        "prf_by_class": lambda s, d: _r(ev.precision_recall(truth(s, d), match(s, d), ["class_id"])),
+        "size_recall": lambda s, d: _r(ev.size_recall(truth(s, d), match(s, d))),
+        "coco_ap": lambda s, d: _r(ap(s, d)),
+        "coco_map": lambda s, d: _r(ev.mean_ap(ap(s, d))),
+        "class_comparison": lambda s, d: _r(ev.class_comparison(ap(s, d), "before", "after")),
     }
 
 
-def queries() -> dict:
-    """Each query over the lines that its SQL reads, and, as ``_whole``, over all lines."""
-    return _queries(3) | {f"{k}_whole": q for k, q in _queries(None).items()}
-
-
 _BOX = "(l_partkey % 900)::DOUBLE AS x1, ((l_suppkey % 90) * 10)::DOUBLE AS y1, l_partkey % 900 + 10 + l_quantity AS x2, ((l_suppkey % 90) * 10 + 20 + n)::DOUBLE AS y2"
 SQL = f"""
-WITH RECURSIVE li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS n FROM lineitem WHERE l_linenumber <= 3),
+WITH RECURSIVE li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS n FROM lineitem),
 g AS (SELECT l_orderkey AS image_id, l_orderkey * 100 + n AS ann_id, n, (l_partkey % 13)::INT AS class_id, {_BOX} FROM li),
 m AS (SELECT unnest([{{'model': 'before', 'px': 2, 'gone': 11}}, {{'model': 'after', 'px': 1, 'gone': 23}}], recursive := true)),
 p AS (SELECT model, image_id, CASE WHEN (image_id + n) % 17 = 0 THEN (class_id + 1) % 13 ELSE class_id END AS class_id, ann_id AS pred_id, ((image_id * 31 + n) % 1000) / 1000 AS score,
@@ -110,7 +104,8 @@ _AP = (
     + """,
 cum AS (SELECT model, class_id, t, sum((ann_id IS NOT NULL)::INT) OVER w AS tp, count(*) OVER w AS n FROM am WINDOW w AS (PARTITION BY model, class_id, t ORDER BY score DESC, image_id, pred_id ROWS UNBOUNDED PRECEDING)),
 boxes AS (SELECT class_id, count(*) AS boxes FROM g GROUP BY 1),
-pr AS (SELECT model, class_id, t, k, max(tp / n) AS p FROM (SELECT *, unnest(range(0, 101)) AS k FROM cum JOIN boxes USING (class_id)) WHERE tp * 100 >= k * boxes GROUP BY ALL),
+top AS (SELECT model, class_id, t, tp * 100 // boxes AS k, max(tp / n) AS p FROM cum JOIN boxes USING (class_id) GROUP BY ALL),
+pr AS (SELECT model, class_id, t, r.k, max(p) AS p FROM top, range(0, 101) r(k) WHERE top.k >= r.k GROUP BY ALL),
 ap AS (SELECT model, class_id, t AS iou, coalesce(s, 0.0) AS ap FROM (SELECT * FROM (SELECT DISTINCT model FROM p), boxes, (SELECT DISTINCT t FROM am)) LEFT JOIN (SELECT model, class_id, t, sum(p) / 101 AS s FROM pr GROUP BY ALL) USING (model, class_id, t))
 """
 )
@@ -122,7 +117,7 @@ def oracle_sql() -> dict:
     prf = f"{', '.join(numbers[:3])}, {', '.join(map(r, numbers[3:]))}"
     delta = ", ".join(f"max({c}) FILTER (model = 'after') - max({c}) FILTER (model = 'before') AS {c}" for c in numbers)
     return {
-        "iou_pairs": SQL + "SELECT image_id, ann_id, pred_id, round(iou, 6) AS iou FROM pairs WHERE model = 'before'",
+        "iou_pairs": SQL + "SELECT model, image_id, ann_id, pred_id, round(iou, 6) AS iou FROM pairs",
         "greedy_match": _GREEDY + " SELECT model, image_id, class_id, pred_id, round(score, 6) AS score, ann_id, round(iou, 6) AS iou FROM gm",
         "prf_by_model": _GREEDY + f", x AS ({_prf_sql('')}) SELECT model, {prf} FROM (SELECT model, {', '.join(numbers)} FROM x UNION ALL SELECT 'delta', {delta} FROM x)",
         "prf_by_class": _GREEDY + f" SELECT model, class_id, {prf} FROM ({_prf_sql('class_id')})",
