@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from sparkyard.operators.ranking import row_numbers
 from sparkyard.session import Scratch
 
 MAX_ROUNDS = 60
@@ -34,8 +34,10 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         hooks, hook_path = scratch.write(left.groupBy(F.greatest("a", "b").alias("x")).agg(F.min(F.least("a", "b")).alias("y")), "hooks")
         if hooks.isEmpty():
-            small = roots.join(names, "id").groupBy("root").agg(F.min("node").alias("component"))
-            return roots.join(names, "id").join(small, "root").select("node", "component")
+            named = scratch.save(roots.join(names, "id").select("root", "node"), "named")
+            # written, as adaptive execution splits the partition of a giant component only if no aggregate shares the shuffle
+            small = scratch.save(named.groupBy("root").agg(F.min("node").alias("component")), "smallest")
+            return named.join(small, "root").select("node", "component")
         for _ in range(MAX_ROUNDS):
             q = hooks.select(F.col("x").alias("y"), F.col("y").alias("z"))
             jumped, jumped_path = scratch.write(hooks.join(q, "y", "left").select("x", F.coalesce("z", "y").alias("y"), F.col("z").isNotNull().alias("moved")), "hooks")
@@ -55,7 +57,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 def numbered(members: DataFrame) -> DataFrame:
     """With ``number``: the components of each source counted in the order of their smallest node."""
     heads = members.select("source", "component").distinct()
-    return members.join(heads.withColumn("number", F.row_number().over(Window.partitionBy("source").orderBy("component"))), ["source", "component"])
+    return members.join(row_numbers(heads, ["source"], [F.asc("component")], "number"), ["source", "component"])
 
 
 def component_profile(members: DataFrame, edges: DataFrame) -> DataFrame:

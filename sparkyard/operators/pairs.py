@@ -4,28 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sparkyard.functions import vectors as vx
+from sparkyard.operators.ranking import row_numbers
+from sparkyard.session import Scratch
 
 HIGH, POSSIBLE, NOT = "high_confidence_leakage", "possible_leakage", "visually_not_leakage"
 # The radii of the candidate join, and how many pairs per source are reviewed.
 P_RADIUS, D_RADIUS, REVIEWED = 16, 12, 100
+#: Rows of either side that a group of the candidate join compares.
+BLOCK_ROWS = 10_000
 
 
-def cross_split_candidates(items: DataFrame, p_radius: int = P_RADIUS, d_radius: int = D_RADIUS, blocks: int = 16) -> DataFrame:
+def cross_split_candidates(items: DataFrame, p_radius: int = P_RADIUS, d_radius: int = D_RADIUS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Pairs of one source from different splits whose ``phash`` or ``dhash`` are within a radius: ``(a, b, phash_distance, dhash_distance)``.
 
     ``items`` has ``id, source, split, phash, dhash``; the earlier of train, val, test is ``a``. Radii of a fifth of the bits and
-    more leave no selective key, so all pairs of a source are looked at, as blocks: the rows of a source fall into ``blocks`` parts
-    and the smaller, evaluation side goes to each of them, so no task holds a whole source. For tight radii there are better ways.
+    more leave no selective key (of eight parts of a hash one has at most two flipped bits, which a seventh of all values have), so all pairs
+    of a source are looked at, in blocks: either side of a source falls into parts of about ``block_rows`` rows, as many as its count asks for, and each two
+    parts meet in a group of their own. So a source of any size is many groups of bounded work. For tight radii there are better ways.
     """
     n = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 1).when(F.col("split") == "test", 2)
     x = items.select("id", "source", "phash", "dhash", n.alias("n")).where("n IS NOT NULL AND phash IS NOT NULL AND dhash IS NOT NULL")
-    left = x.where("n < 2").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    right = x.where("n > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    x = Scratch(items.sparkSession, "candidates").save(x, "items")
+    parts = lambda c: F.ceil(F.count(F.when(c, 1)) / block_rows).cast("int")
+    sizes = x.groupBy("source").agg(parts(F.col("n") < 2).alias("rows"), parts(F.col("n") > 0).alias("columns")).where("rows > 0 AND columns > 0")
+    x = x.join(sizes, "source")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = x.where("n < 2").withColumn("row", F.pmod(F.xxhash64("id"), "rows").cast("int")).withColumn("column", every("columns"))
+    right = x.where("n > 0").withColumn("column", F.pmod(F.xxhash64("id"), "columns").cast("int")).withColumn("row", every("rows"))
     p, d = vx.hamming(F.col("l.phash"), F.col("r.phash")), vx.hamming(F.col("l.dhash"), F.col("r.dhash"))
-    on = (F.col("l.source") == F.col("r.source")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.n") < F.col("r.n")) & ((p <= p_radius) | (d <= d_radius))
+    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("source", "row", "column")] + [F.col("l.n") < F.col("r.n"), (p <= p_radius) | (d <= d_radius)]
     return left.alias("l").join(right.alias("r"), on).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), p.alias("phash_distance"), d.alias("dhash_distance"))
 
 
@@ -34,6 +43,7 @@ def pair_id(a: Column, b: Column) -> Column:
     return F.substring(F.sha1(F.concat(F.least(a, b), F.lit("|"), F.greatest(a, b))), 1, 12)
 
 
+# The weights of the score and the thresholds of the verdict.
 def suspicion(p: Column, d: Column, ncc: Column, hist: Column, delta: Column) -> Column:
     base = 0.30 * (1 - p / 64) + 0.15 * (1 - d / 64) + 0.40 * F.greatest(ncc, F.lit(0.0)) + 0.15 * hist
     return base + F.when(delta.isNotNull(), 0.05 * F.exp(-delta / 10)).otherwise(0.0)
@@ -50,8 +60,7 @@ def triage(p: Column, d: Column, ncc: Column, mae: Column, same_family: Column,
 
 def ranked(pairs: DataFrame) -> DataFrame:
     """With ``review_rank`` per source: highest suspicion first, then smaller pHash distance, then pair id."""
-    w = Window.partitionBy("source").orderBy(F.desc_nulls_last("suspicion_score"), F.asc_nulls_last("phash_distance"), "pair_id", "audit_key")
-    return pairs.withColumn("review_rank", F.row_number().over(w))
+    return row_numbers(pairs, ["source"], [F.desc_nulls_last("suspicion_score"), F.asc_nulls_last("phash_distance"), F.asc("pair_id"), F.asc("audit_key")], "review_rank")
 
 
 def reviewed(pairs: DataFrame, high_ids: DataFrame, top: int = REVIEWED) -> DataFrame:

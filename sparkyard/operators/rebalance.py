@@ -5,13 +5,17 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkyard.operators import graph
 
 SPLITS = ("train", "val", "test")
+#: Fixed value: the seed of the random restarts.
+SEED = 20260922
 #: Rows of a summary (one per source, group, split and class) that a sequential assignment takes to the driver at most.
 MAX_SUMMARY = 2_000_000
 
@@ -27,14 +31,41 @@ def historical_closure(spark: SparkSession, memberships: DataFrame) -> DataFrame
     return graph.components(spark, edges).select(F.col("node").alias("member"), "component")
 
 
-def closure_id(spark: SparkSession, members: DataFrame) -> DataFrame:
-    """``(component, n, closure_id)``; the id is a digest of the component's members in order.
+def closure_id(spark: SparkSession, members: DataFrame, new_ids: DataFrame | None = None) -> DataFrame:
+    """``(component, n, closure_id)`` of components ``(member, component)``.
 
-    The digest is taken of the sorted digests of blocks of members, so no task holds a whole large component: members fall into 256 blocks by hash.
+    A component that holds members of newly confirmed groups, given as ``new_ids`` ``(member, new_id)``, has their ids in order, joined by ``+``. All others have
+    ``historical_closure_`` and 12 digits of the SHA-256 of their members in order, joined by ``|``. Such a digest is sequential: a component's members stream in order
+    through one task, which holds one batch of them at a time; sorting spills.
     """
-    blocks = members.groupBy("component", F.pmod(F.xxhash64("member"), F.lit(256)).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("member").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("member")).alias("x"))
-    one = blocks.groupBy("component").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("block", "s", "x"))).alias("parts"))  # at most 256 parts
-    return one.select("component", "n", F.concat(F.lit("historical_closure_"), F.substring(F.sha2(F.to_json("parts"), 256), 1, 12)).alias("closure_id"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = members.select("component", "member").where("component IS NOT NULL AND member IS NOT NULL").distinct().repartition(n, "component").sortWithinPartitions("component", "member")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, size, state = None, 0, hashlib.sha256()
+        for b in batches:
+            out: list[tuple[str, int, str]] = []
+            for c, m in zip(b.column("component").to_pylist(), b.column("member").to_pylist()):
+                if c != now:
+                    if size:
+                        out.append((now, size, state.hexdigest()[:12]))
+                    now, size, state = c, 0, hashlib.sha256()
+                state.update(("|" if size else "").encode() + m.encode())
+                size += 1
+            yield _ids_batch(out)
+        if size:
+            yield _ids_batch([(now, size, state.hexdigest()[:12])])
+
+    out = x.mapInArrow(run, "component string, n bigint, digest string").withColumn("closure_id", F.concat(F.lit("historical_closure_"), "digest")).drop("digest")
+    if new_ids is None:
+        return out
+    new = new_ids.where("new_id IS NOT NULL").join(members.select("member", "component"), "member").groupBy("component").agg(F.array_join(F.array_sort(F.collect_set("new_id")), "+").alias("new"))
+    return out.join(new, "component", "left").select("component", "n", F.coalesce("new", "closure_id").alias("closure_id"))
+
+
+def _ids_batch(rows: list[tuple[str, int, str]]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()))], ["component", "n", "digest"])
 
 
 def group_summary(images: DataFrame, boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,13 +84,13 @@ def _collect(df: DataFrame) -> list:
 
 
 def greedy_assignment(spark: SparkSession, images: DataFrame, boxes: DataFrame) -> DataFrame:
-    """``(source, group_id, images, destination)`` for each group whose images lie in several splits.
+    """``(source, group_id, images, destination)`` for each group whose images come from several splits (``original_split``).
 
-    Sequential by nature: largest group first, each to the split where squared deviations from the present image counts, and
+    Sequential by nature: largest group first, each to the split where squared deviations from the original image counts, and
     with weight 0.15 from the box counts by class, stay least; ties by a digest of group and split. Runs on the driver over the
     per-group summary of the groups with a group id only, whose size is checked.
     """
-    n, b = (_collect(x) for x in group_summary(images, boxes))
+    n, b = (_collect(x) for x in group_summary(images.withColumn("split", F.col("original_split")), boxes))
     out = []
     for source in sorted({r["source"] for r in n}):
         count, held = defaultdict(lambda: defaultdict(int)), defaultdict(lambda: defaultdict(int))
@@ -99,14 +130,14 @@ def greedy_assignment(spark: SparkSession, images: DataFrame, boxes: DataFrame)
     return spark.createDataFrame(out, "source string, group_id string, images bigint, destination string")
 
 
-def descend(groups: list[dict], total_images: dict[str, int], total_boxes: dict[tuple[str, str], int], restarts: int = 80, seed: int = 20260922) -> tuple[dict[str, str], float]:
+def descend(groups: list[dict], total_images: dict[str, int], total_boxes: dict[tuple[str, str], int], restarts: int = 80, rng: random.Random | None = None) -> tuple[dict[str, str], float]:
     """Destinations of the groups of one source that change its image and box counts least.
 
     Each group: ``id``, ``images`` by split, ``boxes`` by (split, class). It may only go where most of its images are. Objective: twice the
     summed image changes over all images, plus the mean over classes of the summed box changes over the class's boxes. Coordinate descent
     from the first choices, then from random ones; changes are kept as sums, so trying a move costs the size of the group.
     """
-    rng = random.Random(seed)
+    rng = rng or random.Random(SEED)
     n_images = max(1, sum(total_images.values()))
     per_class: dict[str, int] = defaultdict(int)
     for (_, c), n in total_boxes.items():
@@ -117,6 +148,12 @@ def descend(groups: list[dict], total_images: dict[str, int], total_boxes: dict[
         top = max(g["images"].values())
         choices[g["id"]] = [s for s in SPLITS if g["images"].get(s, 0) == top]
 
+    changed: dict[str, int] = defaultdict(int)  # the summed box changes of each class, of the counts that ``shift`` works on
+
+    def add(db, key, n):
+        changed[key[1]] += abs(db[key] + n) - abs(db[key])
+        db[key] += n
+
     def shift(di, db, g, to, sign):
         for s, n in g["images"].items():
             if s != to:
@@ -124,17 +161,18 @@ def descend(groups: list[dict], total_images: dict[str, int], total_boxes: dict[
                 di[to] += sign * n
         for (s, c), n in g["boxes"].items():
             if s != to:
-                db[s, c] -= sign * n
-                db[to, c] += sign * n
+                add(db, (s, c), -sign * n)
+                add(db, (to, c), sign * n)
 
-    def score(di, db):
-        boxes = sum(sum(abs(db[s, c]) for s in SPLITS) / per_class[c] for c in live)
+    def score(di):
+        boxes = sum(changed[c] / per_class[c] for c in live)
         return 2 * sum(map(abs, di.values())) / n_images + boxes / max(1, len(live))
 
     best: tuple[float, dict] = (float("inf"), {})
     for restart in range(restarts):
         now = {g["id"]: choices[g["id"]][0] if restart == 0 else rng.choice(choices[g["id"]]) for g in groups}
         di, db = defaultdict(int), defaultdict(int)
+        changed.clear()
         for g in groups:
             shift(di, db, g, now[g["id"]], 1)
         moved = True
@@ -142,13 +180,13 @@ def descend(groups: list[dict], total_images: dict[str, int], total_boxes: dict[
             moved = False
             for g in groups:
                 old = now[g["id"]]
-                value, to = score(di, db), old
+                value, to = score(di), old
                 for s in choices[g["id"]]:
                     if s == old:
                         continue
                     shift(di, db, g, old, -1)
                     shift(di, db, g, s, 1)
-                    if (v := score(di, db)) < value - 1e-12:
+                    if (v := score(di)) < value - 1e-12:
                         value, to = v, s
                     shift(di, db, g, s, -1)
                     shift(di, db, g, old, 1)
@@ -156,7 +194,7 @@ def descend(groups: list[dict], total_images: dict[str, int], total_boxes: dict[
                     shift(di, db, g, old, -1)
                     shift(di, db, g, to, 1)
                     now[g["id"]], moved = to, True
-        if (v := score(di, db)) < best[0] - 1e-12:
+        if (v := score(di)) < best[0] - 1e-12:
             best = (v, dict(now))
     return best[1], 0.0 if best[0] == float("inf") else best[0]
 
@@ -168,7 +206,7 @@ def rebalance(spark: SparkSession, images: DataFrame, boxes: DataFrame, restarts
     rows, held = _collect(n.join(several, ["source", "group_id"])), _collect(b.join(several, ["source", "group_id"]))
     images_of = {(r[0], r[1]): r[2] for r in images.where("split IS NOT NULL").groupBy("source", "split").count().collect()}
     boxes_of = {(r[0], r[1], r[2]): r[3] for r in boxes.join(images.select("image_id", "source", "split"), "image_id").where("split IS NOT NULL").groupBy("source", "split", "class").count().collect()}
-    out = []
+    out, rng = [], random.Random(SEED)  # one generator for all sources, in their order
     for source in sorted({r["source"] for r in rows}):
         groups: dict[str, dict] = {}
         for r in rows:
@@ -177,17 +215,25 @@ def rebalance(spark: SparkSession, images: DataFrame, boxes: DataFrame, restarts
         for r in held:
             if r["source"] == source:
                 groups[r["group_id"]]["boxes"][r["split"], r["class"]] = r["boxes"]
-        found, _ = descend([groups[g] for g in sorted(groups)], {s: n for (o, s), n in images_of.items() if o == source}, {(s, c): n for (o, s, c), n in boxes_of.items() if o == source}, restarts)
+        found, _ = descend([groups[g] for g in sorted(groups)], {s: n for (o, s), n in images_of.items() if o == source}, {(s, c): n for (o, s, c), n in boxes_of.items() if o == source}, restarts, rng)
         out += [(source, g, s) for g, s in found.items()]
     return spark.createDataFrame(out, "source string, group_id string, destination string")
 
 
 def move_plan(images: DataFrame, destinations: DataFrame) -> DataFrame:
-    """One row per image that isn't where its group goes, with its old and new path."""
+    """One row per image that isn't where its group goes, with its old and new path and its content digest."""
     from sparkyard.functions.names import moved_path
 
     x = images.join(destinations, ["source", "group_id"]).where("split <> destination")
-    return x.select("image_id", "source", "group_id", F.col("split").alias("from_split"), F.col("destination").alias("to_split"), F.col("output_image").alias("old_image"), moved_path(F.col("output_image"), F.col("destination")).alias("new_image"))
+    return x.select("image_id", "source", "group_id", F.col("split").alias("from_split"), F.col("destination").alias("to_split"), F.col("output_image").alias("old_image"), moved_path(F.col("output_image"), F.col("destination")).alias("new_image"), *(["sha1"] if "sha1" in images.columns else []))
+
+
+def unresolved_members(groups: DataFrame, images: DataFrame) -> DataFrame:
+    """``(source, member, problem)`` of group members that the images don't have (``missing``) or have in another source (``other_source``); a plan is made of none."""
+    have = images.groupBy(F.col("image").alias("member")).agg(F.collect_set("source").alias("sources"))  # the sources of one image
+    x = groups.select("source", "member").distinct().join(have, "member", "left")
+    problem = F.when(F.col("sources").isNull(), "missing").when(~F.array_contains("sources", F.col("source")), "other_source")
+    return x.select("source", "member", problem.alias("problem")).where("problem IS NOT NULL")
 
 
 def apply_moves(images: DataFrame, plan: DataFrame) -> DataFrame:

@@ -9,11 +9,11 @@ from sparkyard.functions import sql
 from sparkyard.functions import vectors as vx
 from sparkyard.functions.text import file_name, split_name
 from sparkyard.operators import graph, pairs
+from sparkyard.operators.ranking import row_numbers
+from sparkyard.session import Scratch
 from sparkyard.sources.adapters import IMAGES_SQL, images
 from sparkyard.sources.tables import table
 
-CANDIDATE_RADII = (22, 20)  # random 64-bit strings lie about 32 apart: radii that leave some pairs of each source
-
 
 def _items(s, d):
     f = table(s, d, "fingerprints").groupBy("image_id").agg(F.max(F.struct("computed_at", "phash", "dhash")).alias("f"))
@@ -51,8 +51,9 @@ def _edges(s, d):
 
 
 def _members(s, d):
-    e = _edges(s, d)
-    comp = graph.components(s, e.select("a", "b"))
+    scratch = Scratch(s, "pairs")
+    e = scratch.save(_edges(s, d), "edges")  # read by the rounds, for the nodes and for the report
+    comp = scratch.save(graph.components(s, e.select("a", "b")), "components")
     node = e.select(F.explode(F.array(F.struct("source", F.col("a").alias("node"), F.col("split_a").alias("split")), F.struct("source", F.col("b").alias("node"), F.col("split_b").alias("split")))).alias("n")).select("n.*")
     node = node.groupBy("node").agg(F.min("source").alias("source"), F.min("split").alias("split"))
     return node.join(comp, "node").withColumn("frame", nm.frame_number(F.col("node"))), e.join(comp.withColumnRenamed("node", "a"), "a")
@@ -70,10 +71,9 @@ def _vectors(s, d):
 def _vector_pairs(s, d):
     """Pairs of neighbours in each label's own order, with all vector metrics; the distance of sign bits is taken from packed bits."""
     x = _vectors(s, d).withColumn("bits", vx.pack_bits(vx.sign_bits(F.col("v")))).withColumn("rise", vx.pack_bits(vx.rise_bits(F.col("v"))))
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("label").orderBy("vec_id")
-    y = x.withColumn("nxt", F.lead(F.struct("vec_id", "v", "bits", "rise")).over(w)).where("nxt IS NOT NULL")
+    x = Scratch(s, "vectors").save(row_numbers(x, ["label"], [F.asc("vec_id")], "n"), "numbered")
+    nxt = x.select("label", (F.col("n") - 1).alias("n"), F.struct("vec_id", "v", "bits", "rise").alias("nxt"))
+    y = x.join(nxt, ["label", "n"])
     a, b = F.col("v"), F.col("nxt.v")
     r = lambda c: F.round(c, 4) + F.lit(0.0)  # no negative zero
     return y.select("label", F.col("vec_id").alias("a"), F.col("nxt.vec_id").alias("b"), vx.hamming(F.col("bits"), F.col("nxt.bits")).alias("sign_distance"), vx.hamming(F.col("rise"), F.col("nxt.rise")).alias("rise_distance"), r(vx.cosine(a, b)).alias("cosine"), r(vx.ncc(a, b)).alias("ncc"), r(vx.mae(a, b)).alias("mae"))
@@ -82,7 +82,7 @@ def _vector_pairs(s, d):
 def queries() -> dict:
     scored = ["pair_id", "source", "a", "b", "suspicion_score", "metric_verdict", "review_rank"]
     return {
-        "near_dup_candidates": lambda s, d: pairs.cross_split_candidates(_items(s, d), *CANDIDATE_RADII),
+        "near_dup_candidates": lambda s, d: pairs.cross_split_candidates(_items(s, d)),
         "near_dup_scored": lambda s, d: pairs.ranked(_scored(s, d)).select(*scored),
         "near_dup_reviewed": lambda s, d: _reviewed(s, d).select("pair_id", "source", "review_rank", "reviewed_visually", "metric_verdict", "final_verdict"),
         "pair_summary": lambda s, d: pairs.verdict_summary(_reviewed(s, d), "final_verdict"),
@@ -114,7 +114,7 @@ members AS (SELECT * FROM nodes JOIN comp USING (node))
 
 
 def oracle_sql() -> dict:
-    p, q = CANDIDATE_RADII
+    p, q = pairs.P_RADIUS, pairs.D_RADIUS
     order = "CASE {} WHEN 'train' THEN 0 WHEN 'val' THEN 1 WHEN 'test' THEN 2 END"
     f = "list_transform(embedding, lambda x: x::DOUBLE)"
     centre = "list_transform({0}, lambda x: x - list_avg({0}))"

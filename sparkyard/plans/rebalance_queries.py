@@ -65,6 +65,8 @@ def queries() -> dict:
         "historical_closure": lambda s, d: _closure(s, d),
         "historical_leakage": _closure_report,
         "closure_ids": lambda s, d: rebalance.closure_id(s, _closure(s, d)),
+        "closure_merged_ids": lambda s, d: rebalance.closure_id(s, _closure(s, d), _last(s, d).select(F.col("image").alias("member"), F.col("group_id").alias("new_id"))),
+        "unresolved_members": lambda s, d: rebalance.unresolved_members(_moves(s, d).select("source", F.col("image").alias("member")), images(s, d)),
         "group_split_assign": lambda s, d: rebalance.greedy_assignment(s, images(s, d), _boxes(s, d)),
         "rebalance_plan": lambda s, d: rebalance.move_plan(images(s, d), rebalance.rebalance(s, images(s, d), _boxes(s, d))),
         "least_moves": lambda s, d: rebalance.least_moves(images(s, d)),
@@ -85,7 +87,8 @@ mem AS (SELECT snapshot_date::VARCHAR AS snapshot, source, group_id, image AS me
 grp AS (SELECT *, min(member) OVER (PARTITION BY snapshot, source, group_id) AS head FROM mem WHERE group_id IS NOT NULL AND member IS NOT NULL),
 e AS (SELECT head AS s, member AS t FROM grp UNION SELECT member, head FROM grp),
 r(s, t) AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON r.t = e.s),
-closure AS (SELECT s AS member, min(t) AS component FROM r GROUP BY 1)
+closure AS (SELECT s AS member, min(t) AS component FROM r GROUP BY 1),
+digests AS (SELECT component, count(*) AS n, left(sha256(string_agg(member, '|' ORDER BY member)), 12) AS digest FROM closure GROUP BY 1)
 """
 
 
@@ -101,6 +104,9 @@ def oracle_sql() -> dict:
     return {
         "group_audit": SQL + f"SELECT source, group_id, count(*) AS image_count, {agg('original_split')}, {agg('split')} FROM images WHERE group_id IS NOT NULL GROUP BY ALL",
         "historical_closure": SQL + "SELECT * FROM closure",
+        "closure_ids": SQL + "SELECT component, n, 'historical_closure_' || digest AS closure_id FROM digests",
+        "closure_merged_ids": SQL + "SELECT component, n, coalesce(new, 'historical_closure_' || digest) AS closure_id FROM digests LEFT JOIN (SELECT component, string_agg(DISTINCT last.group_id, '+' ORDER BY last.group_id) AS new FROM last JOIN closure ON last.image = closure.member WHERE last.group_id IS NOT NULL GROUP BY 1) USING (component)",
+        "unresolved_members": SQL + "SELECT m.source, m.image AS member, CASE WHEN h.image IS NULL THEN 'missing' ELSE 'other_source' END AS problem FROM (SELECT DISTINCT source, image FROM moves) m LEFT JOIN (SELECT image, list(DISTINCT source) AS sources FROM images WHERE image IS NOT NULL GROUP BY 1) h ON h.image = m.image WHERE h.image IS NULL OR NOT list_contains(sources, m.source)",
         "historical_leakage": SQL + "SELECT component, count(*) AS images, string_agg(DISTINCT split, ';' ORDER BY split) AS splits FROM closure JOIN images ON member = image GROUP BY 1 HAVING count(DISTINCT split) > 1",
         "least_moves": SQL + "SELECT source, sum(m)::BIGINT AS least_moves FROM (SELECT source, group_id, sum(n) - max(n) AS m FROM (SELECT source, group_id, split, count(*) AS n FROM images WHERE group_id IS NOT NULL AND split IS NOT NULL GROUP BY ALL) GROUP BY ALL) GROUP BY 1",
         "apply_moves": SQL + "SELECT image_id, split, output_image FROM after",

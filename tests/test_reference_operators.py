@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import itertools
 import random
 import struct
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkyard.functions import names, taxonomy, vectors
-from sparkyard.operators import catalog, dedup, detections, evaluate, graph, infer, labels, pairs, rebalance, validate
+from sparkyard.operators import catalog, dedup, detections, evaluate, graph, infer, labels, pairs, ranking, rebalance, validate
 from sparkyard.plans import detection_queries
 from sparkyard.sources import files, sinks
 from sparkyard.streaming import series
@@ -87,10 +88,33 @@ def test_cross_split_candidates(spark):
     order = {"train": 0, "val": 1, "test": 2}
     ham = lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count()
     want = {(x[0], y[0]) for x in rows for y in rows if x[1] == y[1] and x[2] and y[2] and x[3] is not None and y[3] is not None and order[x[2]] < order[y[2]] and (ham(x[3], y[3]) <= 26 or ham(x[4], y[4]) <= 24)}
-    got = pairs.cross_split_candidates(spark.createDataFrame(rows, "id long, source string, split string, phash long, dhash long"), 26, 24, 3)
+    got = pairs.cross_split_candidates(spark.createDataFrame(rows, "id long, source string, split string, phash long, dhash long"), 26, 24, block_rows=7)
     assert {(r["a"], r["b"]) for r in got.collect()} == want and got.count() == len(want)
 
 
+def test_row_numbers(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([1, 2, 3, None]), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, v int, i int")
+    got = ranking.row_numbers(df, ["k"], [F.desc_nulls_last("v"), F.asc("i")], "n", parts=7).collect()
+    want = {}
+    for k in {r[0] for r in rows}:
+        for n, r in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is None, -(r[1] or 0), r[2])), 1):
+            want[r[2]] = n
+    assert {r["i"]: r["n"] for r in got} == want and len(got) == 300
+    assert ranking.row_numbers(df.limit(0), ["k"], [F.asc("i")], "n").count() == 0
+
+
+def test_closure_ids(spark):
+    rows = [("a", "a"), ("b", "a"), ("b", "a"), ("c", "c"), ("d", "d"), (None, "d"), ("e", "d")]
+    m = spark.createDataFrame(rows, "member string, component string")
+    digest = lambda x: "historical_closure_" + hashlib.sha256(x.encode()).hexdigest()[:12]
+    assert {tuple(r) for r in rebalance.closure_id(spark, m).collect()} == {("a", 2, digest("a|b")), ("c", 1, digest("c")), ("d", 2, digest("d|e"))}
+    new = spark.createDataFrame([("e", "n2"), ("d", "n1"), ("e", "n1"), ("a", None), ("zz", "n9")], "member string, new_id string")
+    assert {r["component"]: r["closure_id"] for r in rebalance.closure_id(spark, m, new).collect()} == {"a": digest("a|b"), "c": digest("c"), "d": "n1+n2"}
+    assert rebalance.closure_id(spark, m.limit(0)).count() == 0
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(4)
     edges = [(f"n{rng.randint(0, 120):03d}", f"n{rng.randint(0, 120):03d}") for _ in range(90)] + [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(70)] + [("hub", f"h{i}") for i in range(50)] + [(None, "x")]
