@@ -111,17 +111,23 @@ def requirement_results(frames: DataFrame, requirements: DataFrame) -> DataFrame
     return frames.join(F.broadcast(requirements), "profile_id").select("frame_key", "ord", F.posexplode(out).alias("pos", "e")).select("frame_key", "ord", "pos", "e.*")
 
 
+def weights(c, active: Column) -> tuple[Column, Column]:
+    """What a requirement row asks for and how much of it can be seen; ``c`` gives the row's columns by name, ``active`` says whether its condition holds."""
+    seen, unseen = F.size(c("detectable")) > 0, F.size(c("undetectable")) > 0
+    half = F.when(~unseen, 1.0).when(seen, 0.5).otherwise(0.0)
+    n_det = F.when(c("mode") == "all", F.size(c("detectable"))).otherwise(seen.cast("int")).cast("double")
+    swap = F.coalesce(c("relation") == "alternative", F.lit(False)) & unseen
+    total = F.when(c("kind") != "conditional", 1.0).when(~active, 0.0).when(swap, 1.0).otherwise(n_det + F.size(c("undetectable")))
+    part = F.when(c("kind") == "required", 1.0).when(c("kind") == "alternative", half).when(c("kind") == "undetectable", 0.0).when(~active, 0.0).when(swap, half).otherwise(n_det)
+    return total, part
+
+
 def observability(requirements: DataFrame, active: Column) -> DataFrame:
     """``(profile_id, observability)``: the share of what a profile asks for that can be seen at all, to 3 decimals; 0 if it asks for nothing.
 
     ``active`` says of each row whether its condition holds.
     """
-    seen, unseen = F.size("detectable") > 0, F.size("undetectable") > 0
-    half = F.when(~unseen, 1.0).when(seen, 0.5).otherwise(0.0)
-    n_det = F.when(F.col("mode") == "all", F.size("detectable")).otherwise(seen.cast("int")).cast("double")
-    swap = F.coalesce(F.col("relation") == "alternative", F.lit(False)) & unseen
-    total = F.when(F.col("kind") != "conditional", 1.0).when(~active, 0.0).when(swap, 1.0).otherwise(n_det + F.size("undetectable"))
-    part = F.when(F.col("kind") == "required", 1.0).when(F.col("kind") == "alternative", half).when(F.col("kind") == "undetectable", 0.0).when(~active, 0.0).when(swap, half).otherwise(n_det)
+    total, part = weights(F.col, active)
     s = requirements.groupBy("profile_id").agg(F.sum(total).alias("t"), F.sum(part).alias("p"))
     return s.select("profile_id", F.when(F.col("t") > 0, F.bround(F.col("p") / F.col("t"), 3)).otherwise(0.0).alias("observability"))
 

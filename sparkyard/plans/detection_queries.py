@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from sparkyard.functions import sql
 from sparkyard.functions.taxonomy import CLASSES
 from sparkyard.functions.text import strip_or_null
+from sparkyard.operators import catalog, shred, status
 from sparkyard.operators import detections as dt
-from sparkyard.operators import shred
 from sparkyard.plans import data_queries
+from sparkyard.session import Scratch
 from sparkyard.sources.tables import table
 
 # Requirement tables of some kinds of work.
@@ -23,6 +24,8 @@ PROFILES = [
     *dt.requirement_rows(24, ["dump_truck", "roller"], [(["motor_grader", "bulldozer"], [])], conditionals=[("для бетонного основания", ["concrete_mixer"], "all", [], "additional")]),
     *dt.requirement_rows(30, ["truck"], [(["excavator"], ["ямокопатель"]), (["mobile_crane", "crane_manipulator"], [])]),
 ]
+#: Display names of some classes; the others show their id.
+DISPLAY = {"truck": "грузовик", "excavator": "экскаватор", "roller": "каток"}
 IDS = [2, 3, 12, 15, 17, 22, 24, 30]
 
 
@@ -35,10 +38,13 @@ def _levels(s, d, *tables):
 
 
 def observed(s, d):
-    """Observations with their profile (by record, as no work catalogue is at hand) and instant."""
+    """Observations with the profile of their work, by a catalogue of the works that occur, and instant; a null or blank work has no profile."""
     x = shred.observations(_levels(s, d, "observations")).where("kind = 'object'").withColumn("zone", strip_or_null(F.col("zone_id")))
-    profile = F.element_at(F.array(*map(F.lit, IDS)), (F.col("record_id") % len(IDS) + 1).cast("int"))
-    return x.select("record_id", "obs_no", profile.alias("profile_id"), F.col("zone").alias("target_zone"), "planned_work", F.try_to_timestamp("observed_at").alias("ts"), (F.col("record_id") % 2 == 0).alias("all_active"))
+    x = Scratch(s, "observed").save(x.select("record_id", "obs_no", F.col("zone").alias("target_zone"), "planned_work", F.try_to_timestamp("observed_at").alias("ts"), (F.col("record_id") % 2 == 0).alias("all_active")))
+    name = catalog.normalize_name(F.col("planned_work"))
+    works = x.where(name != "").select(name.alias("work")).distinct()
+    works = works.select("work", F.lit(1).alias("ordinal"), F.element_at(F.array(*map(F.lit, IDS)), F.length("work") % len(IDS) + 1).alias("profile_id"))
+    return catalog.look_up(x, "planned_work", works).drop("how")
 
 
 def routed(s, d):
@@ -80,8 +86,49 @@ def _persistence(s, d):
     return dt.persistence(r, f.groupBy("record_id").agg(F.count(F.lit(1)).alias("n")), ["record_id"])
 
 
+def _frames_and_results(s, d):
+    f = Scratch(s, "frames").save(frames(s, d))
+    return f, Scratch(s, "results").save(dt.requirement_results(f, requirements(s)))
+
+
+def _instants(s, d, f=None, r=None):
+    if f is None:
+        f, r = _frames_and_results(s, d)
+    return status.instant_status(f, requirements(s), r)
+
+
+def _evidence(s, d):
+    f, r = _frames_and_results(s, d)
+    rows = routed(s, d).select(F.struct("record_id", "obs_no").alias("frame_key"), "bucket", "class")
+    return status.evidence(f, requirements(s), r, rows).select("frame_key.*", "code", "severity", "requirement_id", "n", F.array_join("classes", ";").alias("classes"))
+
+
+def _series(s, d, more):
+    """The frames of the window of each series, with their results and what persists."""
+    f, r = _frames_and_results(s, d)
+    kept = Scratch(s, "window").save(_window(s, d))
+    f = f.join(kept, ["record_id", "obs_no"])
+    r = r.select("frame_key.*", "id", "bucket", "ord", "pos", "found").join(f.select("record_id", "obs_no", "ts"), ["record_id", "obs_no"])
+    p = Scratch(s, "persistence").save(dt.persistence(r, f.groupBy("record_id").agg(F.count(F.lit(1)).alias("n")), ["record_id"]))
+    if more == "frames":
+        return status.unresolved_frames(r.where("record_id IS NOT NULL"), p, ["record_id"], "obs_no").select("record_id", "id", "state", *(F.array_join(c, ";").alias(c) for c in ("missing_in", "unresolved_in")))
+    i = status.instant_status(f, requirements(s), r.select(F.struct("record_id", "obs_no").alias("frame_key"), "bucket")).select("frame_key.*", "status").join(f.select("record_id", "obs_no", "ts"), ["record_id", "obs_no"])
+    return status.series_status(i, p, ["record_id"]).withColumns({c: F.array_join(c, ";") for c in ("persistent_missing", "persistent_uncertain")})
+
+
+def _conditions(s, d):
+    x = shred.observations(_levels(s, d, "observations")).where("kind = 'object'")
+    return x.select("record_id", "obs_no", F.array_join(status.condition_names(F.col("active_conditions")), ";").alias("conditions"))
+
+
 def queries() -> dict:
     return {
+        "instant_status": lambda s, d: _instants(s, d).select("frame_key.*", "profile_id", "status", "observability", "level", "score", "coverage"),
+        "evidence_rows": _evidence,
+        "temporal_status": lambda s, d: _series(s, d, "status"),
+        "persistent_frames": lambda s, d: _series(s, d, "frames"),
+        "expected_classes": lambda s, d: status.expected_classes(requirements(s)).withColumn("expected", status.enumeration(F.transform("expected", lambda x: status.display(x, DISPLAY)))),
+        "active_conditions": _conditions,
         "detection_buckets": lambda s, d: routed(s, d).groupBy("bucket", "invalid_reason", "zone_verified").agg(F.count(F.lit(1)).alias("n")),
         "detection_rows": lambda s, d: routed(s, d).select("record_id", "obs_no", "item_no", "class", "bucket", "invalid_reason"),
         "requirement_results": _requirement_rows,
@@ -116,11 +163,12 @@ def _lit(v) -> str:
     return "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
 
 
+_NORM = "trim(regexp_replace(lower(o.work), '[\\s\\p{Z}]+', ' ', 'g'))"
 _HELD = "CASE WHEN target IS NOT NULL AND len({0}) > 0 AND NOT list_has_any({0}, ver) THEN 'uncertain' ELSE 'satisfied' END"
 _WHOLE = "len(und) > 0 AND coalesce(relation = 'alternative', false) AND len(found) < len(det)"
 RESULTS = f"""{SQL}, rq(profile_id, ord, kind, name, det, und, condition, mode, relation) AS (VALUES {", ".join("(" + ", ".join(map(_lit, r)) + ")" for r in PROFILES)}),
 acc AS (SELECT record_id, obs_no, list(DISTINCT class) AS acc, coalesce(list(DISTINCT class) FILTER (zone_verified), []) AS ver FROM routed WHERE bucket = 'accepted' GROUP BY ALL),
-fr AS (SELECT o.record_id, o.obs_no, zone AS target, ts, {IDS}[(o.record_id % {len(IDS)} + 1)::INT] AS profile_id, o.record_id % 2 = 0 AS active, coalesce(acc, []::VARCHAR[]) AS acc, coalesce(ver, []::VARCHAR[]) AS ver FROM observed o LEFT JOIN acc a ON a.record_id = o.record_id AND a.obs_no = o.obs_no),
+fr AS (SELECT o.record_id, o.obs_no, zone AS target, ts, CASE WHEN {_NORM} <> '' THEN {IDS}[(length({_NORM}) % {len(IDS)} + 1)::INT] END AS profile_id, o.record_id % 2 = 0 AS active, coalesce(acc, []::VARCHAR[]) AS acc, coalesce(ver, []::VARCHAR[]) AS ver FROM observed o LEFT JOIN acc a ON a.record_id = o.record_id AND a.obs_no = o.obs_no),
 x AS (SELECT *, list_filter(det, lambda d: list_contains(acc, d)) AS found, kind = 'conditional' AS cond FROM fr JOIN rq USING (profile_id)),
 res AS (
   SELECT record_id, obs_no, ts, CASE WHEN cond AND NOT active THEN replace(name, 'conditional', 'conditional_support') ELSE name END AS id, CASE WHEN len(found) > 0 AND ({_WHOLE}) IS NOT TRUE OR NOT cond THEN found ELSE [] END AS found,
@@ -133,13 +181,39 @@ res AS (
   UNION ALL SELECT record_id, obs_no, ts, replace(name, 'conditional', 'conditional_undetectable') || ':' || (j - 1), [], 'uncertain' FROM x, LATERAL (SELECT unnest(range(1, len(und) + 1)) AS j) WHERE cond AND active AND relation = 'additional'),
 results AS (SELECT * FROM res WHERE bucket IS NOT NULL),
 win AS (SELECT record_id, obs_no FROM (SELECT record_id, obs_no, epoch_us(max(ts) OVER (PARTITION BY record_id)) - epoch_us(ts) AS age, try_cast(j->>'$.request.temporal_config.window_seconds' AS DOUBLE) AS secs FROM observed JOIN j USING (record_id) WHERE ts IS NOT NULL AND j->>'$.mode' = 'temporal') WHERE secs IS NULL OR age <= secs * 1e6),
-n AS (SELECT record_id, count(*) AS n FROM win GROUP BY 1)
+n AS (SELECT record_id, count(*) AS n FROM win GROUP BY 1),
+cnt AS (SELECT f.record_id, f.obs_no, any_value(f.profile_id) AS profile_id, any_value(f.ts) AS ts, count(*) FILTER (bucket = 'satisfied') AS s, count(*) FILTER (bucket = 'missing') AS m, count(*) FILTER (bucket = 'uncertain') AS u FROM fr f LEFT JOIN results r ON r.record_id = f.record_id AND r.obs_no = f.obs_no GROUP BY ALL),
+wt AS (SELECT *, coalesce(relation = 'alternative', false) AND len(und) > 0 AS swap, CASE WHEN mode = 'all' THEN len(det) ELSE (len(det) > 0)::INT END AS nd, CASE WHEN len(und) = 0 THEN 1.0 WHEN len(det) > 0 THEN 0.5 ELSE 0.0 END AS half FROM rq),
+obsv AS (SELECT profile_id, a, CASE WHEN t > 0 THEN round_even(p / t, 3) ELSE 0.0 END AS observability FROM (SELECT profile_id, a, sum(CASE WHEN kind <> 'conditional' THEN 1 WHEN NOT a THEN 0 WHEN swap THEN 1 ELSE nd + len(und) END)::DOUBLE AS t,
+  sum(CASE WHEN kind = 'required' THEN 1 WHEN kind = 'alternative' THEN half WHEN kind = 'undetectable' OR NOT a THEN 0 WHEN swap THEN half ELSE nd END)::DOUBLE AS p FROM wt, (SELECT unnest([true, false]) AS a) GROUP BY ALL)),
+st AS (SELECT c.record_id, c.obs_no, c.profile_id, ts, s, m, u, coalesce(observability, 0.0) AS observability, CASE WHEN c.profile_id IS NULL THEN 'UNKNOWN_WORK' WHEN m > 0 THEN 'WARNING' WHEN u > 0 THEN CASE WHEN observability > 0 THEN 'UNCERTAIN' ELSE 'NOT_MONITORABLE' END WHEN s > 0 THEN 'OK' ELSE 'NOT_MONITORABLE' END AS status
+  FROM cnt c LEFT JOIN obsv o ON o.profile_id = c.profile_id AND o.a = (c.record_id % 2 = 0)),
+pers AS (SELECT record_id, id, n, m, u, CASE WHEN n < {dt.MIN_OBSERVATIONS} THEN 'insufficient_data' WHEN m / n >= {dt.PERSISTENCE} THEN 'persistent_missing' WHEN u > 0 AND (m + u) / n >= {dt.PERSISTENCE} THEN 'persistent_uncertain' ELSE 'transient' END AS state
+  FROM (SELECT r.record_id, id, count(*) FILTER (bucket = 'missing') AS m, count(*) FILTER (bucket = 'uncertain') AS u FROM results r JOIN win w ON w.record_id = r.record_id AND w.obs_no = r.obs_no GROUP BY ALL) JOIN n USING (record_id) WHERE m + u > 0),
+ins AS (SELECT st.record_id, count(*) AS n, arg_max(status, ts) AS instant_status, count(*) FILTER (status = 'WARNING') AS warnings FROM st JOIN win w ON w.record_id = st.record_id AND w.obs_no = st.obs_no GROUP BY 1),
+lists AS (SELECT record_id, coalesce(string_agg(id, ';' ORDER BY id) FILTER (state = 'persistent_missing'), '') AS pm, coalesce(string_agg(id, ';' ORDER BY id) FILTER (state = 'persistent_uncertain'), '') AS pu FROM pers GROUP BY 1),
+ser AS (SELECT record_id, n, instant_status, instant_status IN ('UNKNOWN_WORK', 'NOT_MONITORABLE') AS final, n < {dt.MIN_OBSERVATIONS} AND NOT final AS few, warnings, CASE WHEN final OR few THEN '' ELSE coalesce(pm, '') END AS persistent_missing, CASE WHEN final OR few THEN '' ELSE coalesce(pu, '') END AS persistent_uncertain FROM ins LEFT JOIN lists USING (record_id)),
+ser2 AS (SELECT *, CASE WHEN final THEN instant_status WHEN few THEN 'INSUFFICIENT_DATA' WHEN persistent_missing <> '' THEN 'WARNING' WHEN persistent_uncertain <> '' THEN 'UNCERTAIN' ELSE 'OK' END AS persistent_status FROM ser),
+expc AS (SELECT profile_id, list_sort(list_distinct(flatten(list(det)))) AS expected FROM rq GROUP BY 1),
+ev AS (SELECT record_id, obs_no, CASE bucket WHEN 'missing' THEN 0 ELSE 1 END AS k, id AS requirement_id, NULL::BIGINT AS n, NULL::VARCHAR AS classes FROM results WHERE bucket IN ('missing', 'uncertain')
+  UNION ALL SELECT f.record_id, f.obs_no, 2, NULL, count(*), NULL FROM fr f JOIN routed r ON r.record_id = f.record_id AND r.obs_no = f.obs_no WHERE f.profile_id IS NOT NULL AND bucket = 'low_confidence' GROUP BY ALL
+  UNION ALL SELECT f.record_id, f.obs_no, 3, NULL, NULL, string_agg(DISTINCT class, ';' ORDER BY class) FROM fr f JOIN routed r ON r.record_id = f.record_id AND r.obs_no = f.obs_no WHERE f.profile_id IS NOT NULL AND bucket = 'unknown_class' GROUP BY f.record_id, f.obs_no
+  UNION ALL SELECT f.record_id, f.obs_no, 4, NULL, count(*), NULL FROM fr f JOIN routed r ON r.record_id = f.record_id AND r.obs_no = f.obs_no WHERE f.profile_id IS NOT NULL AND bucket = 'zone_mismatch' GROUP BY ALL
+  UNION ALL SELECT record_id, obs_no, 5, NULL, NULL, array_to_string(list_sort(list_filter(acc, lambda a: NOT list_contains(expected, a))), ';') FROM fr JOIN expc USING (profile_id) WHERE len(list_filter(acc, lambda a: NOT list_contains(expected, a))) > 0)
 """
 
 
 def oracle_sql() -> dict:
     mixed = "count(DISTINCT {0}) + max(({0} IS NULL)::INT) > 1"
+    at = lambda i: "[" + ", ".join(f"'{e[i]}'" for e in status.EVIDENCE) + "][k + 1]"
+    show = "CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DISPLAY.items()) + " ELSE x END"
     return {
+        "instant_status": RESULTS + "SELECT record_id, obs_no, profile_id, status, observability, CASE WHEN observability <= 0 THEN 'NONE' WHEN observability < 0.4 THEN 'LOW' WHEN observability < 0.75 THEN 'MEDIUM' ELSE 'HIGH' END AS level, CASE WHEN s + m > 0 THEN round_even(s / (s + m), 3) END AS score, CASE WHEN s + m + u > 0 THEN round_even((s + m) / (s + m + u), 3) ELSE 0.0 END AS coverage FROM st",
+        "evidence_rows": RESULTS + f"SELECT record_id, obs_no, {at(0)} AS code, {at(1)} AS severity, requirement_id, n, classes FROM ev",
+        "temporal_status": RESULTS + "SELECT record_id, n, instant_status, persistent_status, CASE WHEN few THEN instant_status ELSE persistent_status END AS status, persistent_missing, persistent_uncertain, CASE WHEN persistent_status = 'OK' THEN warnings ELSE 0 END AS transient_warnings FROM ser2",
+        "persistent_frames": RESULTS + "SELECT p.record_id, p.id, p.state, array_to_string(list_sort(coalesce(list(DISTINCT r.obs_no) FILTER (bucket = 'missing'), [])), ';') AS missing_in, array_to_string(list_sort(list(DISTINCT r.obs_no)), ';') AS unresolved_in FROM pers p JOIN results r ON r.record_id = p.record_id AND r.id = p.id JOIN win w ON w.record_id = r.record_id AND w.obs_no = r.obs_no WHERE p.state LIKE 'persistent%' AND bucket IN ('missing', 'uncertain') GROUP BY ALL",
+        "expected_classes": RESULTS + f"SELECT profile_id, CASE WHEN len(e) < 2 THEN array_to_string(e, '') ELSE array_to_string(e[:-2], ', ') || ' и ' || e[-1] END AS expected FROM (SELECT profile_id, list_transform(expected, lambda x: {show}) AS e FROM expc)",
+        "active_conditions": SQL + ", c AS (SELECT record_id, obs_no::INT AS obs_no, json_extract(o, '$.context.active_conditions') AS c FROM obs WHERE json_type(o) = 'OBJECT' UNION ALL SELECT record_id, 0, json_extract(j, '$.request.context.active_conditions') FROM j WHERE coalesce(j->>'$.mode', '') <> 'temporal') SELECT record_id, obs_no, CASE WHEN json_type(c) = 'OBJECT' THEN array_to_string(list_sort(list_filter(json_keys(c), lambda k: (c->>('$.\"' || k || '\"')) = 'true')), ';') ELSE '' END AS conditions FROM c",
         "series_problems": SQL + f"SELECT record_id, count(*) AS n, count(ts) < count(*) AS no_timestamp, count(DISTINCT ts) < count(ts) AS duplicate_timestamps, {mixed.format('work')} AS mixed_planned_work, {mixed.format('zone')} AS mixed_target_zone FROM observed GROUP BY 1",
         "observability": RESULTS + "SELECT profile_id, round_even(p / t, 3) AS observability, CASE WHEN p = 0 THEN 'NONE' WHEN round_even(p / t, 3) < 0.4 THEN 'LOW' WHEN round_even(p / t, 3) < 0.75 THEN 'MEDIUM' ELSE 'HIGH' END AS level FROM (SELECT profile_id, sum(CASE WHEN kind <> 'conditional' OR swap THEN 1 ELSE nd + len(und) END)::DOUBLE AS t, sum(CASE WHEN kind = 'required' THEN 1 WHEN kind = 'alternative' OR swap THEN half WHEN kind = 'undetectable' THEN 0 ELSE nd END)::DOUBLE AS p FROM (SELECT *, coalesce(relation = 'alternative', false) AND len(und) > 0 AS swap, CASE WHEN mode = 'all' THEN len(det) ELSE (len(det) > 0)::INT END AS nd, CASE WHEN len(und) = 0 THEN 1.0 WHEN len(det) > 0 THEN 0.5 ELSE 0.0 END AS half FROM rq) GROUP BY 1)",
         "temporal_window": RESULTS + "SELECT record_id, obs_no FROM win",
