@@ -158,6 +158,22 @@ def series_problems(obs: DataFrame, series: list[str], ts: str, same: list[str])
     return obs.groupBy(*series).agg(F.count(F.lit(1)).alias("n"), (F.count(ts) < F.count(F.lit(1))).alias("no_timestamp"), (F.countDistinct(ts) < F.count(ts)).alias("duplicate_timestamps"), *mixed)
 
 
+def upload_times(start: Column, position: Column) -> Column:
+    """Instants of frames that were uploaded without any: a second apart, in the order of upload; ``start`` null is now."""
+    return F.timestamp_seconds(F.unix_micros(F.coalesce(start, F.current_timestamp())) / 1_000_000 + position)
+
+
+def stream_fields(obs: DataFrame, series: list[str], fields: list[str]) -> DataFrame:
+    """Per series, for each field, whether it is consistent: in no observation, or in all with one value."""
+    ok = lambda f: ((F.count(f) == 0) | ((F.count(f) == F.count(F.lit(1))) & (F.count_distinct(f) == 1))).alias(f"one_{f}")
+    return obs.groupBy(*series).agg(*map(ok, fields))
+
+
+def series_keys(obs: DataFrame, series: list[str], key: list[str]) -> DataFrame:
+    """Per series how many different keys its observations have; more than one and it is no series. Nulls are a value; ``key`` may hold arrays."""
+    return obs.groupBy(*series).agg(F.count_distinct(F.struct(*key)).alias("n_keys"))
+
+
 def persistence(results: DataFrame, sizes: DataFrame, series: list[str], least: int = MIN_OBSERVATIONS, ratio: float = PERSISTENCE) -> DataFrame:
     """Per series and requirement how often it was missing and uncertain, and whether that persists.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkyard.functions.taxonomy import aliases, classes, normalize_label
+from sparkyard.operators.ranking import row_numbers
 
 OVERHANG = 1e-3
 
@@ -33,11 +34,11 @@ def with_actions(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("label", normalize_label(F.col("raw_label"))).join(F.broadcast(known), "label", "left").withColumn("action", F.coalesce("action", F.lit("UNKNOWN")))
 
 
-def label_audit(boxes: DataFrame) -> DataFrame:
-    """Boxes per raw label, with what became of them; a dropped class maps to nothing."""
-    counted = boxes.groupBy("raw_label").agg(F.count(F.lit(1)).alias("bbox_count"))
+def label_audit(boxes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Boxes per raw label, and per ``by`` such as the source, with what became of them; a dropped class maps to nothing."""
+    counted = boxes.groupBy(*by, "raw_label").agg(F.count(F.lit(1)).alias("bbox_count"))
     mapped = F.when(F.col("action") == "MAP", F.col("class")).when(F.col("action") == "DROP", "").otherwise(F.col("action"))
-    return with_actions(counted).select("raw_label", "label", "bbox_count", mapped.alias("mapped_to"))
+    return with_actions(counted).select(*by, "raw_label", "label", "bbox_count", mapped.alias("mapped_to"))
 
 
 def box_problem() -> Column:
@@ -58,11 +59,38 @@ def clean_boxes(boxes: DataFrame) -> DataFrame:
     return kept.select("image_id", "line_no", "class", "x", "y", "w", "h")
 
 
-def exclusions(boxes: DataFrame) -> DataFrame:
-    """``(image_id, reason)`` of the images left out: any ambiguous label, else no clean box. One aggregation by image."""
+def exclusions(boxes: DataFrame, keep_negatives: bool = False, invalid: DataFrame | None = None) -> DataFrame:
+    """``(image_id, reason)`` of the images left out: any ambiguous label, else no clean box, else unreadable. One aggregation by image.
+
+    With ``keep_negatives`` images without a box stay. ``invalid`` has the ``image_id`` of the images that couldn't be read, and of none twice.
+    """
     x = with_actions(boxes).withColumn("good", (F.col("action") == "MAP") & box_problem().isNull())
     seen = x.groupBy("image_id").agg(F.bool_or(F.col("action") == "AMBIGUOUS").alias("ambiguous"), F.bool_or("good").alias("any_box"))
-    return seen.select("image_id", F.when(F.col("ambiguous"), "ambiguous_label").when(~F.col("any_box"), "no_boxes").alias("reason")).where("reason IS NOT NULL")
+    empty = ~F.col("any_box") & F.lit(not keep_negatives)
+    if invalid is not None:
+        seen = seen.join(invalid.select("image_id", F.lit(True).alias("invalid")).distinct(), "image_id", "full")
+    reason = F.when(F.col("ambiguous"), "ambiguous_label").when(empty, "no_boxes")
+    reason = reason if invalid is None else reason.when(F.col("invalid"), "invalid_image")
+    return seen.select("image_id", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def warning_counts(parsed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Label lines per warning, and per ``by``; lines without one aren't counted."""
+    return parsed.where("warning IS NOT NULL").groupBy(*by, "warning").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pixel_boxes(boxes: DataFrame, images: DataFrame) -> DataFrame:
+    """``(image_id, ann_id, class, x1, y1, x2, y2, relative_area)``: clean boxes as corners in pixels, clipped to the image; empty ones are left out.
+
+    ``images`` has ``image_id, width, height``; without sizes a box isn't placed. ``relative_area`` is the box's share of the image. Ids run from 1 over images and lines.
+    """
+    c = F.col
+    x = boxes.join(images.select("image_id", "width", "height").where("width > 0 AND height > 0"), "image_id")
+    low = lambda p, s, n: F.greatest(F.lit(0.0), (c(p) - c(s) / 2) * c(n))
+    high = lambda p, s, n: F.least(c(n).cast("double"), (c(p) + c(s) / 2) * c(n))
+    x = x.select("image_id", "line_no", "class", "width", "height", low("x", "w", "width").alias("x1"), low("y", "h", "height").alias("y1"), high("x", "w", "width").alias("x2"), high("y", "h", "height").alias("y2")).where("x2 > x1 AND y2 > y1")
+    x = x.withColumn("relative_area", (c("x2") - c("x1")) * (c("y2") - c("y1")) / (c("width") * c("height")))
+    return row_numbers(x, [], [F.asc("image_id"), F.asc("line_no")], "ann_id").select("image_id", "ann_id", "class", "x1", "y1", "x2", "y2", "relative_area")
 
 
 def class_stats(boxes: DataFrame, images: DataFrame) -> DataFrame:

@@ -16,16 +16,17 @@ P_RADIUS, D_RADIUS, REVIEWED = 16, 12, 100
 BLOCK_ROWS = 10_000
 
 
-def cross_split_candidates(items: DataFrame, p_radius: int = P_RADIUS, d_radius: int = D_RADIUS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def cross_split_candidates(items: DataFrame, p_radius: int = P_RADIUS, d_radius: int = D_RADIUS, block_rows: int = BLOCK_ROWS, sources: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of one source from different splits whose ``phash`` or ``dhash`` are within a radius: ``(a, b, phash_distance, dhash_distance)``.
 
     ``items`` has ``id, source, split, phash, dhash``; the earlier of train, val, test is ``a``. Radii of a fifth of the bits and
     more leave no selective key (of eight parts of a hash one has at most two flipped bits, which a seventh of all values have), so all pairs
     of a source are looked at, in blocks: either side of a source falls into parts of about ``block_rows`` rows, as many as its count asks for, and each two
-    parts meet in a group of their own. So a source of any size is many groups of bounded work. For tight radii there are better ways.
+    parts meet in a group of their own. ``sources`` names those to look at, by default all. So a source of any size is many groups of bounded work. For tight radii there are better ways.
     """
     n = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 1).when(F.col("split") == "test", 2)
     x = items.select("id", "source", "phash", "dhash", n.alias("n")).where("n IS NOT NULL AND phash IS NOT NULL AND dhash IS NOT NULL")
+    x = x.where(F.col("source").isin(*sources)) if sources else x
     x = Scratch(items.sparkSession, "candidates").save(x, "items")
     parts = lambda c: F.ceil(F.count(F.when(c, 1)) / block_rows).cast("int")
     sizes = x.groupBy("source").agg(parts(F.col("n") < 2).alias("rows"), parts(F.col("n") > 0).alias("columns")).where("rows > 0 AND columns > 0")
@@ -79,6 +80,11 @@ def unmatched_ids(pairs: DataFrame, high_ids: DataFrame) -> DataFrame:
     return high_ids.select("pair_id").distinct().join(pairs, "pair_id", "left_anti")
 
 
+def sequence_edges(pairs: DataFrame, verdict: str, frames: int = 30) -> DataFrame:
+    """The pairs that make sequence groups: not dismissed by the verdict, of one file family, and at most ``frames`` apart."""
+    return pairs.where((F.col(verdict) != NOT) & F.col("same_filename_family") & (F.col("frame_delta") <= frames))
+
+
 def verdict_summary(pairs: DataFrame, verdict: str) -> DataFrame:
     """Per source: pairs, pairs by verdict, and distinct images in high pairs."""
     v = F.col(verdict)

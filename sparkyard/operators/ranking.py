@@ -23,5 +23,6 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[Column], name: str,
     counts = x.groupBy(*keys, "$part").agg(F.count(F.lit(1)).alias("$n")).withColumn("$before", F.coalesce(F.sum("$n").over(before), F.lit(0))).drop("$n")
     own = Window.partitionBy("$part", *keys).orderBy(*order)
     x = x.withColumn("$own", F.row_number().over(own)).alias("x")
+    counts = F.broadcast(counts) if not keys else counts  # without keys as many rows as ranges
     on = [F.col(f"x.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*keys, "$part")]
     return x.join(counts.alias("c"), on).select(*(F.col(f"x.{c}") for c in df.columns), (F.col("$before") + F.col("$own")).cast("int").alias(name))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkyard.functions.taxonomy import CLASSES
 from sparkyard.functions.text import strip_or_null
-from sparkyard.operators import detections as dt
-
-_OFFSET = r"(Z|[+-]\d{2}:?\d{2})$"
-
 
 def _issues(df: DataFrame, keys: list[str], checks: list[tuple[str, str, Column]]) -> DataFrame:
     """``(keys, path, code)`` of every check that holds; all of a row's problems come out."""
@@ -18,58 +16,6 @@ def _issues(df: DataFrame, keys: list[str], checks: list[tuple[str, str, Column]
     return df.select(*keys, F.explode(found).alias("i")).select(*keys, "i.*")
 
 
-def request_issues(records: DataFrame, observations: DataFrame, detections: DataFrame) -> DataFrame:
-    """``(record_id, obs_no, item_no, path, code)`` of request envelopes, from their flat tables; a whole record's or observation's problems have null numbers.
-
-    A time must have an offset. Optional fields that are null are absent. Mixed contexts and repeated instants concern a series.
-    """
-    c = F.col
-    ts = F.try_to_timestamp("observed_at")
-    obs = _issues(
-        observations,
-        ["record_id", "obs_no"],
-        [
-            ("", "invalid_request", c("kind") != "object"),
-            ("context.planned_work", "invalid_string", (c("kind") == "object") & strip_or_null(c("planned_work")).isNull()),
-            ("context.timestamp", "invalid_timestamp", (c("kind") == "object") & ts.isNull()),
-            ("context.timestamp", "timezone_required", ts.isNotNull() & ~c("observed_at").rlike(_OFFSET)),
-            ("context.active_conditions", "invalid_active_conditions", c("active_conditions").isNotNull() & ~F.startswith("active_conditions", F.lit("{"))),
-        ],
-    )
-    bad = dt.normalized(detections.withColumn("frame_zone", F.lit(None).cast("string")).withColumn("more", F.col("extra").isNotNull()))
-    det = _issues(
-        bad,
-        ["record_id", "obs_no", "item_no"],
-        [
-            ("detections", "invalid_detection", c("invalid_reason").isin("invalid_detection_type", "missing_class")),
-            ("detections.class", "unknown_detection_class", ~c("class").isin(*CLASSES)),
-            ("detections.confidence", "invalid_confidence", c("invalid_reason") == "invalid_confidence"),
-            ("detections.bbox", "invalid_bbox", c("invalid_reason") == "invalid_bbox"),
-            ("detections", "unknown_field", c("more")),
-        ],
-    )
-    temporal = c("mode") == "temporal"
-    number = lambda x: dt.number(c(x))
-    bad_number = lambda x, ok: temporal & c(x).isNotNull() & ~F.coalesce(ok(number(x)), F.lit(False))
-    rec = _issues(
-        records,
-        ["record_id"],
-        [
-            ("mode", "invalid_string", c("mode").isNull() | ~c("mode").isin("instant", "temporal")),
-            ("", "unknown_field", F.size(F.array_except(F.json_object_keys(F.coalesce("extra", F.lit("{}"))), F.array(F.lit("synthetic_fixture"), F.lit("data_origin")))) > 0),
-            ("temporal_config.window_seconds", "invalid_window_seconds", bad_number("window_seconds", lambda x: x > 0)),
-            ("temporal_config.min_observations", "invalid_min_observations", bad_number("min_observations", lambda x: (x >= 1) & (x == F.floor(x)))),
-            ("temporal_config.persistence_ratio", "invalid_persistence_ratio", bad_number("persistence_ratio", lambda x: (x > 0) & (x <= 1))),
-        ],
-    )
-    series = observations.join(records.where(temporal).select("record_id"), "record_id").withColumn("ts", ts)
-    whole = dt.series_problems(series, ["record_id"], "ts", ["planned_work", "zone_id", "active_conditions"])
-    ser = _issues(whole, ["record_id"], [("observations", "duplicate_timestamps", c("duplicate_timestamps")), ("observations", "mixed_temporal_context", c("mixed_planned_work") | c("mixed_zone_id") | c("mixed_active_conditions"))])
-    none = F.lit(None).cast("int")
-    full = lambda x: x.select("record_id", *(c(k) if k in x.columns else none.alias(k) for k in ("obs_no", "item_no")), "path", "code")
-    return full(obs).unionByName(full(det)).unionByName(full(rec)).unionByName(full(ser))
-
-
 def dataset_problems(images: DataFrame, boxes: DataFrame, tolerance: float = 1e-8) -> DataFrame:
     """``(problem, key, n)`` of a built data set: repeated output paths, unknown splits, the split of the path another, boxes out of range, digests in several splits."""
     from sparkyard.functions.names import split_of_path
@@ -108,3 +54,48 @@ def requirement_problems(rows: DataFrame) -> DataFrame:
     found = _issues(rows, ["profile_id", "name"], checks).drop("path")
     again = rows.groupBy("profile_id", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("profile_id", "name", F.lit("repeated_name").alias("code"))
     return found.unionByName(again)
+
+
+def shared_keys(tables: dict[str, DataFrame], key: str) -> DataFrame:
+    """``(key, tables)`` of the keys that several tables have; sets that must be disjoint give none. Null keys don't count."""
+    every = None
+    for name, t in tables.items():
+        x = t.select(F.col(key).alias("key"), F.lit(name).alias("t")).where("key IS NOT NULL").distinct()
+        every = x if every is None else every.unionByName(x)
+    return every.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("t")), ";").alias("tables"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")  # as many as tables
+
+
+def count_problems(counts: DataFrame, expected: dict[str, int], key: str, value: str) -> DataFrame:
+    """``(key, expected, counted)`` where fixed counts aren't met; a key without a count has 0."""
+    want = counts.sparkSession.createDataFrame(list(expected.items()), f"{key} string, expected bigint")
+    x = want.join(counts.select(key, F.col(value).alias("counted")), key, "left").na.fill(0, ["counted"])
+    return x.where("expected <> counted")
+
+
+def series_problems(frames: DataFrame, series: list[str], ts: str, most: int = 30) -> DataFrame:
+    """``(series, problem, n)`` of uploaded series: no frames or more than ``most``, some times given and others not, or given twice."""
+    x = frames.groupBy(*series).agg(F.count(F.lit(1)).alias("n"), F.count(ts).alias("given"), F.count_distinct(ts).alias("different"))
+    c = F.col
+    checks = [("too_many_frames", c("n") > most), ("some_times_missing", (c("given") > 0) & (c("given") < c("n"))), ("repeated_times", c("different") < c("given"))]
+    found = F.array_compact(F.array(*(F.when(ok, F.lit(name)) for name, ok in checks)))
+    return x.select(*series, F.explode(found).alias("problem"), "n")
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Thresholds of the detection and series operators; impossible ones are refused when they are made."""
+
+    min_confidence: float = 0.25
+    window_seconds: float | None = None
+    min_observations: int = 3
+    persistence_ratio: float = 0.75
+
+    def __post_init__(self):
+        if not 0 <= self.min_confidence <= 1:
+            raise ValueError("min_confidence must lie between 0 and 1")
+        if self.window_seconds is not None and not self.window_seconds > 0:
+            raise ValueError("window_seconds must be positive")
+        if self.min_observations < 1:
+            raise ValueError("min_observations must be 1 or more")
+        if not 0 < self.persistence_ratio <= 1:
+            raise ValueError("persistence_ratio must lie above 0 and up to 1")

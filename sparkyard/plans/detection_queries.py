@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkyard.functions import sql
-from sparkyard.functions.taxonomy import CLASSES
+from sparkyard.functions.taxonomy import BACKGROUND, CLASSES
 from sparkyard.functions.text import strip_or_null
 from sparkyard.operators import catalog, shred, status
 from sparkyard.operators import detections as dt
@@ -121,6 +121,25 @@ def _conditions(s, d):
     return x.select("record_id", "obs_no", F.array_join(status.condition_names(F.col("active_conditions")), ";").alias("conditions"))
 
 
+def _native(s, d):
+    """Detections as a detector gives them, in parallel arrays, those of every seventh record of unequal lengths; read back as rows."""
+    x = shred.detections(_levels(s, d, "detections"))
+    name = F.when(F.col("kind") == "string", F.col("raw")).otherwise(F.coalesce("class", "class_name"))
+    rows = F.array_sort(F.collect_list(F.struct("item_no", name.alias("name"), dt.number(F.col("confidence")).alias("score"))))  # of one frame
+    f = x.groupBy("record_id", "obs_no").agg(rows.alias("r"))
+    scores = F.when(F.col("record_id") % 7 == 0, F.slice("r.score", 2, 1000)).otherwise(F.col("r.score"))
+    f = f.select("record_id", "obs_no", F.col("r.name").alias("class_names"), scores.alias("scores"), F.transform("r", lambda x: F.array(x["score"])).alias("boxes"))
+    return dt.from_arrays(f, ["record_id", "obs_no"]).select("record_id", "obs_no", "pos", "class", "confidence", "problem")
+
+
+def _keys(s, d):
+    """Of each series the number of its keys, and whether camera and zone are consistent."""
+    x = shred.observations(_levels(s, d, "observations")).where("kind = 'object'")
+    x = x.select("record_id", catalog.normalize_name(F.col("planned_work")).alias("work"), F.col("context_camera_id").alias("camera"), F.col("zone_id").alias("zone"), status.condition_names(F.col("active_conditions")).alias("conditions"))
+    keys = dt.series_keys(x, ["record_id"], ["work", "camera", "zone", "conditions"])
+    return keys.join(dt.stream_fields(x, ["record_id"], ["camera", "zone"]), "record_id")
+
+
 def queries() -> dict:
     return {
         "instant_status": lambda s, d: _instants(s, d).select("frame_key.*", "profile_id", "status", "observability", "level", "score", "coverage"),
@@ -129,6 +148,9 @@ def queries() -> dict:
         "persistent_frames": lambda s, d: _series(s, d, "frames"),
         "expected_classes": lambda s, d: status.expected_classes(requirements(s)).withColumn("expected", status.enumeration(F.transform("expected", lambda x: status.display(x, DISPLAY)))),
         "active_conditions": _conditions,
+        "native_adapter": _native,
+        "canonical_detections": lambda s, d: routed(s, d).where("bucket = 'accepted'").select("record_id", "obs_no", "item_no", "class", "confidence", F.array_join(F.transform("bbox", lambda x: F.round(x, 3).cast("string")), ";").alias("bbox"), "zone_id"),
+        "series_keys": _keys,
         "detection_buckets": lambda s, d: routed(s, d).groupBy("bucket", "invalid_reason", "zone_verified").agg(F.count(F.lit(1)).alias("n")),
         "detection_rows": lambda s, d: routed(s, d).select("record_id", "obs_no", "item_no", "class", "bucket", "invalid_reason"),
         "requirement_results": _requirement_rows,
@@ -163,10 +185,14 @@ def _lit(v) -> str:
     return "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
 
 
+def rows_sql(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(map(_lit, r)) + ")" for r in rows)
+
+
 _NORM = "trim(regexp_replace(lower(o.work), '[\\s\\p{Z}]+', ' ', 'g'))"
 _HELD = "CASE WHEN target IS NOT NULL AND len({0}) > 0 AND NOT list_has_any({0}, ver) THEN 'uncertain' ELSE 'satisfied' END"
 _WHOLE = "len(und) > 0 AND coalesce(relation = 'alternative', false) AND len(found) < len(det)"
-RESULTS = f"""{SQL}, rq(profile_id, ord, kind, name, det, und, condition, mode, relation) AS (VALUES {", ".join("(" + ", ".join(map(_lit, r)) + ")" for r in PROFILES)}),
+RESULTS = f"""{SQL}, rq(profile_id, ord, kind, name, det, und, condition, mode, relation) AS (VALUES {rows_sql(PROFILES)}),
 acc AS (SELECT record_id, obs_no, list(DISTINCT class) AS acc, coalesce(list(DISTINCT class) FILTER (zone_verified), []) AS ver FROM routed WHERE bucket = 'accepted' GROUP BY ALL),
 fr AS (SELECT o.record_id, o.obs_no, zone AS target, ts, CASE WHEN {_NORM} <> '' THEN {IDS}[(length({_NORM}) % {len(IDS)} + 1)::INT] END AS profile_id, o.record_id % 2 = 0 AS active, coalesce(acc, []::VARCHAR[]) AS acc, coalesce(ver, []::VARCHAR[]) AS ver FROM observed o LEFT JOIN acc a ON a.record_id = o.record_id AND a.obs_no = o.obs_no),
 x AS (SELECT *, list_filter(det, lambda d: list_contains(acc, d)) AS found, kind = 'conditional' AS cond FROM fr JOIN rq USING (profile_id)),
@@ -214,6 +240,9 @@ def oracle_sql() -> dict:
         "persistent_frames": RESULTS + "SELECT p.record_id, p.id, p.state, array_to_string(list_sort(coalesce(list(DISTINCT r.obs_no) FILTER (bucket = 'missing'), [])), ';') AS missing_in, array_to_string(list_sort(list(DISTINCT r.obs_no)), ';') AS unresolved_in FROM pers p JOIN results r ON r.record_id = p.record_id AND r.id = p.id JOIN win w ON w.record_id = r.record_id AND w.obs_no = r.obs_no WHERE p.state LIKE 'persistent%' AND bucket IN ('missing', 'uncertain') GROUP BY ALL",
         "expected_classes": RESULTS + f"SELECT profile_id, CASE WHEN len(e) < 2 THEN array_to_string(e, '') ELSE array_to_string(e[:-2], ', ') || ' и ' || e[-1] END AS expected FROM (SELECT profile_id, list_transform(expected, lambda x: {show}) AS e FROM expc)",
         "active_conditions": SQL + ", c AS (SELECT record_id, obs_no::INT AS obs_no, json_extract(o, '$.context.active_conditions') AS c FROM obs WHERE json_type(o) = 'OBJECT' UNION ALL SELECT record_id, 0, json_extract(j, '$.request.context.active_conditions') FROM j WHERE coalesce(j->>'$.mode', '') <> 'temporal') SELECT record_id, obs_no, CASE WHEN json_type(c) = 'OBJECT' THEN array_to_string(list_sort(list_filter(json_keys(c), lambda k: (c->>('$.\"' || k || '\"')) = 'true')), ';') ELSE '' END AS conditions FROM c",
+        "native_adapter": SQL + f", na AS (SELECT record_id, obs_no, item_no, CASE WHEN json_type(e) = 'VARCHAR' THEN e->>'$' ELSE coalesce(o->>'$.class', o->>'$.class_name') END AS name, try_cast(o->>'$.confidence' AS DOUBLE) AS score, row_number() OVER (PARTITION BY record_id, obs_no ORDER BY item_no)::INT - 1 AS pos FROM dets) SELECT record_id, obs_no, pos, lower(trim(name)) AS class, CASE WHEN isfinite(score) THEN score END AS confidence, NULL::VARCHAR AS problem FROM na WHERE record_id % 7 <> 0 AND lower(trim(name)) NOT IN {BACKGROUND} UNION ALL SELECT DISTINCT record_id, obs_no, NULL, NULL, NULL, 'inconsistent_result' FROM na WHERE record_id % 7 = 0",
+        "canonical_detections": SQL + "SELECT record_id, obs_no, item_no, class, conf AS confidence, coalesce(array_to_string(list_transform(b, lambda x: round(x, 3)::VARCHAR), ';'), NULL) AS bbox, zone AS zone_id FROM routed WHERE bucket = 'accepted'",
+        "series_keys": SQL + f", c AS (SELECT record_id, o->>'$.context.planned_work' AS w, o->>'$.context.camera_id' AS cam, o->>'$.context.zone_id' AS z, json_extract(o, '$.context.active_conditions') AS c FROM obs WHERE json_type(o) = 'OBJECT' UNION ALL SELECT record_id, j->>'$.request.context.planned_work', j->>'$.request.context.camera_id', j->>'$.request.context.zone_id', json_extract(j, '$.request.context.active_conditions') FROM j WHERE coalesce(j->>'$.mode', '') <> 'temporal'), k AS (SELECT record_id, row({_NORM.replace('o.work', 'w')}, cam, z, CASE WHEN json_type(c) = 'OBJECT' THEN list_sort(list_filter(json_keys(c), lambda k: (c->>('$.\"' || k || '\"')) = 'true')) ELSE [] END) AS key, cam, z FROM c) SELECT record_id, count(DISTINCT key) AS n_keys, count(cam) = 0 OR (count(cam) = count(*) AND count(DISTINCT cam) = 1) AS one_camera, count(z) = 0 OR (count(z) = count(*) AND count(DISTINCT z) = 1) AS one_zone FROM k GROUP BY 1",
         "series_problems": SQL + f"SELECT record_id, count(*) AS n, count(ts) < count(*) AS no_timestamp, count(DISTINCT ts) < count(ts) AS duplicate_timestamps, {mixed.format('work')} AS mixed_planned_work, {mixed.format('zone')} AS mixed_target_zone FROM observed GROUP BY 1",
         "observability": RESULTS + "SELECT profile_id, round_even(p / t, 3) AS observability, CASE WHEN p = 0 THEN 'NONE' WHEN round_even(p / t, 3) < 0.4 THEN 'LOW' WHEN round_even(p / t, 3) < 0.75 THEN 'MEDIUM' ELSE 'HIGH' END AS level FROM (SELECT profile_id, sum(CASE WHEN kind <> 'conditional' OR swap THEN 1 ELSE nd + len(und) END)::DOUBLE AS t, sum(CASE WHEN kind = 'required' THEN 1 WHEN kind = 'alternative' OR swap THEN half WHEN kind = 'undetectable' THEN 0 ELSE nd END)::DOUBLE AS p FROM (SELECT *, coalesce(relation = 'alternative', false) AND len(und) > 0 AS swap, CASE WHEN mode = 'all' THEN len(det) ELSE (len(det) > 0)::INT END AS nd, CASE WHEN len(und) = 0 THEN 1.0 WHEN len(det) > 0 THEN 0.5 ELSE 0.0 END AS half FROM rq) GROUP BY 1)",
         "temporal_window": RESULTS + "SELECT record_id, obs_no FROM win",

@@ -6,10 +6,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkyard.functions import names as nm
-from sparkyard.operators import dedup, labels
+from sparkyard.operators import dedup, labels, validate
+from sparkyard.operators.ranking import row_numbers
 from sparkyard.sources.adapters import IMAGES_SQL, images, raw_boxes
 
 
+#: How many images a finished data set should have in each split.
+EXPECTED = {"train": 1000, "val": 300, "test": 100, "extra": 0}
+
+
 def _named(s, d):
     x = images(s, d).withColumn("stem", nm.stem(F.col("original_image")))
     return x.withColumn("g", nm.group_of(F.col("source"), F.col("stem"))).select("*", F.col("g.group_id").alias("file_group"), F.col("g.method").alias("method")).drop("g")
@@ -46,8 +51,32 @@ def _reconcile(s, d):
     return stated.groupBy("n_boxes", "n_classes", F.expr("n_boxes >= n_classes AND (n_classes > 0 OR n_boxes = 0)").alias("agrees")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_ORDER = {"train": 0, "val": 1, "test": 2}
+
+
+def _ordered(s, d):
+    """The place of each image in the order of a build (split by name) and in that after remediation (train, val, test)."""
+    at = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 1).when(F.col("split") == "test", 2).otherwise(3)
+    x = row_numbers(images(s, d), [], [F.asc_nulls_first(c) for c in ("split", "source", "original_image", "image_id")], "built_at")
+    x = row_numbers(x, [], [at.asc(), *(F.asc_nulls_first(c) for c in ("source", "output_image", "image_id"))], "remediated_at")
+    return x.select("image_id", "built_at", "remediated_at")
+
+
+#: Classes that a closer look is taken at.
+FOCUS = ["crane_manipulator", "mobile_crane", "tower_crane"]
+
+
+def _overlap(s, d):
+    at = images(s, d)
+    return validate.shared_keys({p: at.where(F.col("split") == p) for p in ("train", "val", "test")}, "sha1")
+
+
 def queries() -> dict:
     return {
+        "manifest_order": _ordered,
+        "focus_images": lambda s, d: images(s, d).where(F.arrays_overlap(F.split("classes", ";"), F.array(*map(F.lit, FOCUS)))).select("image_id", "split", "classes"),
+        "split_overlap": _overlap,
+        "count_problems": lambda s, d: validate.count_problems(images(s, d).groupBy("split").agg(F.count(F.lit(1)).alias("n")), EXPECTED, "split", "n"),
         "image_counts": lambda s, d: images(s, d).groupBy("source", "split").agg(F.count(F.lit(1)).alias("images"), F.sum("n_boxes").alias("boxes")),
         "possible_pairs": lambda s, d: _possible(images(s, d)),
         "filename_groups": _groups,
@@ -102,7 +131,12 @@ def oracle_sql() -> dict:
     from sparkyard.plans import label_queries
 
     boxes = label_queries.SQL + f", ranked AS (SELECT *, {_RANK} AS rn FROM images WHERE sha1 IS NOT NULL), kept AS (SELECT sha1, image_id AS kept_id FROM ranked WHERE rn = 1), owner AS (SELECT image_id, coalesce(kept_id, image_id) AS kept_id FROM images LEFT JOIN kept USING (sha1)), m AS (SELECT class, arg_max(x, (image_id, line_no)) AS x FROM boxes JOIN owner USING (image_id) GROUP BY kept_id, class, round(boxes.x, 6), round(y, 6), round(w, 6), round(h, 6)) "
+    at = "CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 WHEN 'test' THEN 2 ELSE 3 END"
     return {
+        "manifest_order": SQL + f"SELECT image_id, row_number() OVER (ORDER BY split NULLS FIRST, source NULLS FIRST, original_image NULLS FIRST, image_id)::INT AS built_at, row_number() OVER (ORDER BY {at}, source NULLS FIRST, output_image NULLS FIRST, image_id)::INT AS remediated_at FROM images",
+        "focus_images": SQL + f"SELECT image_id, split, classes FROM images WHERE list_has_any(string_split(classes, ';'), {FOCUS})",
+        "split_overlap": SQL + "SELECT sha1 AS key, string_agg(DISTINCT split, ';' ORDER BY split) AS tables FROM images WHERE sha1 IS NOT NULL AND split IN ('train', 'val', 'test') GROUP BY 1 HAVING count(DISTINCT split) > 1",
+        "count_problems": SQL + f"SELECT e.split, expected::BIGINT AS expected, coalesce(n, 0) AS counted FROM (VALUES {', '.join(str(x) for x in EXPECTED.items())}) e(split, expected) LEFT JOIN (SELECT split, count(*) AS n FROM images GROUP BY 1) i ON i.split = e.split WHERE expected <> coalesce(n, 0)",
         "image_counts": SQL + "SELECT source, split, count(*) AS images, sum(n_boxes)::BIGINT AS boxes FROM images GROUP BY ALL",
         "possible_pairs": SQL + ", n AS (SELECT source, count(*) FILTER (split = 'train') AS a, count(*) FILTER (split = 'val') AS b, count(*) FILTER (split = 'test') AS c FROM images WHERE split IN ('train', 'val', 'test') GROUP BY 1) SELECT source, a * b + a * c + b * c AS possible_pairs FROM n",
         "filename_groups": SQL + "SELECT source, file_group AS group_id, method, count(*) AS image_count, coalesce(string_agg(DISTINCT original_split, ';' ORDER BY original_split), '') AS original_splits, coalesce(string_agg(DISTINCT split, ';' ORDER BY split), '') AS splits FROM named WHERE file_group IS NOT NULL GROUP BY ALL",

@@ -15,6 +15,10 @@ from sparkyard.sources.adapters import IMAGES_SQL, images
 from sparkyard.sources.tables import table
 
 
+#: The sources that the audit looks at.
+SCOPE = ("d6", "d7")
+
+
 def _items(s, d):
     f = table(s, d, "fingerprints").groupBy("image_id").agg(F.max(F.struct("computed_at", "phash", "dhash")).alias("f"))
     return images(s, d).select(F.col("image_id").alias("id"), "source", "split").join(f.select(F.col("image_id").alias("id"), "f.phash", "f.dhash"), "id")
@@ -81,7 +85,10 @@ def _vector_pairs(s, d):
 
 def queries() -> dict:
     scored = ["pair_id", "source", "a", "b", "suspicion_score", "metric_verdict", "review_rank"]
+    edge = ["source", "a", "b", "metric_verdict", "frame_delta"]
     return {
+        "sequence_edges": lambda s, d: pairs.sequence_edges(_scored(s, d), "metric_verdict").select(*edge),
+        "near_dup_scope": lambda s, d: pairs.cross_split_candidates(_items(s, d), sources=SCOPE),
         "near_dup_candidates": lambda s, d: pairs.cross_split_candidates(_items(s, d)),
         "near_dup_scored": lambda s, d: pairs.ranked(_scored(s, d)).select(*scored),
         "near_dup_reviewed": lambda s, d: _reviewed(s, d).select("pair_id", "source", "review_rank", "reviewed_visually", "metric_verdict", "final_verdict"),
@@ -118,8 +125,11 @@ def oracle_sql() -> dict:
     order = "CASE {} WHEN 'train' THEN 0 WHEN 'val' THEN 1 WHEN 'test' THEN 2 END"
     f = "list_transform(embedding, lambda x: x::DOUBLE)"
     centre = "list_transform({0}, lambda x: x - list_avg({0}))"
+    near = f"WITH {IMAGES_SQL}, f AS (SELECT image_id, phash, dhash FROM fingerprints QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY computed_at DESC NULLS LAST, phash DESC NULLS LAST, dhash DESC NULLS LAST) = 1), x AS (SELECT image_id, source, {order.format('split')} AS n, phash, dhash FROM images JOIN f USING (image_id)) SELECT l.image_id AS a, r.image_id AS b, bit_count(xor(l.phash, r.phash))::INT AS phash_distance, bit_count(xor(l.dhash, r.dhash))::INT AS dhash_distance FROM x l JOIN x r ON l.source = r.source AND l.n < r.n WHERE l.phash IS NOT NULL AND r.phash IS NOT NULL AND l.dhash IS NOT NULL AND r.dhash IS NOT NULL AND (bit_count(xor(l.phash, r.phash)) <= {p} OR bit_count(xor(l.dhash, r.dhash)) <= {q})"
     return {
-        "near_dup_candidates": f"WITH {IMAGES_SQL}, f AS (SELECT image_id, phash, dhash FROM fingerprints QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY computed_at DESC NULLS LAST, phash DESC NULLS LAST, dhash DESC NULLS LAST) = 1), x AS (SELECT image_id, source, {order.format('split')} AS n, phash, dhash FROM images JOIN f USING (image_id)) SELECT l.image_id AS a, r.image_id AS b, bit_count(xor(l.phash, r.phash))::INT AS phash_distance, bit_count(xor(l.dhash, r.dhash))::INT AS dhash_distance FROM x l JOIN x r ON l.source = r.source AND l.n < r.n WHERE l.phash IS NOT NULL AND r.phash IS NOT NULL AND l.dhash IS NOT NULL AND r.dhash IS NOT NULL AND (bit_count(xor(l.phash, r.phash)) <= {p} OR bit_count(xor(l.dhash, r.dhash)) <= {q})",
+        "sequence_edges": SQL + f"SELECT source, a, b, metric AS metric_verdict, delta AS frame_delta FROM scored WHERE metric <> '{pairs.NOT}' AND fam AND delta <= 30",
+        "near_dup_scope": near + f" AND l.source IN {SCOPE}",
+        "near_dup_candidates": near,
         "near_dup_scored": SQL + "SELECT pair_id, source, a, b, score AS suspicion_score, metric AS metric_verdict, rank AS review_rank FROM ranked",
         "near_dup_reviewed": SQL + "SELECT pair_id, source, rank AS review_rank, seen AS reviewed_visually, metric AS metric_verdict, final AS final_verdict FROM reviewed",
         "pair_summary": SQL + f"SELECT source, count(*) AS pairs, count(*) FILTER (final = '{pairs.HIGH}') AS high, count(*) FILTER (final = '{pairs.POSSIBLE}') AS possible, count(*) FILTER (final = '{pairs.NOT}') AS not_leakage, any_value(coalesce(n, 0)) AS images_in_high FROM reviewed LEFT JOIN (SELECT source, count(DISTINCT i) AS n FROM (SELECT source, unnest([a, b]) AS i FROM reviewed WHERE final = '{pairs.HIGH}') GROUP BY 1) USING (source) GROUP BY source",

@@ -69,6 +69,8 @@ def queries() -> dict:
         "unresolved_members": lambda s, d: rebalance.unresolved_members(_moves(s, d).select("source", F.col("image").alias("member")), images(s, d)),
         "group_split_assign": lambda s, d: rebalance.greedy_assignment(s, images(s, d), _boxes(s, d)),
         "rebalance_plan": lambda s, d: rebalance.move_plan(images(s, d), rebalance.rebalance(s, images(s, d), _boxes(s, d))),
+        "rebalance_moves": lambda s, d: queries()["rebalance_plan"](s, d).groupBy("source").agg(F.count(F.lit(1)).alias("moves"), F.count_distinct("group_id").alias("groups")),
+        "group_split_groups": lambda s, d: rebalance.greedy_assignment(s, images(s, d), _boxes(s, d)).select("source", "group_id", "images", F.col("destination").isin(*rebalance.SPLITS).alias("assigned")),
         "least_moves": lambda s, d: rebalance.least_moves(images(s, d)),
         "apply_moves": lambda s, d: rebalance.apply_moves(images(s, d), _last(s, d).select("image", "to_split", "new_image")).select("image_id", "split", "output_image"),
         "move_directions": lambda s, d: rebalance.direction_report(_moves(s, d)),
@@ -108,6 +110,9 @@ def oracle_sql() -> dict:
         "closure_merged_ids": SQL + "SELECT component, n, coalesce(new, 'historical_closure_' || digest) AS closure_id FROM digests LEFT JOIN (SELECT component, string_agg(DISTINCT last.group_id, '+' ORDER BY last.group_id) AS new FROM last JOIN closure ON last.image = closure.member WHERE last.group_id IS NOT NULL GROUP BY 1) USING (component)",
         "unresolved_members": SQL + "SELECT m.source, m.image AS member, CASE WHEN h.image IS NULL THEN 'missing' ELSE 'other_source' END AS problem FROM (SELECT DISTINCT source, image FROM moves) m LEFT JOIN (SELECT image, list(DISTINCT source) AS sources FROM images WHERE image IS NOT NULL GROUP BY 1) h ON h.image = m.image WHERE h.image IS NULL OR NOT list_contains(sources, m.source)",
         "historical_leakage": SQL + "SELECT component, count(*) AS images, string_agg(DISTINCT split, ';' ORDER BY split) AS splits FROM closure JOIN images ON member = image GROUP BY 1 HAVING count(DISTINCT split) > 1",
+        # every group goes where most of its images are, so a plan moves the least number there is
+        "rebalance_moves": SQL + "SELECT source, sum(m)::BIGINT AS moves, count(*) AS groups FROM (SELECT source, group_id, sum(n) - max(n) AS m FROM (SELECT source, group_id, split, count(*) AS n FROM images WHERE group_id IS NOT NULL AND split IS NOT NULL GROUP BY ALL) GROUP BY ALL HAVING count(*) > 1) GROUP BY 1",
+        "group_split_groups": SQL + "SELECT source, group_id, count(*) AS images, true AS assigned FROM images WHERE group_id IS NOT NULL AND original_split IS NOT NULL GROUP BY ALL HAVING count(DISTINCT original_split) > 1",
         "least_moves": SQL + "SELECT source, sum(m)::BIGINT AS least_moves FROM (SELECT source, group_id, sum(n) - max(n) AS m FROM (SELECT source, group_id, split, count(*) AS n FROM images WHERE group_id IS NOT NULL AND split IS NOT NULL GROUP BY ALL) GROUP BY ALL) GROUP BY 1",
         "apply_moves": SQL + "SELECT image_id, split, output_image FROM after",
         "move_directions": SQL + "SELECT snapshot_date, source, from_split || '->' || to_split AS direction, count(*) AS moves, count(DISTINCT image) AS images FROM moves GROUP BY ALL",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkyard.operators import catalog, contract, labels, shred, validate
+from sparkyard.operators import detections as dt
 from sparkyard.functions.taxonomy import CLASSES
 from sparkyard.plans import data_queries, detection_queries
 from sparkyard.plans.label_queries import SQL as LABEL_SQL
@@ -19,6 +20,19 @@ def works(s, d):
     return table(s, d, "part").select(name.alias("work"), F.col("p_partkey").alias("ordinal"), (F.col("p_size") % 35).alias("profile_id"))
 
 
+def described(s, d):
+    """Works with a profile and a description out of part types; the types of one material are described, most by the right profile."""
+    return table(s, d, "part").select(F.col("p_name").alias("work"), (F.col("p_size") % 5).cast("int").alias("profile_id"), F.element_at(F.split("p_type", " "), -1).alias("description"))
+
+
+#: Requirement rows with problems, beside the sound ones.
+BROKEN = [
+    (90, 0, "required", "required:digger", ["digger"], [], None, None, None), (90, 1, "alternative", "alternative:0", [], [], None, None, None), (91, 0, "wish", "wish:0", ["truck"], [], None, None, None),
+    (91, 1, "conditional", "conditional:0", ["truck"], [], " ", "some", None), (92, 0, "required", "required:truck", ["truck"], [], None, None, None), (92, 1, "required", "required:truck", ["truck"], [], None, None, None),
+]
+DESCRIPTIONS = [(0, "COPPER"), (1, "BRASS"), (2, "TIN"), (3, "TIN"), (4, "GOLD")]
+
+
 def _lookup(s, d):
     asked = table(s, d, "part").select(F.concat("p_name", F.lit(" "), "p_brand").alias("asked")).distinct()
     return catalog.look_up(asked, "asked", works(s, d))
@@ -38,10 +52,13 @@ def queries() -> dict:
         "catalog_lookup": _lookup,
         "catalog_works": lambda s, d: catalog.distinct_works(works(s, d)),
         "catalog_problems": lambda s, d: catalog.catalog_problems(works(s, d), s.range(40).select(F.col("id").cast("int").alias("profile_id"))),
+        "description_problems": lambda s, d: catalog.description_problems(described(s, d), s.createDataFrame(DESCRIPTIONS, "profile_id int, description string")),
+        "work_conditions": lambda s, d: catalog.sorted_conditions(works(s, d), detection_queries.requirements(s)).withColumn("conditions", F.array_join("conditions", ";")),
+        "upload_problems": lambda s, d: validate.series_problems(detection_queries.observed(s, d), ["record_id"], "ts", most=2),
         "request_issues": _issues,
         "request_verdicts": lambda s, d: contract.verdicts(_issues(s, d), shred.valid_requests(table(s, d, "raw_requests")), ["record_id"]),
         "dataset_problems": lambda s, d: validate.dataset_problems(images(s, d), labels.clean_boxes(raw_boxes(s, d))),
-        "requirement_problems": lambda s, d: validate.requirement_problems(detection_queries.requirements(s)),
+        "requirement_problems": lambda s, d: validate.requirement_problems(s.createDataFrame(detection_queries.PROFILES + BROKEN, dt.REQUIREMENTS)),
         "latency_summary": lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.round("value", 2).cast("decimal(20,2)")).cast("double"), 2).alias("total"), F.round(F.max("value"), 6).alias("longest")),
     }
 
@@ -127,6 +144,10 @@ issues AS (
 def oracle_sql() -> dict:
     split = "CASE WHEN len(string_split(output_image, '/')) >= 4 THEN string_split(output_image, '/')[2] END"
     return {
+        "description_problems": f"WITH w AS (SELECT p_size % 5 AS profile_id, string_split(p_type, ' ')[-1] AS description FROM part), ds(profile_id, description) AS (VALUES {', '.join(map(str, DESCRIPTIONS))}), d AS (SELECT description, min(profile_id) AS meant, count(DISTINCT profile_id) AS k FROM ds GROUP BY 1) SELECT CASE WHEN meant IS NULL THEN 'unknown_description' ELSE 'description_of_other_profile' END AS problem, coalesce(w.description, '') AS key, count(*) AS n FROM w LEFT JOIN d USING (description) WHERE meant IS NULL OR meant <> profile_id GROUP BY ALL UNION ALL SELECT 'repeated_description', description, k FROM d WHERE k > 1 UNION ALL SELECT DISTINCT 'description_without_work', description, 0 FROM ds WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.profile_id = ds.profile_id AND w.description = ds.description)",
+        "work_conditions": detection_queries.RESULTS + ", " + _WORKS.removeprefix("WITH ") + "wk AS (SELECT work, min(ordinal) AS ordinal, arg_min(profile_id, ordinal) AS profile_id, count(*) AS records FROM works GROUP BY work) SELECT wk.*, coalesce(conditions, '') AS conditions FROM wk LEFT JOIN (SELECT profile_id, string_agg(DISTINCT condition, ';' ORDER BY condition) AS conditions FROM rq WHERE condition IS NOT NULL GROUP BY 1) USING (profile_id)",
+        "upload_problems": detection_queries.SQL + ", n AS (SELECT record_id, count(*) AS n, count(ts) AS given, count(DISTINCT ts) AS different FROM observed GROUP BY 1) SELECT record_id, 'too_many_frames' AS problem, n FROM n WHERE n > 2 UNION ALL SELECT record_id, 'some_times_missing', n FROM n WHERE given > 0 AND given < n UNION ALL SELECT record_id, 'repeated_times', n FROM n WHERE different < given",
+        "requirement_problems": f"WITH rq(profile_id, ord, kind, name, det, und, condition, mode, relation) AS (VALUES {detection_queries.rows_sql(detection_queries.PROFILES + BROKEN)}) SELECT profile_id, name, unnest(codes) AS code FROM (SELECT profile_id, name, list_filter([CASE WHEN len(list_filter(det, lambda x: x NOT IN {_quoted(CLASSES)})) > 0 THEN 'unknown_class' END, CASE WHEN len(det) = 0 AND len(und) = 0 THEN 'empty_requirement' END, CASE WHEN kind NOT IN ('required', 'alternative', 'undetectable', 'conditional') THEN 'unknown_kind' END, CASE WHEN kind = 'conditional' AND coalesce(mode NOT IN ('any', 'all'), true) THEN 'unknown_mode' END, CASE WHEN kind = 'conditional' AND coalesce(relation NOT IN ('alternative', 'additional'), true) THEN 'unknown_relation' END, CASE WHEN kind = 'conditional' AND coalesce(trim(condition), '') = '' THEN 'missing_condition' END], lambda x: x IS NOT NULL) AS codes FROM rq) WHERE len(codes) > 0 UNION ALL SELECT profile_id, name, 'repeated_name' FROM rq GROUP BY ALL HAVING count(*) > 1",
         "request_issues": ISSUES + "SELECT DISTINCT record_id, path, code FROM issues",
         "request_verdicts": ISSUES + "SELECT record_id, coalesce(n, 0) AS n_issues, coalesce(codes, '') AS codes, CASE WHEN n > 0 THEN 422 ELSE 200 END AS status FROM j LEFT JOIN (SELECT record_id, count(*) AS n, string_agg(DISTINCT code, ';' ORDER BY code) AS codes FROM (SELECT DISTINCT record_id, path, code FROM issues) GROUP BY 1) USING (record_id)",
         "catalog_lookup": _WORKS + f"asked AS (SELECT DISTINCT p_name || ' ' || p_brand AS asked FROM part), e AS (SELECT work, arg_max(profile_id, ordinal) AS pe FROM works GROUP BY 1), f AS (SELECT {_NORM.format('work')} AS n, max(profile_id) AS pf FROM works GROUP BY 1 HAVING count(*) = 1) SELECT asked, CASE WHEN e.work IS NOT NULL THEN pe ELSE pf END AS profile_id, CASE WHEN e.work IS NOT NULL THEN 'exact' WHEN f.n IS NOT NULL THEN 'normalized' END AS how FROM asked LEFT JOIN e ON asked = work LEFT JOIN f ON {_NORM.format('asked')} = n",
