@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkyard.sources.files import MAX_IMAGE_BYTES
+from sparkyard.operators.detections import MIN_CONFIDENCE
+from sparkyard.sources.files import MAX_IMAGE_BYTES, check_body, image_size
 
 _DETECTION = pa.list_(pa.struct([("class", pa.string()), ("confidence", pa.float64()), ("bbox", pa.list_(pa.float64()))]))
 _SPARK = T.ArrayType(T.StructType([T.StructField("class", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("bbox", T.ArrayType(T.DoubleType()))]))
@@ -42,8 +44,23 @@ def load_factory(spec: str) -> Callable[[], Provider]:
     return getattr(importlib.import_module(module), name)
 
 
-def infer(images: DataFrame, factory: Callable[[], Provider], keep: list[str], path: str = "path") -> DataFrame:
-    """``keep`` with ``detections`` and ``problem`` of each image (``content``); the detector is made once per task and an image that fails stops no other."""
+#: Status of an answer by the beginning of the problem, first that fits: what the sender did wrong, else the detector's failure.
+STATUS = [("ValueError: empty image", 400), ("ValueError: image too large", 413), ("ValueError: unknown image format", 415), ("ValueError: invalid image", 422)]
+
+
+def status_of(problem: Column) -> Column:
+    """200 without a problem, 400 for no image, 413 for too large a one, 415 and 422 for one that can't be read, 503 where the detector failed."""
+    out = F.when(problem.isNull(), 200)
+    for start, code in STATUS:
+        out = out.when(F.startswith(problem, F.lit(start)), code)
+    return out.otherwise(503)
+
+
+def infer(images: DataFrame, factory: Callable[[], Provider], keep: list[str], path: str = "path", least: float = MIN_CONFIDENCE, verify: bool = False) -> DataFrame:
+    """``keep`` with ``detections`` and ``problem`` of each image (``content``); the detector is made once per task and an image that fails stops no other.
+
+    Detections below ``least`` are left out. With ``verify`` an image whose header or length is wrong doesn't reach the detector.
+    """
     schema = T.StructType([*(images.schema[k] for k in keep), T.StructField("detections", _SPARK), T.StructField("problem", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +73,10 @@ def infer(images: DataFrame, factory: Callable[[], Provider], keep: list[str], p
                         raise ValueError("empty image")
                     if len(data) > MAX_IMAGE_BYTES:
                         raise ValueError("image too large")
-                    found.append(provider.infer(data, name))
+                    if verify:
+                        image_size(data)
+                        check_body(data)
+                    found.append([d for d in provider.infer(data, name) if d.get("confidence") is None or d["confidence"] >= least])
                     problems.append(None)
                 except Exception as e:  # noqa: BLE001
                     found.append(None)

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkyard.functions.taxonomy import D1_NAMES
+
 # Suffixes of archives and images, names a split's folder may have, the size limit of an image.
 ARCHIVES = (".zip", ".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar.xz", ".txz")
 IMAGES = (".jpg", ".jpeg", ".png", ".bmp", ".webp", ".tif", ".tiff")
@@ -62,15 +64,30 @@ def choose_root(yamls: list[str]) -> str:
     return min(roots, key=lambda r: (-sum(split_folder(r, s) is not None for s in SPLIT_FOLDERS), r.count(os.sep), r))
 
 
-def split_folder(root: str, split: str) -> str | None:
-    """The shallowest folder of images of a split, whichever of its names it has."""
+def split_folder(root: str, split: str, config: dict | None = None) -> str | None:
+    """The shallowest folder of images of a split, whichever of its names it has; where there is none, the one that the data set file names."""
     found = [d for d, names, _ in os.walk(root) if os.path.basename(d).lower() in SPLIT_FOLDERS[split]]
     found.sort(key=lambda d: (d.count(os.sep), d))
     for d in found:
         return os.path.join(d, "images") if os.path.isdir(os.path.join(d, "images")) else d
+    for key in SPLIT_FOLDERS[split]:
+        named = (config or {}).get(key)
+        path = os.path.normpath(os.path.join(root, str((config or {}).get("path") or ""), named)) if isinstance(named, str) else None
+        if path and os.path.isdir(path):
+            return path
     return None
 
 
+def data_set_config(source: str, root: str) -> dict:
+    """The data set file below the root; the source ``d1`` may lack one and then has its fixed class names."""
+    yamls = find_yamls(root)
+    if yamls:
+        return load_yaml(min(yamls, key=lambda p: (p.count(os.sep), p)))
+    if source == "d1":
+        return {"names": list(D1_NAMES)}
+    raise ValueError(f"{source}: no data.yaml below {root}")
+
+
 def load_yaml(path: str) -> dict:
     """A data set file; where no YAML library is at hand, its flat keys and its list or map of names."""
     with open(path, encoding="utf-8") as f:
@@ -120,7 +137,7 @@ def list_images(spark: SparkSession, folder: str, content: bool = False) -> Data
 
 
 def image_size(data: bytes) -> tuple[int, int]:
-    """Width and height from the header of a PNG, JPEG, BMP or GIF file."""
+    """Width and height from the header of a PNG, JPEG, BMP, GIF, WEBP or TIFF file."""
     if data[:8] == b"\x89PNG\r\n\x1a\n":
         return struct.unpack(">II", data[16:24])
     if data[:2] == b"BM":
@@ -138,11 +155,51 @@ def image_size(data: bytes) -> tuple[int, int]:
                 h, w = struct.unpack(">HH", data[at + 5 : at + 9])
                 return w, h
             at += 2 + size
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        kind = data[12:16]
+        if kind == b"VP8X":
+            return 1 + int.from_bytes(data[24:27], "little"), 1 + int.from_bytes(data[27:30], "little")
+        if kind == b"VP8L" and data[20] == 0x2F:
+            bits = int.from_bytes(data[21:25], "little")
+            return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+        if kind == b"VP8 " and data[23:26] == b"\x9d\x01\x2a":
+            w, h = struct.unpack("<HH", data[26:30])
+            return w & 0x3FFF, h & 0x3FFF
+        raise ValueError("damaged WEBP")
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        order = "<" if data[:2] == b"II" else ">"
+        at = struct.unpack(order + "I", data[4:8])[0]
+        sizes = {}
+        for i in range(struct.unpack(order + "H", data[at : at + 2])[0]):
+            tag, kind = struct.unpack(order + "HH", data[at + 2 + 12 * i : at + 6 + 12 * i])
+            value = data[at + 10 + 12 * i : at + 14 + 12 * i]
+            if tag in (256, 257):
+                sizes[tag] = struct.unpack(order + ("H" if kind == 3 else "I"), value[: 2 if kind == 3 else 4])[0]
+        if len(sizes) == 2:
+            return sizes[256], sizes[257]
+        raise ValueError("damaged TIFF")
     raise ValueError("unknown image format")
 
 
+def check_body(data: bytes) -> None:
+    """Refuses a file that ends before its format says it does: what can be told without decoding."""
+    whole = True
+    if data[:4] == b"\x89PNG":
+        whole = b"IEND" in data[-16:]
+    elif data[:2] == b"\xff\xd8":
+        whole = b"\xff\xd9" in data[-64:]
+    elif data[:4] == b"GIF8":
+        whole = data.rstrip(b"\0")[-1:] == b";"
+    elif data[:2] == b"BM":
+        whole = len(data) >= struct.unpack("<I", data[2:6])[0]
+    elif data[:4] == b"RIFF":
+        whole = len(data) >= 8 + struct.unpack("<I", data[4:8])[0]
+    if not whole:
+        raise ValueError("truncated")
+
+
 def with_image_size(images: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` with ``width``, ``height`` and ``problem``: empty, over the size limit, or a header that can't be read."""
+    """``keep`` with ``width``, ``height`` and ``problem``: empty, over the size limit, a header that can't be read, or a body cut short."""
     schema = T.StructType([*(images.schema[k] for k in keep), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("problem", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +211,10 @@ def with_image_size(images: DataFrame, keep: list[str]) -> DataFrame:
                         raise ValueError("empty")
                     if len(data) > MAX_IMAGE_BYTES:
                         raise ValueError("too large")
-                    rows.append((*image_size(data), None))
-                except (ValueError, struct.error) as e:
+                    size = image_size(data)
+                    check_body(data)
+                    rows.append((*size, None))
+                except (ValueError, IndexError, struct.error) as e:
                     rows.append((None, None, f"invalid_image:{type(e).__name__}:{e}"))
             w, h, p = zip(*rows) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(w, pa.int32()), pa.array(h, pa.int32()), pa.array(p, pa.string())], schema.names)
@@ -199,6 +258,17 @@ def read_records(spark: SparkSession, path: str, schema: str, key: str = "works"
     return text.select(F.explode(F.from_json(body, f"array<struct<{schema}>>", {"mode": "FAILFAST"})).alias("r")).select("r.*")
 
 
+def read_detections(spark: SparkSession, path: str) -> DataFrame:
+    """``(class, confidence, bbox, zone_id)`` of a JSON file that is an array of detections; anything else is refused."""
+    with open(path, encoding="utf-8-sig") as f:
+        rows = json.load(f)
+    if not isinstance(rows, list) or not all(isinstance(r, dict) for r in rows):
+        raise ValueError(f"{path}: an array of objects is needed")
+    number = lambda x: None if x is None else float(x)
+    cut = [(r.get("class"), number(r.get("confidence")), [float(v) for v in r["bbox"]] if r.get("bbox") is not None else None, r.get("zone_id")) for r in rows]
+    return spark.createDataFrame(cut, "class string, confidence double, bbox array<double>, zone_id string")
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Ids, one a line, without blank lines and ``#`` comments."""
     return spark.read.text(path).select(F.trim("value").alias("pair_id")).where("pair_id <> '' AND NOT startswith(pair_id, '#')")

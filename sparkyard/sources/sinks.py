@@ -71,6 +71,14 @@ def data_yaml(root: str, splits: list[str]) -> str:
     return "\n".join(lines) + "\n"
 
 
+def data_yamls(root: str, sources: list[str]) -> dict[str, str]:
+    """By file name: the main configuration, and for each source one whose validation images are that source's alone."""
+    out = {"data.yaml": data_yaml(root, ["train", "val", "test"])}
+    for s in sources:
+        out[f"data_val_{s}.yaml"] = data_yaml(root, ["train", "val", "test"]).replace("val: images/val\n", f"val: images/val/{s}\n")
+    return out
+
+
 def write_json_report(spark: SparkSession, report: dict, path: str) -> None:
     _write_text(spark, path, json.dumps(report, ensure_ascii=False, indent=2, default=str) + "\n")
 
@@ -115,6 +123,12 @@ def flat_view(images: DataFrame) -> DataFrame:
     return x.join(twice, "flat_name")
 
 
+def flat_labels(labels: DataFrame) -> DataFrame:
+    """Label texts ``(path, content)`` without repeated lines; the first of each stays in its place."""
+    lines = F.array_distinct(F.filter(F.transform(F.split("content", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    return labels.withColumn("content", F.when(F.size(lines) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise(""))
+
+
 def mirrored(images: DataFrame, splits: tuple[str, ...] = ("train", "valid")) -> DataFrame:
     """Every image in each of the splits: the pool on which a final model is trained."""
     return images.drop("split").withColumn("split", F.explode(F.array(*map(F.lit, splits))))

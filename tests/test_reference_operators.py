@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkyard.functions import names, taxonomy, vectors
-from sparkyard.operators import catalog, dedup, detections, evaluate, graph, infer, labels, pairs, ranking, rebalance, validate
+from sparkyard.operators import catalog, dedup, detections, evaluate, fingerprints, graph, infer, labels, pairs, ranking, rebalance, validate
 from sparkyard.plans import detection_queries
 from sparkyard.sources import files, sinks
 from sparkyard.streaming import series
@@ -305,11 +305,11 @@ def test_requirement_problems(spark):
 
 
 def _png(w, h):
-    return b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">II", w, h) + b"\x08\x02\x00\x00\x00"
+    return b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">II", w, h) + b"\x08\x02\x00\x00\x00" + bytes(4) + struct.pack(">I", 0) + b"IEND" + bytes(4)
 
 
 def test_files(spark, tmp_path):
-    jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 4) + b"ab" + b"\xff\xc0" + struct.pack(">HBHHB", 11, 8, 30, 40, 1) + b"abc"
+    jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 4) + b"ab" + b"\xff\xc0" + struct.pack(">HBHHB", 11, 8, 30, 40, 1) + b"abc\xff\xd9"
     assert files.image_size(_png(7, 9)) == (7, 9) and files.image_size(jpeg) == (40, 30)
     root = tmp_path / "set"
     for name, data in {"train/images/a.PNG": _png(3, 4), "train/images/b.jpg": b"bad", "valid/images/c.jpg": jpeg, "train/labels/a.txt": b"0 .5 .5 .1 .1\n\n1 2\n", "data.yaml": b"nc: 2\nnames:\n  0: a\n  1: b\n"}.items():
@@ -330,6 +330,26 @@ def test_files(spark, tmp_path):
     assert files.read_records(spark, str(tmp_path / "w.json"), "work string, profile_id int").first()["profile_id"] == 1
     (tmp_path / "ids.txt").write_text("# c\n a1 \n\nb2\n")
     assert [r[0] for r in files.read_ids(spark, str(tmp_path / "ids.txt")).collect()] == ["a1", "b2"]
+    got = files.with_image_size(spark.createDataFrame([(1, bytearray(jpeg[:-2])), (2, bytearray(b"")), (3, None)], "i int, content binary"), ["i"]).collect()
+    assert [r["problem"].split(":")[-1] for r in got] == ["truncated", "empty", "empty"]
+    webp = lambda kind, body: b"RIFF" + struct.pack("<I", 12 + len(body)) + b"WEBP" + kind + struct.pack("<I", len(body)) + body
+    assert files.image_size(webp(b"VP8X", bytes(4) + b"\x06\0\0\x08\0\0")) == (7, 9) and files.image_size(webp(b"VP8L", b"\x2f" + struct.pack("<I", 6 | 8 << 14))) == (7, 9)
+    assert files.image_size(webp(b"VP8 ", bytes(3) + b"\x9d\x01\x2a" + struct.pack("<HH", 7, 9))) == (7, 9)
+    for o, head in (("<", b"II*\0"), (">", b"MM\0*")):
+        assert files.image_size(head + struct.pack(o + "IH", 8, 2) + struct.pack(o + "HHIHH", 256, 3, 1, 7, 0) + struct.pack(o + "HHII", 257, 4, 1, 9)) == (7, 9)
+    with pytest.raises(ValueError):
+        files.image_size(b"what is this")
+    (tmp_path / "d.json").write_text('[{"class": "truck", "confidence": 1, "bbox": [0, 0, 1, 1]}, {"class": "x"}]')
+    assert [tuple(r) for r in files.read_detections(spark, str(tmp_path / "d.json")).collect()] == [("truck", 1.0, [0.0, 0.0, 1.0, 1.0], None), ("x", None, None, None)]
+    with pytest.raises(ValueError):
+        files.read_detections(spark, str(tmp_path / "w.json"))
+    (tmp_path / "bare" / "pics").mkdir(parents=True)
+    assert files.parse_names(files.data_set_config("d1", str(tmp_path / "bare"))["names"])[1] == "excavator" and files.data_set_config("d6", str(root))["nc"] in (2, "2")
+    with pytest.raises(ValueError):
+        files.data_set_config("d6", str(tmp_path / "bare"))
+    assert files.split_folder(str(tmp_path / "bare"), "val", {"val": "pics"}).endswith("pics") and files.split_folder(str(tmp_path / "bare"), "val", {"val": "none"}) is None
+    low = infer.infer(im, lambda: infer.ConstantProvider([{"class": "truck", "confidence": 0.2}, {"class": "roller", "confidence": 0.25}]), ["path"], verify=True).withColumn("status", infer.status_of(F.col("problem"))).collect()
+    assert {r["path"].split("/")[-1]: (r["status"], None if r["detections"] is None else [d["class"] for d in r["detections"]]) for r in low} == {"a.PNG": (200, ["roller"]), "b.jpg": (415, None), "c.jpg": (200, ["roller"])}
     assert files.is_archive("X.TAR.GZ") and not files.is_archive("x.rar")
 
 
@@ -358,6 +378,35 @@ def test_sinks(spark, tmp_path):
     assert all(r["collides"] for r in sinks.flat_view(im).collect()) and sinks.mirrored(im).count() == 4
 
 
+def test_label_sinks(spark):
+    x = spark.createDataFrame([("a", "0 1 2\n 0 1 2 \r\n\n1 2 3\n0 1 2"), ("b", ""), ("c", "\n")], "path string, content string")
+    assert {r["path"]: r["content"] for r in sinks.flat_labels(x).collect()} == {"a": "0 1 2\n1 2 3\n", "b": "", "c": ""}
+    y = sinks.data_yamls("/r", ["d1", "d6"])
+    assert set(y) == {"data.yaml", "data_val_d1.yaml", "data_val_d6.yaml"} and "val: images/val/d6\n" in y["data_val_d6.yaml"] and "val: images/val\n" in y["data.yaml"]
+
+
+def test_fingerprints(spark):
+    rng = random.Random(9)
+    w, h = 40, 50
+    flat = [bytearray(rng.randrange(256) for _ in range(w * h * 3)), bytearray(b"\x80" * (w * h * 3)), bytearray(b"\x00"), None]
+    df = spark.createDataFrame([(i, w, h, x, "z") for i, x in enumerate(flat)], "i int, width int, height int, rgb binary, phash string")
+    r = fingerprints.fingerprints(df, ["i"]).orderBy("i").collect()
+    assert [x["problem"] for x in r] == [None, None, "wrong_size", "wrong_size"] and len(r[0]["grey"]) == 64 * 64 and len(r[0]["histogram"]) == 48
+    assert r[1]["dhash"] == 0 and abs(r[1]["grey"][5] - 128 / 255) < 1e-5 and [i for i, v in enumerate(r[1]["histogram"]) if v] == [8, 24, 40]
+    assert abs(sum(v * v for v in r[0]["histogram"]) - 1) < 1e-5
+    import numpy as np
+
+    a = np.arange(12.0).reshape(3, 4)
+    assert np.allclose(fingerprints.scaled(a, 3, 2), [[0.5, 2.5], [4.5, 6.5], [8.5, 10.5]]) and np.allclose(fingerprints.scaled(a, 3, 4), a)
+    assert fingerprints.fingerprints(df.limit(0), ["i"]).count() == 0
+
+
+def test_public_names():
+    import sparkyard
+
+    assert all(getattr(sparkyard, n) for n in sparkyard.__all__) and not hasattr(sparkyard, "llm_nothing")
+
+
 def test_taxonomy():
     rows = taxonomy.alias_rows()
     assert len({r[0] for r in rows}) == len(rows) and {r[1] for r in rows if r[1]} == set(taxonomy.CLASSES)
