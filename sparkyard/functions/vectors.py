@@ -63,7 +63,7 @@ def perceptual_hashes(gray32: list[list[float]], gray9x8: list[list[float]]) ->
     import numpy as np
 
     d = np.array(dct_matrix(32))
-    low = (d @ np.asarray(gray32, float) @ d.T)[:8, :8].reshape(-1)
+    low = np.round((d @ np.asarray(gray32, float) @ d.T)[:8, :8].reshape(-1), 9)
     bits = low > np.median(low[1:])
     bits[0] = False
     g = np.asarray(gray9x8, float)
