@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkyard.functions.text import file_name, folded, path_text, split_name, strip_or_null
+from sparkyard.operators.ranking import row_numbers
 
-#: Snapshot dates of a delivery; more are refused, as their list is sent to all tasks.
+#: Snapshot dates whose list is sent to all tasks; where there are more, rows are joined to it by a shuffle.
 MAX_SNAPSHOTS = 100_000
 
 
-def snapshot_changes(df: DataFrame, snapshot: Column, key: Column, latest: Column, compared: list[Column]) -> DataFrame:
+def snapshot_changes(df: DataFrame, snapshot: Column, key: Column, latest: Column, compared: list[Column], max_snapshots: int = MAX_SNAPSHOTS) -> DataFrame:
     """``(snapshot, key, change)`` with change ``added``, ``removed`` or ``changed`` against the snapshot before.
 
     Within a snapshot the row of a key with the greatest ``latest`` is valid (null comes first); of rows that tie in
@@ -25,18 +26,19 @@ def snapshot_changes(df: DataFrame, snapshot: Column, key: Column, latest: Colum
     is null are left out. Two nulls of a compared column are equal. A single snapshot, or none, has no changes.
     """
     rows = df.select(snapshot.alias("s"), key.alias("key"), F.struct(latest.alias("at"), _row_hash(compared).alias("h")).alias("row")).where("s IS NOT NULL AND key IS NOT NULL")
-    dates = rows.select("s").distinct().orderBy("s").limit(MAX_SNAPSHOTS + 1).collect()
-    if len(dates) > MAX_SNAPSHOTS:
-        raise ValueError(f"more than {MAX_SNAPSHOTS} snapshots")
+    dates = rows.select("s").distinct().orderBy("s").limit(max_snapshots + 1).collect()
     spark = df.sparkSession
     order = [r["s"] for r in dates]
-    sides = spark.createDataFrame(
-        [(s, n, side) for i, s in enumerate(order) for n, side in ((s, True), (order[i + 1] if i + 1 < len(order) else None, False)) if n is not None and not (side and i == 0)],
-        rows.select(F.col("s"), F.col("s").alias("snapshot"), F.lit(True).alias("later")).schema,
-    )
+    if len(order) <= max_snapshots:
+        sides = [(s, n, side) for i, s in enumerate(order) for n, side in ((s, True), (order[i + 1] if i + 1 < len(order) else None, False)) if n is not None and not (side and i == 0)]
+        sides = F.broadcast(spark.createDataFrame(sides, rows.select(F.col("s"), F.col("s").alias("snapshot"), F.lit(True).alias("later")).schema))  # at most twice as many rows as snapshots
+    else:
+        n = row_numbers(rows.select("s").distinct(), [], [F.asc("s")], "n")
+        after = n.select(F.col("s").alias("snapshot"), (F.col("n") - 1).alias("n"))
+        sides = n.where("n > 1").select("s", F.col("s").alias("snapshot"), F.lit(True).alias("later")).unionByName(n.join(after, "n").select("s", "snapshot", F.lit(False).alias("later")))
     row = lambda later: F.max(F.when(F.col("later") == later, F.col("row")))["h"]
     return (
-        rows.join(F.broadcast(sides), "s")  # at most MAX_SNAPSHOTS times two rows
+        rows.join(sides, "s")
         .groupBy("snapshot", "key")
         .agg(row(False).alias("old"), row(True).alias("new"))
         .select("snapshot", "key", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed").alias("change"))

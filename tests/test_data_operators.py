@@ -63,6 +63,14 @@ def _cases(payload):
                 yield child, n, i
 
 
+def test_many_snapshots(spark):
+    rng = random.Random(5)
+    rows = [(d, k, rng.randint(0, 2), i) for i in range(3) for d in (1, 4, 5, 9, None) for k in ("a", "b", "c", None) if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "d int, k string, v int, at int")
+    run = lambda most: sorted(tuple(r) for r in snapshot_diff.snapshot_changes(df, F.col("d"), F.col("k"), F.col("at"), [F.col("v")], max_snapshots=most).collect())
+    assert run(2) == run(100) and len(run(2)) > 3 and {r[0] for r in run(2)} <= {4, 5, 9}
+
+
 def _random(rng, depth=0):
     kind = rng.choice(["null", "number", "text", "list", "object", "bool"] if depth < 3 else ["null", "number"])
     if kind == "list":
