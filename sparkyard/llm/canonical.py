@@ -9,12 +9,15 @@ as near by the reference frequency only within one class: a value as near to sev
 reach, is reported as a miss (-1).
 
 Values and forms are compared folded: NFKC, lower case, look-alike letters and digits brought into the script of the
-rest, only letters and digits, without the spaces between words. The reference list is small by contract (checked)
-and goes to all tasks; the values never leave their partition, each distinct one is worked out once in a Python worker and query.
+rest, only letters and digits, without the spaces between words. A reference list of up to ``MAX_FORMS`` entries goes to
+all tasks; the values never leave their partition, each distinct one is worked out once in a Python worker and query. A
+longer list stays a table: the deletions of its letters and of those of the distinct values are joined
+(:func:`map_values_by_join`), with the same result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 import uuid
@@ -28,9 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkyard.functions.text import strip_or_null
+from sparkyard.operators.ranking import row_numbers
+from sparkyard.session import Scratch
 
 MAX_EDITS = 2
-#: Reference entries that are sent to all tasks at most; a dictionary takes about 100 KB an entry. A longer list is refused.
+#: Reference entries that are sent to all tasks at most; a dictionary takes about 100 KB an entry.
 MAX_FORMS = 5_000
 #: Distinct values a Python worker remembers over the tasks of a query.
 MEMO = 200_000
@@ -195,6 +200,13 @@ class Forms:
             return -1, -1, best
         return self.entries[top[2]][0], top[2], best
 
+    def nearest(self, key: str) -> list[tuple[int, float, int]]:
+        """``(edits, weighted distance, entry)`` of each entry in reach, by its best form."""
+        best: dict[int, tuple[int, float]] = {}
+        for (n, form), d in self.near(key).items():
+            best[n] = min(best.get(n, (d, weighted(key, form))), (d, weighted(key, form)))
+        return [(*v, n) for n, v in best.items()]
+
 
 @lru_cache(maxsize=2)
 def forms_of(entries: tuple) -> Forms:
@@ -202,13 +214,16 @@ def forms_of(entries: tuple) -> Forms:
     return Forms(list(entries))
 
 
-def reference_entries(reference: DataFrame) -> list[tuple[int, str, int]]:
-    """The written forms of the reference table ``(class_id, class_name, alias)``, each once per class, all of frequency 0."""
-    rows = reference.where("class_id IS NOT NULL").select("class_id", "class_name", "alias").distinct().limit(MAX_FORMS + 1).collect()
-    entries = sorted({(r[0], t) for r in rows for t in (r[1], r[2]) if t and t.strip()})
-    if max(len(rows), len(entries)) > MAX_FORMS:
-        raise ValueError(f"more than {MAX_FORMS} reference entries")
-    return [(c, t, 0) for c, t in entries]
+def written_forms(reference: DataFrame) -> DataFrame:
+    """``(class_id, form)`` of the reference table ``(class_id, class_name, alias)``: each written form once per class."""
+    x = reference.where("class_id IS NOT NULL").select("class_id", F.explode(F.array("class_name", "alias")).alias("form"))
+    return x.where(strip_or_null(F.col("form")).isNotNull()).distinct()
+
+
+def reference_entries(reference: DataFrame, most: int = MAX_FORMS) -> list[tuple[int, str, int]] | None:
+    """The written forms in order, all of frequency 0; null if there are more than ``most``."""
+    rows = written_forms(reference).limit(most + 1).collect()
+    return None if len(rows) > most else sorted((r["class_id"], r["form"], 0) for r in rows)
 
 
 def with_frequency(spark: SparkSession, df: DataFrame, value: str, entries: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
@@ -241,6 +256,55 @@ def map_values(spark: SparkSession, df: DataFrame, value: str, entries: list[tup
     return src.mapInArrow(run, schema)
 
 
+_DELETED = "text string, n long, h long"
+
+
+def _deleted(edits: int, endings: tuple[str, ...]):
+    """Of rows ``(text, n)`` a row for all that deletions make of the letters in order; ``h`` is a hash of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, n in zip(b.column("text").to_pylist(), b.column("n").to_pylist()):
+                whole = "".join(fold(text))
+                for ending in endings if whole or endings == ("",) else ():
+                    keys = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big", signed=True) for x in deletes("".join(sorted(whole + ending)), reach(len(whole + ending), edits))]
+                    same = lambda v, t: pa.array([v] * len(keys), t)  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([same(text, pa.string()), same(n, pa.int64()), pa.array(keys, pa.int64())], ["text", "n", "h"])
+
+    return run
+
+
+def map_values_by_join(spark: SparkSession, df: DataFrame, value: str, forms: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
+    """As :func:`map_values` for a reference list of any length: ``forms`` is ``(class_id, form, n)`` with the frequency ``n``.
+
+    Both sides' deletions are joined by hash, candidates are verified as in the dictionary, and the best of a value is picked by aggregations over its candidates.
+    Distinct values are worked on, so one that many rows share is no more work; the rows get their result by a join whose sides are written before.
+    """
+    scratch = Scratch(spark, "canonical")
+    df = df.drop("class_id", "matched", "edits")
+    entries = scratch.save(row_numbers(forms, [], [F.asc("class_id"), F.asc("form")], "entry"), "entries")
+    values = scratch.save(df.where(strip_or_null(F.col(value)).isNotNull()).select(F.col(value).alias("text")).distinct(), "values")
+    left = values.select("text", F.lit(0).cast("bigint").alias("n")).mapInArrow(_deleted(edits, ("",)), _DELETED)
+    right = entries.select(F.col("form").alias("text"), F.col("entry").cast("bigint").alias("n")).mapInArrow(_deleted(edits, ("", *_PLURALS)), _DELETED)
+    met = left.select("h", F.col("text").alias("value")).join(right.select("h", F.col("text").alias("form"), F.col("n").alias("entry")), "h").select("value", "form", "entry").distinct()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for v, form, entry in zip(*(b.column(c).to_pylist() for c in ("value", "form", "entry"))):
+                out += [(v, entry, d, w) for d, w, _ in Forms([(0, form, 0)], edits).nearest("".join(fold(v)))]
+            columns = zip(*out) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.float64()))], ["value", "entry", "edits", "far"])
+
+    near = met.mapInArrow(verify, "value string, entry long, edits int, far double").join(entries.withColumn("entry", F.col("entry").cast("bigint")), "entry")
+    near = scratch.save(near.select("value", "edits", "far", "class_id", "form", "n", "entry"), "near")
+    best = near.groupBy("value").agg(F.min(F.struct("edits", "far")).alias("b"))
+    top = near.join(best, "value").where("edits = b.edits AND far = b.far").groupBy("value").agg(F.count_distinct("class_id").alias("k"), F.min(F.struct(-F.col("n"), "entry", "class_id", "form", "edits")).alias("t"))
+    top = scratch.save(top.where("k = 1").select(F.col("value").alias("$v"), F.col("t.class_id").alias("class_id"), F.col("t.form").alias("matched"), F.col("t.edits").alias("edits")), "best")
+    x = df.join(top, F.col(value) == F.col("$v"), "left").drop("$v")
+    return x.withColumn("class_id", F.when(strip_or_null(F.col(value)).isNotNull(), F.coalesce("class_id", F.lit(-1))))
+
+
 def current_audit(audit: DataFrame) -> DataFrame:
     """One row per ``audit_id``: of its rows with something written the one with the latest ``recorded_at``, then the greatest value."""
     written = audit.where(F.col("audit_id").isNotNull() & strip_or_null(F.col("raw_class")).isNotNull())
@@ -250,12 +314,17 @@ def current_audit(audit: DataFrame) -> DataFrame:
     return written.groupBy("audit_id").agg(row).select("audit_id", "r.source", "r.raw_class", "r.bbox_count")
 
 
-def mapped_classes(spark: SparkSession, audit: DataFrame, reference: DataFrame, ranked: bool = True) -> DataFrame:
+def mapped_classes(spark: SparkSession, audit: DataFrame, reference: DataFrame, ranked: bool = True, max_forms: int = MAX_FORMS) -> DataFrame:
     """``(audit_id, source, raw_class, bbox_count, class_id, matched, edits)``.
 
     If not ``ranked``, ``matched`` may be any of the forms of the class that are as near: frequencies decide nothing else, and aren't counted.
     """
-    rows, entries = current_audit(audit), reference_entries(reference)
+    rows, entries = current_audit(audit), reference_entries(reference, max_forms)
+    if entries is None:
+        forms = written_forms(reference)
+        n = rows.groupBy(F.col("raw_class").alias("form")).agg(F.count(F.lit(1)).alias("n")) if ranked else None
+        forms = forms.withColumn("n", F.lit(0).cast("bigint")) if n is None else forms.join(n, "form", "left").select("class_id", "form", F.coalesce("n", F.lit(0)).alias("n"))
+        return map_values_by_join(spark, rows, "raw_class", forms)
     return map_values(spark, rows, "raw_class", with_frequency(spark, rows, "raw_class", entries) if ranked else entries)
 
 

@@ -96,6 +96,27 @@ def test_every_form_in_reach_is_found():
         assert f.find("".join(w))[0] == (classes.pop() if len(classes) == 1 else -1)
 
 
+def test_long_lists_by_join(spark):
+    """A list too long to send gives what the dictionary gives, frequencies and ties included."""
+    rng = random.Random(7)
+    entries = [*ENTRIES, (7, "dump trick", 0), (8, "one two three four five", 0), (9, "abcdef", 0), (10, "abcdeg", 0), (11, "a", 0)]
+    rows, t = [], dt.datetime(2031, 1, 1)
+    for i in range(250):
+        w = list(rng.choice(entries)[1])
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 1)] = rng.choice(["", "x", " ", "а", "ck"])
+        rows.append((i, "d", "".join(w), 1, t))
+    rows += [(900 + i, "d", x, 1, t) for i, x in enumerate(["abcdeh", "dumper truck", "five four three two one", " ", None, "???", "dump truck", "dump truck"])]
+    audit = spark.createDataFrame(rows, "audit_id long, source string, raw_class string, bbox_count int, recorded_at timestamp")
+    ref = spark.createDataFrame([(i, a, " ") for i, a, _ in entries], "class_id int, class_name string, alias string")
+    for ranked in (True, False):
+        a, b = (c.mapped_classes(spark, audit, ref, ranked, n) for n in (c.MAX_FORMS, 3))
+        cut = ["audit_id", "class_id", "edits", *(["matched"] if ranked else [])]
+        assert sorted(tuple(r) for r in a.select(cut).collect()) == sorted(tuple(r) for r in b.select(cut).collect()) and a.columns == b.columns
+    assert c.mapped_classes(spark, audit.limit(0), ref, max_forms=3).count() == 0
+
+
 def test_audit_rows(spark):
     t = lambda h: dt.datetime(2031, 1, 1, h)
     rows = [(1, "d1", "Tower-Crane", 3, t(1)), (1, "d1", "Tower-Crane", 3, t(1)), (2, "d1", None, 1, t(1)), (3, "d1", " ", 1, t(1)), (4, "d1", "hoist", None, t(1)), (5, "d1", "hoist", 4, t(1)), (None, "d1", "truck", 1, t(1)), (6, "d1", "truck", 1, t(1)), (6, "d1", "mobile crane", 1, t(2)), (6, "d1", None, 1, t(3))]
