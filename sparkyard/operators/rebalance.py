@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkyard.operators import graph
+from sparkyard.session import Scratch
 
 SPLITS = ("train", "val", "test")
 #: Fixed value: the seed of the random restarts.
@@ -69,13 +70,20 @@ def _ids_batch(rows: list[tuple[str, int, str]]) -> pa.RecordBatch:
 
 
 def group_summary(images: DataFrame, boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Images per (source, group, split) and boxes per (source, group, split, class); rows without a group are out."""
+    """Images per (source, group, split) and boxes per (source, group, split, class), from :func:`_saved` tables; rows without a group are out."""
     x = images.where("group_id IS NOT NULL AND split IS NOT NULL")
     n = x.groupBy("source", "group_id", "split").agg(F.count(F.lit(1)).alias("images"))
-    b = boxes.join(x.select("image_id", "source", "group_id", "split"), "image_id").groupBy("source", "group_id", "split", "class").agg(F.count(F.lit(1)).alias("boxes"))
+    b = boxes.join(x, "image_id").groupBy("source", "group_id", "split", "class").agg(F.sum("n").alias("boxes"))
     return n, b
 
 
+def _saved(spark: SparkSession, images: DataFrame, boxes: DataFrame, split: str = "split") -> tuple[DataFrame, DataFrame]:
+    """The columns of the images that summaries take, and boxes counted by image and class; written, as both are read several times."""
+    scratch = Scratch(spark, "rebalance")
+    x = images.select("image_id", "source", "group_id", F.col(split).alias("split")).where("split IS NOT NULL")
+    return scratch.save(x, "images"), scratch.save(boxes.groupBy("image_id", "class").agg(F.count(F.lit(1)).alias("n")), "boxes")
+
+
 def _collect(df: DataFrame) -> list:
     rows = df.limit(MAX_SUMMARY + 1).collect()
     if len(rows) > MAX_SUMMARY:
@@ -90,7 +98,7 @@ def greedy_assignment(spark: SparkSession, images: DataFrame, boxes: DataFrame)
     with weight 0.15 from the box counts by class, stay least; ties by a digest of group and split. Runs on the driver over the
     per-group summary of the groups with a group id only, whose size is checked.
     """
-    n, b = (_collect(x) for x in group_summary(images.withColumn("split", F.col("original_split")), boxes))
+    n, b = (_collect(x) for x in group_summary(*_saved(spark, images, boxes, "original_split")))
     out = []
     for source in sorted({r["source"] for r in n}):
         count, held = defaultdict(lambda: defaultdict(int)), defaultdict(lambda: defaultdict(int))
@@ -201,11 +209,12 @@ def descend(groups: list[dict], total_images: dict[str, int], total_boxes: dict[
 
 def rebalance(spark: SparkSession, images: DataFrame, boxes: DataFrame, restarts: int = 80) -> DataFrame:
     """``(source, group_id, destination)`` of each group over several splits, by :func:`descend` over the checked summary."""
+    images, boxes = _saved(spark, images, boxes)
     n, b = group_summary(images, boxes)
     several = n.groupBy("source", "group_id").agg(F.countDistinct("split").alias("k")).where("k > 1").drop("k")
     rows, held = _collect(n.join(several, ["source", "group_id"])), _collect(b.join(several, ["source", "group_id"]))
-    images_of = {(r[0], r[1]): r[2] for r in images.where("split IS NOT NULL").groupBy("source", "split").count().collect()}
-    boxes_of = {(r[0], r[1], r[2]): r[3] for r in boxes.join(images.select("image_id", "source", "split"), "image_id").where("split IS NOT NULL").groupBy("source", "split", "class").count().collect()}
+    images_of = {(r[0], r[1]): r[2] for r in images.groupBy("source", "split").count().collect()}
+    boxes_of = {(r[0], r[1], r[2]): r[3] for r in boxes.join(images, "image_id").groupBy("source", "split", "class").agg(F.sum("n")).collect()}
     out, rng = [], random.Random(SEED)  # one generator for all sources, in their order
     for source in sorted({r["source"] for r in rows}):
         groups: dict[str, dict] = {}
