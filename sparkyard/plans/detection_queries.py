@@ -47,16 +47,17 @@ def observed(s, d):
     return catalog.look_up(x, "planned_work", works).drop("how")
 
 
-def routed(s, d):
+def routed(s, d, x=None):
     d0 = shred.detections(_levels(s, d, "detections"))
-    zones = observed(s, d).select("record_id", "obs_no", "target_zone")
+    zones = (observed(s, d) if x is None else x).select("record_id", "obs_no", "target_zone")
     return dt.routed(dt.normalized(d0.join(zones, ["record_id", "obs_no"], "left").withColumn("frame_zone", F.col("target_zone"))))
 
 
-def frames(s, d):
+def frames(s, d, x=None):
     """Observations with the classes that were accepted and verified; there are only as many as the taxonomy has."""
-    ok = routed(s, d).where("bucket = 'accepted'").groupBy("record_id", "obs_no").agg(F.collect_set("class").alias("accepted"), F.collect_set(F.when(F.col("zone_verified"), F.col("class"))).alias("verified"))
-    x = observed(s, d).join(ok, ["record_id", "obs_no"], "left")
+    x = observed(s, d) if x is None else x
+    ok = routed(s, d, x).where("bucket = 'accepted'").groupBy("record_id", "obs_no").agg(F.collect_set("class").alias("accepted"), F.collect_set(F.when(F.col("zone_verified"), F.col("class"))).alias("verified"))
+    x = x.join(ok, ["record_id", "obs_no"], "left")
     e = F.array().cast("array<string>")
     conditions = requirements(s).where("condition IS NOT NULL").groupBy("profile_id").agg(F.collect_set("condition").alias("c"))
     x = x.join(F.broadcast(conditions), "profile_id", "left").withColumn("active", F.when(F.col("all_active"), F.coalesce("c", e)).otherwise(e))
@@ -68,26 +69,26 @@ def _requirement_rows(s, d):
 
 
 def _summary(s, d):
-    f = frames(s, d)
+    f = Scratch(s, "frames").save(frames(s, d))
     x = dt.frame_summary(f, dt.requirement_results(f, requirements(s)))
     return x.select("frame_key.*", "satisfied", "missing", "uncertain", "supporting", "score", "coverage")
 
 
-def _window(s, d):
+def _window(s, d, x=None):
     conf = shred.records(_levels(s, d, "records")).where("mode = 'temporal'").select("record_id", dt.number(F.col("window_seconds")).alias("seconds"))
-    x = observed(s, d).where("ts IS NOT NULL").join(conf, "record_id")
+    x = (observed(s, d) if x is None else x).where("ts IS NOT NULL").join(conf, "record_id")
     return dt.trailing_window(x, ["record_id"], "ts", F.col("seconds")).select("record_id", "obs_no")
 
 
 def _persistence(s, d):
-    kept = _window(s, d)
-    f = frames(s, d).join(kept, ["record_id", "obs_no"])
+    x = observed(s, d)
+    f = Scratch(s, "frames").save(frames(s, d, x).join(_window(s, d, x), ["record_id", "obs_no"]))
     r = dt.requirement_results(f, requirements(s)).select("frame_key.*", "id", "bucket").join(f.select("record_id", "obs_no", "ts"), ["record_id", "obs_no"])
     return dt.persistence(r, f.groupBy("record_id").agg(F.count(F.lit(1)).alias("n")), ["record_id"])
 
 
-def _frames_and_results(s, d):
-    f = Scratch(s, "frames").save(frames(s, d))
+def _frames_and_results(s, d, x=None):
+    f = Scratch(s, "frames").save(frames(s, d, x))
     return f, Scratch(s, "results").save(dt.requirement_results(f, requirements(s)))
 
 
@@ -98,15 +99,17 @@ def _instants(s, d, f=None, r=None):
 
 
 def _evidence(s, d):
-    f, r = _frames_and_results(s, d)
-    rows = routed(s, d).select(F.struct("record_id", "obs_no").alias("frame_key"), "bucket", "class")
+    x = observed(s, d)
+    f, r = _frames_and_results(s, d, x)
+    rows = routed(s, d, x).select(F.struct("record_id", "obs_no").alias("frame_key"), "bucket", "class")
     return status.evidence(f, requirements(s), r, rows).select("frame_key.*", "code", "severity", "requirement_id", "n", F.array_join("classes", ";").alias("classes"))
 
 
 def _series(s, d, more):
     """The frames of the window of each series, with their results and what persists."""
-    f, r = _frames_and_results(s, d)
-    kept = Scratch(s, "window").save(_window(s, d))
+    x = observed(s, d)
+    f, r = _frames_and_results(s, d, x)
+    kept = Scratch(s, "window").save(_window(s, d, x))
     f = f.join(kept, ["record_id", "obs_no"])
     r = r.select("frame_key.*", "id", "bucket", "ord", "pos", "found").join(f.select("record_id", "obs_no", "ts"), ["record_id", "obs_no"])
     p = Scratch(s, "persistence").save(dt.persistence(r, f.groupBy("record_id").agg(F.count(F.lit(1)).alias("n")), ["record_id"]))
