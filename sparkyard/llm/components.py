@@ -9,7 +9,7 @@ both sides of a join must be shuffled for this join only; so minima are written
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sparkyard.functions.text import file_name
@@ -44,14 +44,13 @@ def hash_to_min(spark: SparkSession, links: DataFrame, scratch: Scratch, max_rou
     An empty input gives an empty result; repeated links and links to itself change nothing.
     """
     first = links.select(F.explode(F.array(*(F.struct(F.col(v).alias("v"), F.col(u).alias("u")) for v in "ab" for u in "ab"))).alias("e"))
-    state, path = scratch.write(first.select("e.v", "e.u").distinct(), "clusters")
-    seen = _fingerprint(state)
+    state, path, seen = _written(scratch, first.select("e.v", "e.u").distinct())
     for _ in range(max_rounds):
         low, low_path = scratch.write(state.groupBy("v").agg(F.min("u").alias("m")), "low")
-        new, new_path = scratch.write(_sent(state, low), "clusters")
+        new, new_path, now = _written(scratch, _sent(state, low))
         scratch.drop(path)
         scratch.drop(low_path)
-        state, path, now = new, new_path, _fingerprint(new)
+        state, path = new, new_path
         if now == seen:
             return state.groupBy("v").agg(F.min("u").alias("root"))
         seen = now
@@ -64,10 +63,11 @@ def _sent(state: DataFrame, low: DataFrame) -> DataFrame:
     return sent.select("e.v", "e.u").distinct()
 
 
-def _fingerprint(state: DataFrame) -> tuple:
-    """Number and order-free digest of the rows; a changed state differs in it."""
-    h = F.xxhash64("v", "u")
-    return tuple(state.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(20,0)")), F.bit_xor(h)).first())
+def _written(scratch: Scratch, state: DataFrame) -> tuple[DataFrame, str, tuple]:
+    """The state as a written table, its path, and number and order-free digest of its rows, taken while it is written; a changed state differs in it."""
+    h, seen = F.xxhash64("v", "u"), Observation()
+    table, path = scratch.write(state.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(20,0)")).alias("sum"), F.bit_xor(h).alias("xor")), "clusters")
+    return table, path, tuple(seen.get[k] for k in ("n", "sum", "xor"))
 
 
 def name_groups(spark: SparkSession, links: DataFrame) -> DataFrame:
