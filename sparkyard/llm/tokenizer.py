@@ -40,7 +40,7 @@ NAME = "byte_bpe_50k"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
 #: Characters worked on at once, words kept in the table, the length up to which a word is kept, and transitions kept.
-BATCH_CHARS, TABLE_WORDS, TABLE_CHARS, TABLE_ARCS = 400_000, 400_000, 64, 2_000_000
+BATCH_CHARS, TABLE_WORDS, TABLE_CHARS, TABLE_ARCS = 400_000, 400_000, 64, 500_000
 _SHIFT, _NEVER = 24, float("inf")
 
 
