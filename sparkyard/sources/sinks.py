@@ -51,16 +51,19 @@ def label_text(boxes: DataFrame) -> DataFrame:
 
 
 def write_label_files(labels: DataFrame, folder: str) -> None:
-    """One file per row ``(path, content)`` below a folder that all executors share."""
+    """One file per row ``(path, content)`` below a folder that all executors share: an absolute path, or the address of a store that Arrow's file systems know."""
 
     def write(rows) -> None:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
         for r in rows:
-            target = os.path.join(folder, r["path"])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
+            target = f"{root}/{r['path']}"
+            store.create_dir(target.rsplit("/", 1)[0], recursive=True)
             part = f"{target}.{uuid.uuid4().hex}"  # a task that runs twice leaves a whole file
-            with open(part, "w", encoding="utf-8") as f:
-                f.write(r["content"])
-            os.replace(part, target)
+            with store.open_output_stream(part) as f:
+                f.write(r["content"].encode())
+            store.move(part, target)
 
     labels.select("path", "content").foreachPartition(write)
 

@@ -401,6 +401,29 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprints(df.limit(0), ["i"]).count() == 0
 
 
+def test_unions_snapshots_and_checkpoints(spark, tmp_path):
+    a, b = spark.createDataFrame([(1, "x")], "i int, s string"), spark.createDataFrame([(2,)], "i int")
+    assert {tuple(r) for r in files.union_tagged([a, b]).collect()} == {(1, "x", 1), (2, None, 2)}
+    for day, row in (("one", "1,a"), ("two", "2,\"b, c\"")):
+        (tmp_path / day / "metadata").mkdir(parents=True)
+        (tmp_path / day / "metadata" / "manifest.csv").write_text(f"\ufeffi,s\n{row}\n", encoding="utf-8")
+    got = files.read_snapshots(spark, str(tmp_path / "*" / "metadata" / "manifest.csv"))
+    assert {(r["i"], r["s"]) for r in got.collect()} == {("1", "a"), ("2", "b, c")} and got.columns == ["i", "s", "snapshot_id"]
+    (tmp_path / "x.json").write_text("\ufeff{\"a\": 1}", encoding="utf-8")
+    assert files.read_json_text(str(tmp_path / "x.json")) == {"a": 1}
+    paths = ["/m/old/best.pth", "/m/run/last.pth", "/m/run/deep/best.pth", "/m/run/best.pth"]
+    assert files.checkpoint_rank(paths, ["best.pth", "last.pth"], required="run") == "/m/run/best.pth"
+    assert files.checkpoint_rank(paths, ["last.pth"], forbidden="run") is None
+
+
+def test_candidates_in_scope(spark):
+    rows = [(1, "d6", "train", 0, 0), (2, "d6", "val", 1, 1), (3, "d1", "train", 0, 0), (4, "d1", "test", 1, 1), (5, None, "val", 0, 0)]
+    df = spark.createDataFrame(rows, "id long, source string, split string, phash long, dhash long")
+    assert [tuple(r)[:2] for r in pairs.cross_split_candidates(df, sources=("d6",)).collect()] == [(1, 2)]
+    assert {tuple(r)[:2] for r in pairs.cross_split_candidates(df).collect()} == {(1, 2), (3, 4)}
+    assert pairs.cross_split_candidates(df.limit(0)).count() == 0
+
+
 def test_public_names():
     import sparkyard
 
