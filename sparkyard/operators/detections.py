@@ -174,10 +174,10 @@ def series_keys(obs: DataFrame, series: list[str], key: list[str]) -> DataFrame:
     return obs.groupBy(*series).agg(F.count_distinct(F.struct(*key)).alias("n_keys"))
 
 
-def persistence(results: DataFrame, sizes: DataFrame, series: list[str], least: int = MIN_OBSERVATIONS, ratio: float = PERSISTENCE) -> DataFrame:
+def persistence(results: DataFrame, sizes: DataFrame, series: list[str], least: Column | int = MIN_OBSERVATIONS, ratio: Column | float = PERSISTENCE) -> DataFrame:
     """Per series and requirement how often it was missing and uncertain, and whether that persists.
 
-    ``results``: series, ts, id, bucket; ``sizes``: series and ``n``, its observations. Missing persists at a share of ``ratio`` or more; else, if it was
+    ``results``: series, ts, id, bucket; ``sizes``: series and ``n``, its observations; ``least`` and ``ratio`` are numbers, or columns of ``sizes``. Missing persists at a share of ``ratio`` or more; else, if it was
     ever uncertain, missing and uncertain together may persist as uncertain. A series of fewer than ``least`` observations has no persistence. Shares are compared
     unrounded, shown to 3 decimals.
     """

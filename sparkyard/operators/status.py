@@ -78,20 +78,20 @@ def evidence(frames: DataFrame, requirements: DataFrame, results: DataFrame, rou
     return out.select("frame_key", (F.col("seq") + 1).alias("seq"), name(0).alias("code"), name(1).alias("severity"), "e.requirement_id", "e.n", "e.classes")
 
 
-def series_status(instants: DataFrame, persistent: DataFrame, series: list[str], least: int = dt.MIN_OBSERVATIONS) -> DataFrame:
+def series_status(instants: DataFrame, persistent: DataFrame, series: list[str], least: Column | int = dt.MIN_OBSERVATIONS) -> DataFrame:
     """Per series ``(n, instant_status, persistent_status, status, persistent_missing, persistent_uncertain, transient_warnings)``.
 
     ``instants``: series, ts, status of the observations in the window; ``persistent``: the rows of :func:`sparkyard.operators.detections.persistence`. The last
-    observation decides where its work is unknown or can't be monitored; fewer than ``least`` observations show the instant state alone.
+    observation decides where its work is unknown or can't be monitored; fewer than ``least`` observations, a number or a column of ``instants``, show the instant state alone.
     The lists hold requirement ids in order. Warnings that do not persist are counted where the series is fine.
     """
-    x = instants.groupBy(*series).agg(F.count(F.lit(1)).alias("n"), F.max_by("status", "ts").alias("instant_status"), F.count_if(F.col("status") == WARNING).alias("warnings"))
+    x = instants.groupBy(*series).agg(F.count(F.lit(1)).alias("n"), F.max_by("status", "ts").alias("instant_status"), F.count_if(F.col("status") == WARNING).alias("warnings"), F.max(F.lit(least) if isinstance(least, int) else least).alias("least"))
     ids = lambda s: F.array_sort(F.collect_set(F.when(F.col("state") == s, F.col("id"))))
     p = persistent.groupBy(*series).agg(ids("persistent_missing").alias("pm"), ids("persistent_uncertain").alias("pu"))  # the requirements of one profile
     none = F.array().cast("array<string>")
     x = x.join(p, series, "left")
     final = F.col("instant_status").isin(UNKNOWN_WORK, NOT_MONITORABLE)
-    few = ~final & (F.col("n") < least)
+    few = ~final & (F.col("n") < F.col("least"))
     lists = [F.when(final | few, none).otherwise(F.coalesce(c, none)).alias(n) for c, n in (("pm", "persistent_missing"), ("pu", "persistent_uncertain"))]
     x = x.select(*series, "n", "instant_status", final.alias("final"), few.alias("few"), "warnings", *lists)
     state = F.when(F.col("final"), F.col("instant_status")).when(F.col("few"), INSUFFICIENT).when(F.size("persistent_missing") > 0, WARNING).when(F.size("persistent_uncertain") > 0, UNCERTAIN).otherwise(OK)

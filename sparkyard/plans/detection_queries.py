@@ -105,6 +105,13 @@ def _evidence(s, d):
     return status.evidence(f, requirements(s), r, rows).select("frame_key.*", "code", "severity", "requirement_id", "n", F.array_join("classes", ";").alias("classes"))
 
 
+def _settings(s, d):
+    """The least number of observations and the ratio that each request asks for; the usual ones where it asks for none that can be."""
+    c = shred.records(_levels(s, d, "records")).select("record_id", dt.number(F.col("min_observations")).alias("m"), dt.number(F.col("persistence_ratio")).alias("r"))
+    least = F.when((F.col("m") >= 1) & (F.col("m") == F.floor("m")), F.col("m")).otherwise(float(dt.MIN_OBSERVATIONS))
+    return c.select("record_id", least.alias("least"), F.when((F.col("r") > 0) & (F.col("r") <= 1), F.col("r")).otherwise(dt.PERSISTENCE).alias("ratio"))
+
+
 def _series(s, d, more):
     """The frames of the window of each series, with their results and what persists."""
     x = observed(s, d)
@@ -112,11 +119,12 @@ def _series(s, d, more):
     kept = Scratch(s, "window").save(_window(s, d, x))
     f = f.join(kept, ["record_id", "obs_no"])
     r = r.select("frame_key.*", "id", "bucket", "ord", "pos", "found").join(f.select("record_id", "obs_no", "ts"), ["record_id", "obs_no"])
-    p = Scratch(s, "persistence").save(dt.persistence(r, f.groupBy("record_id").agg(F.count(F.lit(1)).alias("n")), ["record_id"]))
+    sizes = f.groupBy("record_id").agg(F.count(F.lit(1)).alias("n")).join(_settings(s, d), "record_id")
+    p = Scratch(s, "persistence").save(dt.persistence(r, sizes, ["record_id"], F.col("least"), F.col("ratio")))
     if more == "frames":
         return status.unresolved_frames(r.where("record_id IS NOT NULL"), p, ["record_id"], "obs_no").select("record_id", "id", "state", *(F.array_join(c, ";").alias(c) for c in ("missing_in", "unresolved_in")))
-    i = status.instant_status(f, requirements(s), r.select(F.struct("record_id", "obs_no").alias("frame_key"), "bucket")).select("frame_key.*", "status").join(f.select("record_id", "obs_no", "ts"), ["record_id", "obs_no"])
-    return status.series_status(i, p, ["record_id"]).withColumns({c: F.array_join(c, ";") for c in ("persistent_missing", "persistent_uncertain")})
+    i = status.instant_status(f, requirements(s), r.select(F.struct("record_id", "obs_no").alias("frame_key"), "bucket")).select("frame_key.*", "status").join(f.select("record_id", "obs_no", "ts"), ["record_id", "obs_no"]).join(_settings(s, d), "record_id")
+    return status.series_status(i, p, ["record_id"], F.col("least")).withColumns({c: F.array_join(c, ";") for c in ("persistent_missing", "persistent_uncertain")})
 
 
 def _conditions(s, d):
@@ -217,11 +225,13 @@ obsv AS (SELECT profile_id, a, CASE WHEN t > 0 THEN round_even(p / t, 3) ELSE 0.
   sum(CASE WHEN kind = 'required' THEN 1 WHEN kind = 'alternative' THEN half WHEN kind = 'undetectable' OR NOT a THEN 0 WHEN swap THEN half ELSE nd END)::DOUBLE AS p FROM wt, (SELECT unnest([true, false]) AS a) GROUP BY ALL)),
 st AS (SELECT c.record_id, c.obs_no, c.profile_id, ts, s, m, u, coalesce(observability, 0.0) AS observability, CASE WHEN c.profile_id IS NULL THEN 'UNKNOWN_WORK' WHEN m > 0 THEN 'WARNING' WHEN u > 0 THEN CASE WHEN observability > 0 THEN 'UNCERTAIN' ELSE 'NOT_MONITORABLE' END WHEN s > 0 THEN 'OK' ELSE 'NOT_MONITORABLE' END AS status
   FROM cnt c LEFT JOIN obsv o ON o.profile_id = c.profile_id AND o.a = (c.record_id % 2 = 0)),
-pers AS (SELECT record_id, id, n, m, u, CASE WHEN n < {dt.MIN_OBSERVATIONS} THEN 'insufficient_data' WHEN m / n >= {dt.PERSISTENCE} THEN 'persistent_missing' WHEN u > 0 AND (m + u) / n >= {dt.PERSISTENCE} THEN 'persistent_uncertain' ELSE 'transient' END AS state
-  FROM (SELECT r.record_id, id, count(*) FILTER (bucket = 'missing') AS m, count(*) FILTER (bucket = 'uncertain') AS u FROM results r JOIN win w ON w.record_id = r.record_id AND w.obs_no = r.obs_no GROUP BY ALL) JOIN n USING (record_id) WHERE m + u > 0),
+conf AS (SELECT record_id, CASE WHEN coalesce(isfinite(m) AND m >= 1 AND m = floor(m), false) THEN m ELSE {dt.MIN_OBSERVATIONS} END AS least, CASE WHEN coalesce(r > 0 AND r <= 1, false) THEN r ELSE {dt.PERSISTENCE} END AS ratio
+  FROM (SELECT record_id, try_cast(j->>'$.request.temporal_config.min_observations' AS DOUBLE) AS m, try_cast(j->>'$.request.temporal_config.persistence_ratio' AS DOUBLE) AS r FROM j)),
+pers AS (SELECT record_id, id, n, m, u, CASE WHEN n < least THEN 'insufficient_data' WHEN m / n >= ratio THEN 'persistent_missing' WHEN u > 0 AND (m + u) / n >= ratio THEN 'persistent_uncertain' ELSE 'transient' END AS state
+  FROM (SELECT r.record_id, id, count(*) FILTER (bucket = 'missing') AS m, count(*) FILTER (bucket = 'uncertain') AS u FROM results r JOIN win w ON w.record_id = r.record_id AND w.obs_no = r.obs_no GROUP BY ALL) JOIN n USING (record_id) JOIN conf USING (record_id) WHERE m + u > 0),
 ins AS (SELECT st.record_id, count(*) AS n, arg_max(status, ts) AS instant_status, count(*) FILTER (status = 'WARNING') AS warnings FROM st JOIN win w ON w.record_id = st.record_id AND w.obs_no = st.obs_no GROUP BY 1),
 lists AS (SELECT record_id, coalesce(string_agg(id, ';' ORDER BY id) FILTER (state = 'persistent_missing'), '') AS pm, coalesce(string_agg(id, ';' ORDER BY id) FILTER (state = 'persistent_uncertain'), '') AS pu FROM pers GROUP BY 1),
-ser AS (SELECT record_id, n, instant_status, instant_status IN ('UNKNOWN_WORK', 'NOT_MONITORABLE') AS final, n < {dt.MIN_OBSERVATIONS} AND NOT final AS few, warnings, CASE WHEN final OR few THEN '' ELSE coalesce(pm, '') END AS persistent_missing, CASE WHEN final OR few THEN '' ELSE coalesce(pu, '') END AS persistent_uncertain FROM ins LEFT JOIN lists USING (record_id)),
+ser AS (SELECT record_id, n, instant_status, instant_status IN ('UNKNOWN_WORK', 'NOT_MONITORABLE') AS final, n < least AND NOT final AS few, warnings, CASE WHEN final OR few THEN '' ELSE coalesce(pm, '') END AS persistent_missing, CASE WHEN final OR few THEN '' ELSE coalesce(pu, '') END AS persistent_uncertain FROM ins JOIN conf USING (record_id) LEFT JOIN lists USING (record_id)),
 ser2 AS (SELECT *, CASE WHEN final THEN instant_status WHEN few THEN 'INSUFFICIENT_DATA' WHEN persistent_missing <> '' THEN 'WARNING' WHEN persistent_uncertain <> '' THEN 'UNCERTAIN' ELSE 'OK' END AS persistent_status FROM ser),
 expc AS (SELECT profile_id, list_sort(list_distinct(flatten(list(det)))) AS expected FROM rq GROUP BY 1),
 ev AS (SELECT record_id, obs_no, CASE bucket WHEN 'missing' THEN 0 ELSE 1 END AS k, id AS requirement_id, NULL::BIGINT AS n, NULL::VARCHAR AS classes FROM results WHERE bucket IN ('missing', 'uncertain')
